@@ -1,5 +1,7 @@
 """Stage outcomes, model rows and the run row."""
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,14 +152,9 @@ def dim_rows(states: DataFrame) -> DataFrame:
     )
 
 
-def parameters_hash(df: DataFrame, config: ScanConfig) -> Column:
+def parameters_hash(config: ScanConfig) -> Column:
     """Id of the run's settings: their JSON with sorted keys."""
-    fields = []
-    for name, value in sorted(config.safe_parameters().items()):
-        if isinstance(value, list):
-            value = F.array(*[F.lit(v) for v in value])
-        fields.append((value if isinstance(value, Column) else F.lit(value)).alias(name))
-    return stable_id(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    return stable_id(json.dumps(config.safe_parameters(), sort_keys=True, ensure_ascii=False))
 
 
 def run_row(
@@ -176,14 +173,17 @@ def run_row(
     return finish_run(counts, config, initialize_only, error)
 
 
-def running_row(states: DataFrame, config: ScanConfig) -> DataFrame:
-    """The run's row before any model is scanned."""
+def unscanned(targets: DataFrame) -> DataFrame:
+    """Counts of a run none of whose targets has been scanned."""
     zero = F.lit(0)
-    counts = states.agg(F.count(F.lit(1)).cast("int").alias("target_count")).select(
-        "target_count",
-        *[zero.alias(f"{s}_count") for s in ("success", "partial", "failed", "skipped")],
+    return targets.agg(F.count(F.lit(1)).cast("int").alias("target_count")).select(
+        "target_count", *[zero.alias(f"{s}_count") for s in ("workspace", "success", "partial", "failed", "skipped")]
     )
-    row = finish_run(counts.withColumn("workspace_count", zero), config)
+
+
+def running_row(targets: DataFrame, config: ScanConfig) -> DataFrame:
+    """The run's row before any model is scanned."""
+    row = finish_run(unscanned(targets), config)
     return row.withColumns(
         {
             "status": F.lit("RUNNING"),
@@ -242,7 +242,7 @@ def finish_run(
         "skipped_count",
         F.lit(config.component_versions.get("semantic_link", "UNKNOWN")).alias("semantic_link_version"),
         F.lit(config.component_versions.get("semantic_link_labs", "UNKNOWN")).alias("semantic_link_labs_version"),
-        parameters_hash(counts, config).alias("parameters_hash"),
+        parameters_hash(config).alias("parameters_hash"),
         category.cast("string").alias("error_category"),
         message.cast("string").alias("error_message"),
         "workspace_count",

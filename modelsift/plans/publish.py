@@ -7,7 +7,6 @@ from modelsift import schemas
 from modelsift.config import ScanConfig
 from modelsift.operators import runstate as S
 from modelsift.operators.merge import grant_rows, viewer_requests, without_withdrawn
-from modelsift.operators.targets import ScopeError
 from modelsift.plans.scan import Scan, conform
 from modelsift.sinks.tables import Tables, curated_spec, history_spec
 
@@ -40,7 +39,8 @@ def publish_history(tables: Tables, scan: Scan) -> None:
     """Upsert the technical rows of a scan, one write per table."""
     for logical, rows in scan.technical().items():
         if logical != "scan_run":
-            tables.upsert(history_spec(logical, tables.history_schema), schemas.TECHNICAL_KEYS[logical], rows)
+            spec = history_spec(logical, tables.history_schema)
+            tables.upsert(spec, schemas.TECHNICAL_KEYS[logical], rows, scan.config.scan_id)
 
 
 def publish_current_state(tables: Tables, scan: Scan) -> None:
@@ -64,10 +64,10 @@ def run(tables: Tables, scan: Scan, initialize_only: bool = False, requests: Dat
         sync_grants(tables, requests or viewer_requests(scan.targets, config), config)
         publish_history(tables, scan)
         publish_current_state(tables, scan)
-    except ScopeError:
-        raise
     except Exception as exc:
-        failed = S.run_row(scan.states, config, error=(type(exc).__name__, str(exc)))
+        # The run is recorded as failed, with as many targets as had been found.
+        known = scan.targets if "targets" in vars(scan) else tables.spark.range(0)
+        failed = S.finish_run(S.unscanned(known), config, error=(type(exc).__name__, str(exc)))
         _run_row(tables, failed)
         raise
     _run_row(tables, scan.run_row)

@@ -123,11 +123,15 @@ class Tables:
 
     # ---- writing ----
 
-    def upsert(self, spec: TableSpec, keys: list[str], rows: DataFrame) -> None:
-        """Rows replace those with their key, others stay; without rows nothing changes."""
+    def upsert(self, spec: TableSpec, keys: list[str], rows: DataFrame, scan_id: str | None = None) -> None:
+        """Rows replace those with their key, others stay; without rows nothing changes.
+
+        scan_id tells that all rows are of that scan, so its first write needs no look at the table.
+        """
         new = spec.placed(one_per_key(rows.select(spec.schema.names), keys))
         existing = self._partitions(spec)
-        if existing:
+        first_write = not spec.bucketed_by and scan_id is not None and scan_id not in existing
+        if existing and not first_write:
             # Read three times below, so it is computed once.
             new = written(new, "upsert")
             touched = [r[0] for r in new.select(spec.partition).distinct().collect()]

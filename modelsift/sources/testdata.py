@@ -10,8 +10,11 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelsift.config import ScanConfig
+from modelsift.functions.text import stable_id
+from modelsift.operators.merge import EXPLICIT_SOURCE
 from modelsift.operators.usage import unused_objects
 from modelsift.plans.scan import Scan
 
@@ -351,6 +354,37 @@ class SampleTables:
             )
         )
 
+    @cached_property
+    def held_grants(self) -> DataFrame:
+        """The access table before the run: users with access, some by explicit request."""
+        access = self.item_access.filter(F.col("User Principal Name").isNotNull())
+        upn = F.lower("User Principal Name")
+        source = F.when(F.col("source_ordinal") % 2 == 0, EXPLICIT_SOURCE).otherwise("MANUAL")
+        before = F.lit(PRIOR_CLOCK).cast("timestamp")
+        inventory = self.inventory.select("workspace_id", F.col("Dataset Id").alias("model_id"))
+        return access.join(inventory, "model_id").select(
+            stable_id(F.col("model_id"), upn, source).alias("access_key"),
+            "workspace_id",
+            "model_id",
+            upn.alias("principal_upn"),
+            source.alias("source"),
+            (F.col("source_ordinal") % 5 != 0).alias("is_active"),
+            before.alias("valid_from"),
+            F.lit(None).cast("timestamp").alias("valid_to"),
+            F.lit("previous@example.com").alias("updated_by"),
+            before.alias("updated_at"),
+        )
+
+    @cached_property
+    def grant_requests(self) -> DataFrame:
+        """Landed requests: a model and viewers as separated text; some requests name nobody."""
+        key = F.col("source_ordinal")
+        upn = F.concat(F.col("User Name"), F.lit("@Example.com"))
+        asked = (key % 12 == 0) | (key % 3 == 1)
+        return self.item_access.select(
+            "model_id", F.when(asked, F.concat(F.lit(" "), upn, F.lit("; "), F.upper(upn))).otherwise("").alias("viewers")
+        )
+
     # ---- a larger estate: nations as workspaces, customers as models, suppliers as principals ----
 
     @cached_property
@@ -387,6 +421,40 @@ class SampleTables:
         )
 
 
+class QuietTables(SampleTables):
+    """The sample tables as a scan without stage failures saw them."""
+
+    @cached_property
+    def stage_errors(self) -> DataFrame:
+        return SampleTables(self.spark, self.folder).stage_errors.filter(F.lit(False))
+
+
+# What a consumer expects of some sample tables: type and whether a value is required. One expected
+# column does not exist and one has another type, as happens in practice.
+EXPECTED_COLUMNS = {
+    "customer": {
+        "c_custkey": ("bigint", True),
+        "c_name": ("string", True),
+        "c_nationkey": ("int", True),
+        "c_phone": ("string", False),
+    },
+    "orders": {
+        "o_orderkey": ("bigint", True),
+        "o_custkey": ("bigint", True),
+        "o_orderdate": ("date", True),
+        "o_totalprice": ("double", True),
+    },
+    "lineitem": {"l_orderkey": ("bigint", True), "l_linenumber": ("int", True), "l_quantity": ("double", True)},
+    "events": {"event_id": ("bigint", True), "ts": ("timestamp_ntz", True), "props": ("string", True)},
+    "labels": {"doc_id": ("bigint", True), "quality": ("int", True), "toxic": ("int", True)},
+}
+
+
+def expected_schema(table: str) -> T.StructType:
+    ddl = [f"{n} {t}{' NOT NULL' if required else ''}" for n, (t, required) in EXPECTED_COLUMNS[table].items()]
+    return T.StructType.fromDDL(", ".join(ddl))
+
+
 _SCANS: dict[tuple, Scan] = {}
 
 
@@ -396,3 +464,19 @@ def sample_scan(spark: SparkSession, folder: str, **changes) -> Scan:
     if key not in _SCANS:
         _SCANS[key] = Scan(spark, SampleTables(spark, folder), scan_config(**changes))
     return _SCANS[key]
+
+
+def prior_scan(spark: SparkSession, folder: str) -> Scan:
+    """The scan before: run as a user, with no stage failing."""
+    key = (spark.sparkContext.applicationId, id(spark), folder, "prior")
+    if key not in _SCANS:
+        config = scan_config(
+            scan_id=PRIOR_SCAN_ID, started_at=PRIOR_CLOCK, completed_at=PRIOR_CLOCK, auth_mode="user"
+        )
+        _SCANS[key] = Scan(spark, QuietTables(spark, folder), config)
+    return _SCANS[key]
+
+
+def forget() -> None:
+    """Drop the plans and written tables of earlier queries, so that the next one starts from the evidence."""
+    _SCANS.clear()
