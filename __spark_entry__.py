@@ -15,7 +15,7 @@ from modelsift import schemas  # noqa: E402
 from modelsift.functions.messages import is_direct_lake  # noqa: E402
 from modelsift.functions.text import upn_list  # noqa: E402
 from modelsift.operators import checks, profile, targets, triage  # noqa: E402
-from modelsift.operators.evidence import storage_modes  # noqa: E402
+from modelsift.operators.evidence import storage_modes, with_raw_json  # noqa: E402
 from modelsift.operators.findings import ORDER_COLUMNS  # noqa: E402
 from modelsift.operators.merge import one_per_key, replaced, synced_grants, upserted  # noqa: E402
 from modelsift.operators.ranking import first_per_key  # noqa: E402
@@ -218,7 +218,7 @@ def queries() -> dict[str, Query]:
         "targets_resolved": _targets_resolved,
         "targets_requested_models": _targets_requested,
         "bpa_findings": _finding(lambda s: s.rule_findings),
-        "vpa_column_rows": _stored("vpa_column", lambda s: s.column_rows),
+        "vpa_column_rows": _stored("vpa_column", lambda s: with_raw_json(s.column_rows)),
         "vpa_table_rows": _stored("vpa_table", lambda s: s.table_rows),
         "storage_findings_topk": _finding(lambda s: s.storage_findings),
         "storage_mode": _storage_mode,

@@ -98,13 +98,12 @@ def iso_text(col: Column, zoned: bool) -> Column:
     )
 
 
-def json_of(df: DataFrame, columns: list[str]) -> Column:
-    """The named columns as one JSON object: sorted keys, nulls kept, timestamps in ISO form."""
+def json_text(df: DataFrame, name: str) -> Column:
+    """A struct column as one JSON object: sorted keys, nulls kept, timestamps in ISO form."""
     fields = []
-    for name in sorted(columns):
-        kind = df.schema[name].dataType
-        col = F.col(f"`{name}`")
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = iso_text(col, isinstance(kind, T.TimestampType))
-        fields.append(col.alias(name))
+    for field in sorted(df.schema[name].dataType.fields, key=lambda f: f.name):
+        col = F.col(name).getField(field.name)
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            col = iso_text(col, isinstance(field.dataType, T.TimestampType))
+        fields.append(col.alias(field.name))
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from modelsift.config import USAGE_METHOD_MONITORING, ScanConfig
 from modelsift.functions.messages import is_fallback
-from modelsift.functions.text import blank_to_null, stable_id, strip
+from modelsift.functions.text import blank_to_null, json_text, stable_id, strip
 from modelsift.functions.values import duration_seconds
 from modelsift.operators.ranking import position_in_group, top_per_group
+from modelsift.sources.landing import RAW
 
 
 def _seen(df: DataFrame, config: ScanConfig) -> Column:
@@ -22,12 +23,23 @@ def _ordinal(df: DataFrame) -> Column:
     return (F.col("source_ordinal") if "source_ordinal" in df.columns else F.lit(0)).cast("bigint")
 
 
+def _unique_ordinal(df: DataFrame, kind: str) -> Column:
+    if "source_ordinal" not in df.columns:
+        raise ValueError(f"{kind} evidence needs source_ordinal, its position in the collector's answer.")
+    return _ordinal(df)
+
+
+def with_raw_json(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("raw_json", json_text(rows, RAW)).drop(RAW)
+
+
 def _share(config: ScanConfig) -> Column:
     size, model = F.col("total_size_bytes"), F.col("model_size_bytes")
     return F.when(model > 0, F.lit(100.0) * size / model)
 
 
 def column_rows(columns: DataFrame, config: ScanConfig) -> DataFrame:
+    """The landed row stays a struct: most uses of these rows never show it."""
     return columns.select(
         stable_id(config.scan_id, F.col("model_id"), "VPA_COLUMN", F.col("table_name"), F.col("column_name")).alias(
             "evidence_id"
@@ -45,7 +57,7 @@ def column_rows(columns: DataFrame, config: ScanConfig) -> DataFrame:
         "hierarchy_size_bytes",
         "total_size_bytes",
         _share(config).alias("model_size_pct"),
-        "raw_json",
+        RAW,
         _seen(columns, config).alias("detected_at"),
         "workspace_name",
         "model_name",
@@ -66,7 +78,7 @@ def table_rows(tables: DataFrame, config: ScanConfig) -> DataFrame:
         "hierarchy_size_bytes",
         "total_size_bytes",
         _share(config).alias("model_size_pct"),
-        "raw_json",
+        json_text(tables, RAW).alias("raw_json"),
         _seen(tables, config).alias("detected_at"),
     )
 
@@ -95,7 +107,7 @@ def usage_rows(usage: DataFrame, config: ScanConfig) -> DataFrame:
         F.coalesce("usage_count", F.lit(0)).alias("usage_count"),
         F.lit(config.usage_method).alias("usage_method"),
         F.lit(config.usage_window_days if monitored else None).cast("int").alias("usage_window_days"),
-        "raw_json",
+        json_text(usage, RAW).alias("raw_json"),
         _seen(usage, config).alias("detected_at"),
         "workspace_name",
         "model_name",
@@ -108,7 +120,7 @@ def refresh_rows(history: DataFrame, config: ScanConfig) -> DataFrame:
     latest = top_per_group(
         history,
         ["model_id"],
-        [F.col("start_time").desc_nulls_last(), _ordinal(history), F.col("raw_json")],
+        [F.col("start_time").desc_nulls_last(), _ordinal(history), F.col(RAW)],
         config.refresh_top_n,
     )
     request = F.coalesce(blank_to_null(F.col("request_id")), (F.col("rank") - 1).cast("string"))
@@ -123,16 +135,14 @@ def refresh_rows(history: DataFrame, config: ScanConfig) -> DataFrame:
         "start_time",
         "end_time",
         duration_seconds(F.col("start_time"), F.col("end_time")).alias("duration_seconds"),
-        "raw_json",
+        json_text(latest, RAW).alias("raw_json"),
         F.lit(config.completed_at).cast("timestamp").alias("captured_at"),
     )
 
 
 def fallback_checks(reasons: DataFrame, config: ScanConfig) -> DataFrame:
-    ordered = reasons.withColumn("evidence_ordinal", _ordinal(reasons))
-    placed = position_in_group(
-        ordered, "model_id", "evidence_ordinal", [F.col("table_name"), F.col("reason")]
-    )
+    ordered = reasons.withColumn("evidence_ordinal", _unique_ordinal(reasons, "Fallback"))
+    placed = position_in_group(ordered, "model_id", "evidence_ordinal", [F.col(RAW)])
     return placed.select(
         stable_id(
             config.scan_id, F.col("model_id"), "DIRECT_LAKE_FALLBACK", F.col("table_name"), F.col("position")
@@ -144,7 +154,7 @@ def fallback_checks(reasons: DataFrame, config: ScanConfig) -> DataFrame:
         "table_name",
         F.when(is_fallback(F.col("reason")), "ISSUE").otherwise("OK").alias("status"),
         "reason",
-        "raw_json",
+        json_text(placed, RAW).alias("raw_json"),
         _seen(reasons, config).alias("detected_at"),
         "workspace_name",
         "model_name",
@@ -153,10 +163,8 @@ def fallback_checks(reasons: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def access_rows(access: DataFrame, config: ScanConfig) -> DataFrame:
-    ordered = access.withColumn("evidence_ordinal", _ordinal(access))
-    placed = position_in_group(
-        ordered, "model_id", "evidence_ordinal", [F.col("principal_id"), F.col("principal_upn"), F.col("raw_json")]
-    )
+    ordered = access.withColumn("evidence_ordinal", _unique_ordinal(access, "Access"))
+    placed = position_in_group(ordered, "model_id", "evidence_ordinal", [F.col(RAW)])
     return placed.select(
         stable_id(
             config.scan_id, F.col("model_id"), F.col("principal_id"), F.col("principal_upn"), F.col("position")
@@ -170,6 +178,6 @@ def access_rows(access: DataFrame, config: ScanConfig) -> DataFrame:
         blank_to_null(F.lower("principal_upn")).alias("principal_upn"),
         "permissions",
         "additional_permissions",
-        "raw_json",
+        json_text(placed, RAW).alias("raw_json"),
         F.lit(config.completed_at).cast("timestamp").alias("captured_at"),
     )

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from modelsift.config import STAGE_LABEL, USAGE_METHOD_MONITORING, VERSION, ScanConfig
 from modelsift.functions import messages as M
-from modelsift.functions.text import blank_to_null, stable_id, strip
+from modelsift.functions.text import blank_to_null, json_text, stable_id, strip
 from modelsift.operators.ranking import top_per_group
+from modelsift.sources.landing import RAW
 
 # Sources in the order their findings are seen.
 SOURCES = ("BPA", "VPA_HEURISTIC", "UNUSED_OBJECT_ANALYSIS", "DIRECT_LAKE")
@@ -94,7 +95,7 @@ def rule_findings(violations: DataFrame, config: ScanConfig) -> DataFrame:
         finding_text=described,
         recommended_action=F.col("description"),
         technical_evidence=F.concat(F.lit("Deterministic BPA rule violation: "), rule),
-        evidence_json=F.col("raw_json"),
+        evidence_json=json_text(violations, RAW),
         documentation_url=F.col("documentation_url"),
     )
 
@@ -116,7 +117,7 @@ def storage_findings(columns: DataFrame, config: ScanConfig) -> DataFrame:
             F.col("evidence_ordinal").asc_nulls_first(),
             F.col("table_name").asc_nulls_first(),
             F.col("column_name").asc_nulls_first(),
-            F.col("raw_json").asc_nulls_first(),
+            F.col(RAW).asc_nulls_first(),
         ],
         config.max_storage_findings_per_model,
     )
@@ -140,7 +141,7 @@ def storage_findings(columns: DataFrame, config: ScanConfig) -> DataFrame:
         technical_evidence=M.storage_evidence(
             F.col("total_size_bytes"), F.col("model_size_pct"), F.col("cardinality")
         ),
-        evidence_json=F.col("raw_json"),
+        evidence_json=json_text(ranked, RAW),
         reclaimable_upper_bound_bytes=F.col("total_size_bytes"),
         change_risk=F.lit("HIGH"),
     )

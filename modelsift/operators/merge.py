@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modelsift.config import OPEN_PRECHECK_STATUSES, ScanConfig
 from modelsift.functions.text import stable_id
-from modelsift.operators.ranking import first_per_key, full_row_order
+from modelsift.operators.ranking import first_per_key, full_row_order, small
 
 EXPLICIT_SOURCE = "SCAN_REQUEST_EXPLICIT"
 
@@ -55,10 +55,15 @@ def grant_rows(requests: DataFrame, config: ScanConfig) -> DataFrame:
 
 
 def without_withdrawn(access: DataFrame, requests: DataFrame, grants: DataFrame, config: ScanConfig) -> DataFrame:
-    """End the active explicit grants of the requested models that are no longer asked for."""
+    """End the active explicit grants of the requested models that are no longer asked for.
+
+    Requests are for targets of the run, so their models are as few as the safeguard allows.
+    """
     wanted = grants.select("model_id", "principal_upn", F.lit(True).alias("_wanted"))
     models = requests.groupBy("model_id").agg(F.max(F.size("viewers") > 0).alias("_any"))
-    joined = access.join(wanted, ["model_id", "principal_upn"], "left").join(models, "model_id", "left")
+    joined = access.join(wanted, ["model_id", "principal_upn"], "left").join(
+        small(models, config.max_models_per_run), "model_id", "left"
+    )
     # A grant without a principal is only ended when nobody is asked for.
     absent = ~F.col("_any") | (F.col("principal_upn").isNotNull() & F.col("_wanted").isNull())
     ends = F.coalesce(

@@ -1,10 +1,16 @@
-"""Top-k, latest-row and position operators that stay balanced when one group is huge."""
+"""Top-k, latest-row and position operators that stay balanced when one group is huge, and the broadcast rule."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POSITION_RANGE = 1_000_000
+BROADCAST_MAX_ROWS = 100_000
+
+
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast a side whose row count a safeguard has already bounded; join normally otherwise."""
+    return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -27,11 +33,11 @@ def full_row_order(df: DataFrame) -> list[Column]:
 def position_in_group(
     df: DataFrame, key: str, ordinal: str, ties: list[Column], name: str = "position", span: int = POSITION_RANGE
 ) -> DataFrame:
-    """Zero-based position of each row in its group, by ordinal.
+    """Zero-based position of each row in its group, by an ordinal that is unique in the group.
 
     One window per group would put a third of all rows in one task. Rows are numbered inside
     ordinal ranges instead, and each range is shifted by the number of rows in the ranges before it;
-    only the range counts are windowed per group.
+    only the range counts are windowed per group. A range holds at most span rows of a group.
     """
     ranged = df.withColumn("_range", F.floor(F.coalesce(F.col(ordinal), F.lit(0)) / span))
     counts = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))

@@ -13,8 +13,10 @@ def unused_objects(objects: DataFrame, usage_log: DataFrame, now: datetime, days
 
     The log is counted per object before the join, so a hot object costs one row per task.
     """
+    # Bounds of the column's own type, so that the filter reaches the scan.
+    first, last = (F.lit(t).cast(usage_log.schema["ts"].dataType) for t in (now - timedelta(days=days), now))
     uses = (
-        usage_log.filter((F.col("ts") >= F.lit(now - timedelta(days=days))) & (F.col("ts") < F.lit(now)))
+        usage_log.filter((F.col("ts") >= first) & (F.col("ts") < last))
         .groupBy(*OBJECT_KEY)
         .agg(F.count(F.lit(1)).alias("usage_count"))
     )

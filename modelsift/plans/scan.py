@@ -16,7 +16,8 @@ from modelsift.operators import evidence as E
 from modelsift.operators import findings as N
 from modelsift.operators import rollup as R
 from modelsift.operators import runstate as S
-from modelsift.operators.targets import resolve_targets, small
+from modelsift.operators.ranking import small
+from modelsift.operators.targets import resolve_targets
 from modelsift.session import written
 from modelsift.sources import landing
 
@@ -217,7 +218,7 @@ class Scan:
             "scan_run": self.run_row,
             "model_scan": self.model_rows,
             "finding": self.findings,
-            "vpa_column": self.column_rows,
+            "vpa_column": E.with_raw_json(self.column_rows),
             "vpa_table": self.table_rows,
             "object_usage": self.usage_rows,
             "refresh": self.refresh_rows,

@@ -163,8 +163,11 @@ class Tables:
 
     def _stage(self, spec: TableSpec, rows: DataFrame, may_empty: list) -> PendingSwap:
         folder = f"{self._location(spec)}/batch-{uuid.uuid4().hex}"
-        # Rebalancing splits a bucket that holds much of the data and merges small ones.
-        rows.hint("rebalance", spec.partition).write.partitionBy(spec.partition).parquet(folder)
+        if spec.bucketed_by:
+            # Rows of a bucket come together, else every task writes a file per bucket. Rebalancing
+            # splits a bucket that holds much of the data over several tasks.
+            rows = rows.hint("rebalance", spec.partition)
+        rows.write.partitionBy(spec.partition).parquet(folder)
         stored = self.spark.read.schema(rows.schema).parquet(folder)
         # One value per partition: buckets are few, history writes concern one scan.
         filled = [r[0] for r in stored.select(spec.partition).distinct().collect()]

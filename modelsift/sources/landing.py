@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelsift.functions import values as V
-from modelsift.functions.text import blank_to_null, canonical_name, clean, json_of, strip
+from modelsift.functions.text import blank_to_null, canonical_name, clean, strip
 
 BOOKKEEPING = ("workspace_id", "model_id", "source_ordinal", "detected_at")
 
+# The landed row as a struct. It becomes JSON only in rows that are kept.
+RAW = "raw_row"
+
 # Accepted headings of each logical column, first match with a value wins.
 HEADINGS = {
     "inventory": {
@@ -186,14 +189,14 @@ def _pick(df: DataFrame, logical: str, accepted: list[str]) -> Column:
 
 
 def evidence(df: DataFrame, kind: str, raw: bool = True) -> DataFrame:
-    """Project landed rows to bookkeeping + logical columns (+ the whole row as JSON)."""
+    """Project landed rows to bookkeeping + logical columns (+ the whole row as a struct)."""
     keep = [c for c in BOOKKEEPING if c in df.columns and c not in HEADINGS[kind]]
     columns = [
         F.col(c).cast("timestamp").alias(c) if c == "detected_at" else F.col(c) for c in keep
     ]
     columns += [_pick(df, name, accepted).alias(name) for name, accepted in HEADINGS[kind].items()]
     if raw:
-        columns.append(json_of(df, [c for c in df.columns if c not in BOOKKEEPING]).alias("raw_json"))
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in BOOKKEEPING]).alias(RAW))
     return df.select(*columns)
 
 

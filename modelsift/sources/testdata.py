@@ -83,6 +83,16 @@ class SampleTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SAMPLE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table whose rows are used one by one, split by key when it has fewer files than cores.
+
+        A small file is a single row group, which one task would read and process to the end. A large
+        table comes in many files and is read as it lies.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
     @cached_property
     def inventory(self) -> DataFrame:
         key = F.col("n_nationkey")
@@ -135,7 +145,7 @@ class SampleTables:
     def rule_violations(self) -> DataFrame:
         line, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
         return (
-            self.table("lineitem")
+            self.spread("lineitem", "l_orderkey")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(
@@ -238,7 +248,7 @@ class SampleTables:
     def usage_log(self) -> DataFrame:
         return self.table("events").select(
             "event_id",
-            F.col("ts").cast("timestamp").alias("ts"),
+            "ts",
             guid(F.col("user_id") % 25 + 1000).alias("model_id"),
             F.concat(F.lit("table_"), (F.col("user_id") % 100).cast("string")).alias("table_name"),
             F.concat(F.lit("object_"), (F.col("event_id") % 50).cast("string")).alias("object_name"),
