@@ -157,20 +157,23 @@ def parameters_hash(config: ScanConfig) -> Column:
     return stable_id(json.dumps(config.safe_parameters(), sort_keys=True, ensure_ascii=False))
 
 
-def run_row(
-    states: DataFrame, config: ScanConfig, initialize_only: bool = False, error: tuple[str, str] | None = None
-) -> DataFrame:
-    """The run's final row, from the statuses of its models. error is (type, message) of a run failure."""
+def status_counts() -> list[Column]:
     count = lambda s: F.count_if(F.col("overall_status") == s).cast("int")
-    counts = states.agg(
+    return [
         F.count(F.lit(1)).cast("int").alias("target_count"),
         F.count_distinct("workspace_id").cast("int").alias("workspace_count"),
         count("SUCCEEDED").alias("success_count"),
         count("PARTIAL").alias("partial_count"),
         count("FAILED").alias("failed_count"),
         count(GATED).alias("skipped_count"),
-    )
-    return finish_run(counts, config, initialize_only, error)
+    ]
+
+
+def run_row(
+    states: DataFrame, config: ScanConfig, initialize_only: bool = False, error: tuple[str, str] | None = None
+) -> DataFrame:
+    """The run's final row, from the statuses of its models. error is (type, message) of a run failure."""
+    return finish_run(states.agg(*status_counts()), config, initialize_only, error)
 
 
 def unscanned(targets: DataFrame) -> DataFrame:
@@ -224,6 +227,7 @@ def finish_run(
                 F.lit(" model(s) skipped because the SPN workspace access precheck did not pass."),
             ),
         )
+    more = [c for c in counts.columns if not c.endswith("_count")]
     return counts.select(
         F.lit(config.scan_id).alias("scan_id"),
         F.lit(config.effective_request_id).alias("request_id"),
@@ -246,34 +250,28 @@ def finish_run(
         category.cast("string").alias("error_category"),
         message.cast("string").alias("error_message"),
         "workspace_count",
+        *more,
     )
 
 
-def run_summary(
-    states: DataFrame, run: DataFrame, config: ScanConfig, error: tuple[str, str] | None = None
-) -> DataFrame:
+def run_summary(states: DataFrame, config: ScanConfig, error: tuple[str, str] | None = None) -> DataFrame:
     """One JSON document: the run's counts and one entry per model.
 
     The entries are bounded by the safeguard on models per run; a model's entry is a few short texts.
     """
-    entries = states.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "workspace_id",
-                    "model_id",
-                    "model_name",
-                    F.col("overall_status").alias("status"),
-                    "permission_precheck_status",
-                    "scanner_workspace_role",
-                    "finding_count",
-                )
-            )
-        ).alias("model_results"),
-        F.first(F.lit(config.scan_id)).alias("scan_id"),
+    entry = F.struct(
+        "workspace_id",
+        "model_id",
+        "model_name",
+        F.col("overall_status").alias("status"),
+        "permission_precheck_status",
+        "scanner_workspace_role",
+        "finding_count",
     )
+    counts = states.agg(*status_counts(), F.array_sort(F.collect_list(entry)).alias("model_results"))
     seconds = (config.completed_at - config.started_at).total_seconds()
-    return run.join(entries, "scan_id").select(
+    failure = error_text(F.lit(error[0]), F.lit(error[1])) if error else F.lit(None).cast("string")
+    return finish_run(counts, config, error=error).select(
         "scan_id",
         F.to_json(
             F.struct(
@@ -287,7 +285,7 @@ def run_summary(
                 "skipped_count",
                 F.round(F.lit(float(seconds)), 2).alias("duration_seconds"),
                 "model_results",
-                (error_text(F.lit(error[0]), F.lit(error[1])) if error else F.lit(None).cast("string")).alias("error"),
+                failure.alias("error"),
             ),
             {"ignoreNullFields": "false"},
         ).alias("summary_json"),

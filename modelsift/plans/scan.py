@@ -153,7 +153,7 @@ class Scan:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return S.run_summary(self.model_rows, self.run_row, self.config)
+        return S.run_summary(self.model_rows, self.config)
 
     # ---- current state ----
 

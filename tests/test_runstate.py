@@ -119,7 +119,7 @@ def test_summary(spark):
     df = states(spark, [("b", "bpa", "x"), ("b", "vpa", "y")], config()).drop("finding_count")
     counts = spark.createDataFrame([("a", 3)], "model_id string, finding_count bigint")
     rows = S.model_rows(df, counts)
-    summary = json.loads(S.run_summary(rows, S.run_row(df, config()), config()).first().summary_json)
+    summary = json.loads(S.run_summary(rows, config()).first().summary_json)
     assert summary["duration_seconds"] == 1.26 and summary["status"] == "PARTIAL" and summary["error"] is None
     assert [(m["model_id"], m["status"], m["finding_count"]) for m in summary["model_results"]] == [
         ("a", "SUCCEEDED", 3),
