@@ -1,5 +1,7 @@
 """One run end to end: history, current state, grants and the run row."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from modelsift.plans.scan import Scan, conform
 from modelsift.sinks.tables import Tables, curated_spec, history_spec
 
 
+CONCURRENT_WRITES = 4
+
+
 class RunFailed(RuntimeError):
     """The run's final status asks the caller to stop."""
 
@@ -28,19 +33,28 @@ def sync_grants(tables: Tables, requests: DataFrame, config: ScanConfig) -> None
     grants = grant_rows(requests, config)
     if config.access_sync_mode == "replace_scanner_managed":
         buckets = [r[0] for r in requests.select(spec.bucket()).distinct().collect()]
-        held = [b for b in buckets if str(b) in tables._partitions(spec)]
+        held = tables.held(spec, buckets)
         if held:
-            current = tables._held(spec, held).select(spec.schema.names)
+            current = tables.rows_of(spec, held).select(spec.schema.names)
             tables.rewrite(spec, without_withdrawn(current, requests, grants, config), held)
     tables.upsert(spec, schemas.TECHNICAL_KEYS["model_access"], grants)
 
 
+def _at_once(write, items: list) -> list:
+    """Writes of different tables side by side, so that small ones do not wait for large ones."""
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        return list(pool.map(write, items))
+
+
 def publish_history(tables: Tables, scan: Scan) -> None:
     """Upsert the technical rows of a scan, one write per table."""
-    for logical, rows in scan.technical().items():
-        if logical != "scan_run":
-            spec = history_spec(logical, tables.history_schema)
-            tables.upsert(spec, schemas.TECHNICAL_KEYS[logical], rows, scan.config.scan_id)
+
+    def upsert(item: tuple[str, DataFrame]) -> None:
+        logical, rows = item
+        spec = history_spec(logical, tables.history_schema)
+        tables.upsert(spec, schemas.TECHNICAL_KEYS[logical], rows, scan.config.scan_id)
+
+    _at_once(upsert, [i for i in scan.technical().items() if i[0] != "scan_run"])
 
 
 def publish_current_state(tables: Tables, scan: Scan) -> None:
@@ -49,7 +63,7 @@ def publish_current_state(tables: Tables, scan: Scan) -> None:
     All tables are written before the first one is switched.
     """
     processed = scan.curated_models.select(F.col("model_id").alias(schemas.SLICE_COLUMN))
-    swaps = [tables.stage_replacement(name, rows, processed) for name, rows in scan.curated().items()]
+    swaps = _at_once(lambda item: tables.stage_replacement(*item, processed), list(scan.curated().items()))
     tables.commit(swaps)
 
 
@@ -62,6 +76,7 @@ def run(tables: Tables, scan: Scan, initialize_only: bool = False, requests: Dat
     try:
         _run_row(tables, S.running_row(scan.targets, config))
         sync_grants(tables, requests or viewer_requests(scan.targets, config), config)
+        scan.pin()
         publish_history(tables, scan)
         publish_current_state(tables, scan)
     except Exception as exc:

@@ -211,6 +211,15 @@ class Scan:
         ]
         return R.overview(self.curated_models, counts)
 
+    def pin(self) -> "Scan":
+        """Write the rows that several tables are made of, before any of those is planned.
+
+        All tables of a run then describe the same evidence, and it is read once.
+        """
+        for name in ("column_rows", "usage_rows", "fallback_rows", "findings"):
+            self.__dict__[name] = written(getattr(self, name), name.replace("_", "-"))
+        return self
+
     # ---- by table name ----
 
     def technical(self) -> dict[str, DataFrame]:

@@ -117,7 +117,12 @@ class Tables:
         shown = self.spark.sql(f"SHOW PARTITIONS {spec.name}").collect()
         return {r[0].split("=", 1)[1] for r in shown}
 
-    def _held(self, spec: TableSpec, values: list) -> DataFrame:
+    def held(self, spec: TableSpec, values: list) -> list:
+        """Those of the partition values the table has."""
+        existing = self._partitions(spec)
+        return [v for v in values if str(v) in existing]
+
+    def rows_of(self, spec: TableSpec, values: list) -> DataFrame:
         """Current rows of some partitions; the filter prunes the scan to them."""
         return self.spark.table(spec.name).filter(F.col(spec.partition).isin(values))
 
@@ -137,7 +142,7 @@ class Tables:
             touched = [r[0] for r in new.select(spec.partition).distinct().collect()]
             held = [v for v in touched if str(v) in existing]
             if held:
-                new = upserted(self._held(spec, held).select(new.columns), new, keys)
+                new = upserted(self.rows_of(spec, held).select(new.columns), new, keys)
         self.commit([self._stage(spec, new, [])])
 
     def stage_replacement(
@@ -148,9 +153,9 @@ class Tables:
         new = spec.placed(rows)
         processed = processed.select(schemas.SLICE_COLUMN)
         buckets = [r[0] for r in processed.select(spec.bucket()).distinct().collect()]
-        held = [b for b in buckets if str(b) in self._partitions(spec)]
+        held = self.held(spec, buckets)
         if held:
-            new = replaced(self._held(spec, held).select(new.columns), new, processed, schemas.SLICE_COLUMN)
+            new = replaced(self.rows_of(spec, held).select(new.columns), new, processed, schemas.SLICE_COLUMN)
         return self._stage(spec, new, held)
 
     def rewrite(self, spec: TableSpec, rows: DataFrame, held: list) -> None:

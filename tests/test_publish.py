@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from modelsift import schemas
 from modelsift.operators import checks
+from modelsift.operators.merge import viewer_requests
 from modelsift.operators.targets import ScopeError
 from modelsift.plans import publish
 from modelsift.plans.measures import StoredState, measures
@@ -17,20 +18,21 @@ from modelsift.sinks.tables import Tables, history_name
 from modelsift.sources.testdata import QuietTables, SampleTables, scan_config
 
 
-FAILING = "NATION_13"
+EMPTIED = "NATION_15"
 
 
-class StorageFails(SampleTables):
-    """The storage stage of one model fails, so its storage slice becomes empty."""
+class MoreFailures(SampleTables):
+    """The storage stage of one more model fails, so its storage slice becomes empty."""
 
     @property
     def stage_errors(self):
-        model = self.inventory.filter(F.col("Dataset Name") == FAILING).select(F.col("Dataset Id").alias("model_id"))
-        return model.select("model_id", F.lit("vpa").alias("stage"), F.lit("timed out").alias("message"))
+        model = self.inventory.filter(F.col("Dataset Name") == EMPTIED).select(F.col("Dataset Id").alias("model_id"))
+        failing = model.select("model_id", F.lit("vpa").alias("stage"), F.lit("timed out").alias("message"))
+        return SampleTables(self.spark, self.folder).stage_errors.unionByName(failing)
 
 
 def scan(spark, landed=SampleTables, **changes):
-    settings = dict(fail_on_skipped_model=False, **changes)
+    settings = {"fail_on_skipped_model": False, **changes}
     return Scan(spark, landed(spark, SMALL), scan_config(**settings))
 
 
@@ -51,7 +53,9 @@ def test_runs_in_sequence(spark, tables):
     # A quiet run first, then the same scan id with failing and gated models.
     publish.run(tables, scan(spark, QuietTables, scan_id="run-1", auth_mode="user"))
     before = contents(tables)
-    summary = json.loads(publish.run(tables, scan(spark, scan_id="run-2")))
+    emptied = F.col("semantic_model_name") == EMPTIED
+    assert publish.stored_table(tables, "column_storage").filter(emptied).count() > 0
+    summary = json.loads(publish.run(tables, scan(spark, MoreFailures, scan_id="run-2")))
     after = contents(tables)
     assert summary["status"] == "PARTIAL" and summary["skipped_count"] > 0 and summary["failed_count"] > 0
 
@@ -61,30 +65,21 @@ def test_runs_in_sequence(spark, tables):
         usable = row.overall_status in ("SUCCEEDED", "PARTIAL")
         assert overview[model_id].analysis_id == ("run-2" if usable else "run-1")
     assert {r.overall_status for r in models.values()} == {"SUCCEEDED", "PARTIAL", "FAILED", "SKIPPED_PERMISSION"}
+    # A processed model without rows is cleared.
+    assert publish.stored_table(tables, "column_storage").filter(emptied).count() == 0
     # History keeps both scans; the latest state per model is that of the second.
     assert set(before["finding"]) < set(after["finding"])
     dims = publish.stored_table(tables, "dim_model").filter(F.col("model_id").isin(list(models))).collect()
     assert {r.latest_scan_id for r in dims} == {"run-2"}
 
     # Replaying a run changes nothing.
-    publish.run(tables, scan(spark, scan_id="run-2"))
+    publish.run(tables, scan(spark, MoreFailures, scan_id="run-2"))
     assert contents(tables) == after
     runs = {r.scan_id: r for r in publish.stored_table(tables, "scan_run").collect()}
     assert set(runs) == {"run-1", "run-2"} and runs["run-2"].status == "PARTIAL"
     assert runs["run-1"].status == "SUCCEEDED" and runs["run-1"].completed_at is not None
 
 
-def test_a_processed_model_without_rows_is_cleared(spark, tables):
-    publish.run(tables, scan(spark, QuietTables, scan_id="run-3", auth_mode="user"))
-    storage = publish.stored_table(tables, "column_storage")
-    name = FAILING
-    assert storage.filter(F.col("semantic_model_name") == name).count() > 0
-    publish.run(tables, scan(spark, StorageFails, scan_id="run-4", auth_mode="user"))
-    storage = publish.stored_table(tables, "column_storage")
-    assert storage.filter(F.col("semantic_model_name") == name).count() == 0
-    assert storage.filter(F.col("semantic_model_name") != name).count() > 0
-
-
 def test_stored_state_answers_reports_and_meets_its_contract(spark, tables):
     state = StoredState(spark)
     scanned = measures(state).first()
@@ -103,21 +98,25 @@ def test_stored_state_answers_reports_and_meets_its_contract(spark, tables):
 
 
 def test_grants_are_synchronized(spark, tables):
-    first = scan(spark, scan_id="run-5", access_sync_mode="replace_scanner_managed", viewers="a@x; B@x")
-    publish.run(tables, first)
-    opened = first.targets.filter("permission_precheck_status = 'PASSED'").count()
+    def sync(viewers):
+        run = scan(spark, access_sync_mode="replace_scanner_managed", viewers=viewers)
+        publish.sync_grants(tables, viewer_requests(run.targets, run.config), run.config)
+        return run.targets.filter("permission_precheck_status = 'PASSED'").count()
+
+    opened = sync("a@x; B@x")
     access = publish.stored_table(tables, "model_access")
     assert access.filter("is_active").count() == 2 * opened
-    publish.run(tables, scan(spark, scan_id="run-6", access_sync_mode="replace_scanner_managed", viewers="b@x"))
+    sync("b@x")
     access = publish.stored_table(tables, "model_access")
-    active = {r.principal_upn: r.n for r in access.filter("is_active").groupBy("principal_upn").agg(F.count("*").alias("n")).collect()}
-    assert active == {"b@x": opened}
+    assert {r.principal_upn for r in access.filter("is_active").collect()} == {"b@x"}
+    assert access.filter("is_active").count() == opened
     assert access.filter("principal_upn = 'a@x' and not is_active and valid_to is not null").count() == opened
 
 
 def test_failures_are_recorded_and_raised(spark, tables):
+    few = dict(profile="standard", run_vpa=False, run_refresh=False, run_access_snapshot=False)
     with pytest.raises(publish.RunFailed, match="SKIPPED|skipped"):
-        publish.run(tables, Scan(spark, SampleTables(spark, SMALL), scan_config(scan_id="run-7")))
+        publish.run(tables, scan(spark, scan_id="run-7", fail_on_skipped_model=True, **few))
     with pytest.raises(ScopeError):
         publish.run(tables, scan(spark, scan_id="run-8", max_models_per_run=1))
     runs = {r.scan_id: r for r in spark.table(history_name("scan_run")).collect()}
