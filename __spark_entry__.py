@@ -18,11 +18,11 @@ from modelsift.operators import checks, profile, targets, triage  # noqa: E402
 from modelsift.operators.evidence import storage_modes, with_raw_json  # noqa: E402
 from modelsift.operators.findings import ORDER_COLUMNS  # noqa: E402
 from modelsift.operators.merge import one_per_key, replaced, synced_grants, upserted  # noqa: E402
-from modelsift.operators.ranking import first_per_key  # noqa: E402
+from modelsift.operators.ranking import first_per_key, union_all  # noqa: E402
 from modelsift.plans import reports  # noqa: E402
 from modelsift.plans.measures import ScanState, measures  # noqa: E402
 from modelsift.plans.scan import Scan  # noqa: E402
-from modelsift.session import configure  # noqa: E402
+from modelsift.session import configure, written  # noqa: E402
 from modelsift.sources import landing, testdata  # noqa: E402
 from modelsift.sources.testdata import SampleTables, prior_scan, sample_scan  # noqa: E402
 
@@ -127,7 +127,8 @@ def _upsert_finding_history(spark: SparkSession, folder: str) -> DataFrame:
     attempt = new.filter(F.col("rule_name").isin("Rule 1", "Rule 2")).withColumn("scanner_version", F.lit("1.9.0"))
     keys = schemas.TECHNICAL_KEYS["finding"]
     held = prior_scan(spark, folder).rule_findings.select(names).unionByName(one_per_key(attempt, keys))
-    return upserted(held, one_per_key(new, keys), keys).select(
+    # Read twice by the upsert, so written once, as the table writer does.
+    return upserted(held, written(one_per_key(new, keys), "new-findings"), keys).select(
         "finding_id", "scan_id", "model_id", "rule_name", "severity", "object_type", "scanner_version", "detected_at"
     )
 
@@ -167,28 +168,28 @@ def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 def _key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     state = ScanState(sample_scan(configure(spark), folder))
-    return checks.union_all([checks.key_uniqueness(t, state[t], keys) for t, keys in schemas.CURATED_KEYS.items()])
+    return union_all([checks.key_uniqueness(t, state[t], keys) for t, keys in schemas.CURATED_KEYS.items()])
 
 
 def _table_key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     tables = SampleTables(configure(spark), folder)
-    return checks.union_all([checks.key_uniqueness(t, tables.table(t), keys) for t, keys in TABLE_KEYS.items()])
+    return union_all([checks.key_uniqueness(t, tables.table(t), keys) for t, keys in TABLE_KEYS.items()])
 
 
 def _relationship_integrity(spark: SparkSession, folder: str) -> DataFrame:
     state = ScanState(sample_scan(configure(spark), folder))
-    return checks.union_all([checks.relationship_integrity(state, *r) for r in schemas.RELATIONSHIPS])
+    return union_all([checks.relationship_integrity(state, *r) for r in schemas.RELATIONSHIPS])
 
 
 def _table_relationship_integrity(spark: SparkSession, folder: str) -> DataFrame:
     tables = SampleTables(configure(spark), folder)
     frames = {t: tables.table(t) for t in testdata.SAMPLE_SCHEMAS}
-    return checks.union_all([checks.relationship_integrity(frames, *r) for r in TABLE_REFERENCES])
+    return union_all([checks.relationship_integrity(frames, *r) for r in TABLE_REFERENCES])
 
 
 def _schema_contract(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
-    return checks.union_all(
+    return union_all(
         [
             checks.schema_contract(
                 name,

@@ -1,7 +1,5 @@
 """Contract checks: unique keys, intact relationships, declared columns."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +46,6 @@ def relationship_integrity(
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def schema_contract(name: str, df: DataFrame, declared: T.StructType) -> DataFrame:
     """Declared against actual columns, names without regard to case; nulls in required columns are counted.
 

@@ -1,12 +1,12 @@
 """Column storage profile of lake tables, and rules over it."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelsift.operators.ranking import union_all
+
 # Values longer than this are counted by their SHA-256, so whole texts are not shuffled.
 MAX_KEY_BYTES = 64
 SCALARS = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -31,33 +31,40 @@ def _types(df: DataFrame) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])[F.col("column_name")]
 
 
-def distinct_values(df: DataFrame, table: str) -> DataFrame:
-    """One row per column and value with its count. Counts are combined before the shuffle."""
-    names = profiled_columns(df)
-    text = df.select(*[_as_text(df, n) for n in names])
-    value, width = F.col("value"), F.octet_length("value")
-    return (
-        text.unpivot([], names, "column_name", "value")
-        .select(
-            F.lit(table).alias("table_name"),
-            "column_name",
-            _types(df).alias("data_type"),
-            F.when(width > MAX_KEY_BYTES, F.sha2(value, 256)).otherwise(value).alias("value"),
-            width.alias("width"),
-        )
-        .groupBy("table_name", "column_name", "data_type", "value", "width")
-        .agg(F.count(F.lit(1)).alias("n"))
+def distinct_values(df: DataFrame, table: str, name: str) -> DataFrame:
+    """One row per value of a column: its width as text and its count.
+
+    Each column is scanned and grouped by itself, in its own type: a columnar file is read once in
+    all, a column of few values stays small in memory, and only distinct values are turned to text.
+    Counts are combined before the shuffle, so a hot value costs one row per task.
+    """
+    col, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        width = F.octet_length(col)
+        key = F.when(width > MAX_KEY_BYTES, F.sha2(col, 256)).otherwise(col)
+        grouped = df.groupBy(key.alias("value"), width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        grouped = df.groupBy(col.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        grouped = grouped.withColumn("width", F.octet_length(_as_text(grouped, "value")))
+    return grouped.select(
+        F.lit(table).alias("table_name"),
+        F.lit(name).alias("column_name"),
+        F.lit(kind.simpleString()).alias("data_type"),
+        "width",
+        "n",
     )
 
 
-def _exact_counts(df: DataFrame, table: str) -> DataFrame:
+def _exact_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """All values of all columns, then one row per column. A null value has no width."""
+    values = [distinct_values(df, table, name) for table, df in tables.items() for name in profiled_columns(df)]
     return (
-        distinct_values(df, table)
+        union_all(values)
         .groupBy("table_name", "column_name", "data_type")
         .agg(
             F.sum("n").alias("row_count"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(F.lit(0))).alias("null_count"),
-            F.count("value").alias("cardinality"),
+            F.sum(F.when(F.col("width").isNull(), F.col("n")).otherwise(F.lit(0))).alias("null_count"),
+            F.count("width").alias("cardinality"),
             F.coalesce(F.sum("width"), F.lit(0)).cast("bigint").alias("dictionary_size_bytes"),
         )
     )
@@ -101,8 +108,10 @@ def column_profile(tables: dict[str, DataFrame], model_id: str, approximate: boo
 
     Data bytes are those of bit-packed dictionary codes; dictionary bytes those of the distinct values.
     """
-    counts = _approximate_counts if approximate else _exact_counts
-    profile = reduce(DataFrame.unionByName, [counts(df, name) for name, df in tables.items()])
+    if approximate:
+        profile = union_all([_approximate_counts(df, name) for name, df in tables.items()])
+    else:
+        profile = _exact_counts(tables)
     bits = F.length(F.bin(F.greatest(F.col("cardinality"), F.lit(2)) - 1))
     profile = profile.withColumn("data_size_bytes", F.floor((F.col("row_count") * bits + 7) / 8))
     profile = profile.withColumn("total_size_bytes", F.col("data_size_bytes") + F.col("dictionary_size_bytes"))

@@ -1,4 +1,4 @@
-"""Top-k, latest-row and position operators that stay balanced when one group is huge, and the broadcast rule."""
+"""Top-k, latest-row and position operators that stay balanced when one group is huge; unions; the broadcast rule."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +13,14 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union of many frames, pairwise, so that no plan is analyzed once per frame."""
+    while len(frames) > 1:
+        pairs = [frames[i : i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered from 1.
 

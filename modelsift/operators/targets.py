@@ -208,7 +208,7 @@ def check_size(targets: DataFrame, limit: int) -> DataFrame:
     return targets
 
 
-def resolve_targets(
+def find_targets(
     spark: SparkSession,
     config: ScanConfig,
     inventory: DataFrame,
@@ -223,5 +223,9 @@ def resolve_targets(
         targets = requested_models(spark, scoped, config)
     else:
         targets = eligible_models(scoped, config)
-    targets = without_defaults(targets, config).select(*TARGET_COLUMNS)
-    return check_size(targets, config.max_models_per_run)
+    return without_defaults(targets, config).select(*TARGET_COLUMNS)
+
+
+def resolve_targets(spark: SparkSession, config: ScanConfig, *landed: DataFrame | None) -> DataFrame:
+    """Targets of a run; raises ScopeError when there are none or too many."""
+    return check_size(find_targets(spark, config, *landed), config.max_models_per_run)

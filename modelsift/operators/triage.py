@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelsift.functions.messages import error_category, is_retryable
-from modelsift.functions.text import error_text
 
 
 def classified_errors(log: DataFrame) -> DataFrame:
@@ -13,15 +12,7 @@ def classified_errors(log: DataFrame) -> DataFrame:
 
 
 def error_triage(log: DataFrame) -> DataFrame:
-    """Counts per category and retryability, with one example as it would be stored."""
+    """Counts per category and retryability."""
     return (
-        classified_errors(log)
-        .groupBy("error_category", "is_retryable")
-        .agg(F.count(F.lit(1)).alias("error_count"), F.min("message").alias("example"))
-        .select(
-            "error_category",
-            "is_retryable",
-            "error_count",
-            error_text(F.lit("CollectorError"), F.col("example")).alias("stored_example"),
-        )
+        classified_errors(log).groupBy("error_category", "is_retryable").agg(F.count(F.lit(1)).alias("error_count"))
     )

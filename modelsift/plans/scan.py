@@ -5,7 +5,7 @@ evidence and columns it needs and nothing else.
 """
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from modelsift.operators import evidence as E
 from modelsift.operators import findings as N
 from modelsift.operators import rollup as R
 from modelsift.operators import runstate as S
-from modelsift.operators.ranking import small
-from modelsift.operators.targets import resolve_targets
+from modelsift.operators.ranking import small, union_all
+from modelsift.operators.targets import check_size, find_targets
 from modelsift.session import written
 from modelsift.sources import landing
 
@@ -52,9 +52,12 @@ class Scan:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return resolve_targets(
-            self.spark, self.config, self.landed.inventory, self.landed.workspace_access, self.landed.workspaces
+        """Written once, so that safeguard, states and grants see the same models."""
+        landed = self.landed
+        found = find_targets(
+            self.spark, self.config, landed.inventory, landed.workspace_access, landed.workspaces
         )
+        return check_size(written(found, "targets"), self.config.max_models_per_run)
 
     @cached_property
     def states(self) -> DataFrame:
@@ -131,7 +134,7 @@ class Scan:
     @cached_property
     def findings(self) -> DataFrame:
         parts = [self.rule_findings, self.storage_findings, self.unused_findings, self.fallback_findings]
-        return reduce(DataFrame.unionByName, parts)
+        return union_all(parts)
 
     # ---- model and run rows ----
 
@@ -200,7 +203,10 @@ class Scan:
 
     @cached_property
     def overview(self) -> DataFrame:
-        """Counts need neither positions nor the order of refreshes, so they skip both."""
+        """Counts need neither positions nor the order of refreshes, so they skip both.
+
+        Written once: it has one row per model and is what the report's filters start from.
+        """
         refresh = R.row_counts(self._of_stage("refresh_history", "refresh", raw=False), "refresh_count")
         counts = [
             R.group_counts(self.finding_groups),
@@ -209,7 +215,7 @@ class Scan:
             R.row_counts(self._of_stage("fallback_reasons", "direct_lake", raw=False), "direct_lake_count"),
             R.row_counts(self._of_stage("item_access", "access_snapshot", raw=False), "access_count"),
         ]
-        return R.overview(self.curated_models, counts)
+        return written(R.overview(self.curated_models, counts), "overview")
 
     def pin(self) -> "Scan":
         """Write the rows that several tables are made of, before any of those is planned.

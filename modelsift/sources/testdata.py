@@ -173,7 +173,7 @@ class SampleTables:
     def column_groups(self) -> DataFrame:
         """One row per model column: a supplier is a table, a part number modulo 50 a column."""
         return (
-            self.table("lineitem")
+            self.spread("lineitem", "l_suppkey")
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy("s_nationkey", "l_suppkey", (F.col("l_partkey") % 50).alias("slot"))
             .agg(

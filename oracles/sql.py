@@ -940,8 +940,7 @@ oracle("schema_contract", _contract_sql())
 
 oracle(
     "error_triage",
-    """select error_category, is_retryable, count(*) as error_count,
- concat('CollectorError: ', min(message)) as stored_example
+    """select error_category, is_retryable, count(*) as error_count
 from (select *, error_category in ('THROTTLING', 'TIMEOUT') or regexp_matches(message, '50[0234]') as is_retryable
  from (select message, case when regexp_matches(lower(message), '401|unauthorized|authentication') then 'AUTHENTICATION'
    when regexp_matches(lower(message), '403|forbidden|readwrite|permission|not authorized') then 'AUTHORIZATION'
