@@ -75,7 +75,8 @@ def run(tables: Tables, scan: Scan, initialize_only: bool = False, requests: Dat
         return None
     try:
         _run_row(tables, S.running_row(scan.targets, config))
-        sync_grants(tables, requests or viewer_requests(scan.targets, config), config)
+        asked = viewer_requests(scan.targets, config) if requests is None else requests
+        sync_grants(tables, asked, config)
         scan.pin()
         publish_history(tables, scan)
         publish_current_state(tables, scan)

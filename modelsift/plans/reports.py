@@ -5,6 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelsift.functions.text import blank_to_null
 from modelsift.functions.values import megabytes
 from modelsift.plans.measures import SlicedState, Slicers, _combined, _count, finding_measures
 
@@ -154,8 +155,11 @@ def opportunity_navigation(state: Mapping) -> DataFrame:
         pairs = state[links].groupBy("opportunity_id", "related_entity_id").agg(
             F.count(F.lit(1)).alias("link_count")
         )
-        titles = state[entities].groupBy(F.col(key).alias("related_entity_id")).agg(
-            F.min(title).alias("related_title")
+        # Ids are hashes that contain the title, so distinct pairs are one row per id.
+        titles = (
+            state[entities]
+            .select(F.col(key).alias("related_entity_id"), blank_to_null(F.col(title)).alias("related_title"))
+            .distinct()
         )
         return pairs.join(titles, "related_entity_id").withColumn("related_kind", F.lit(kind))
 
