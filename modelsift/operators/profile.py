@@ -15,11 +15,10 @@ MOSTLY_NULL_SHARE = 0.9
 WIDE_TEXT_BYTES = 64
 
 
-def _as_text(df: DataFrame, name: str) -> Column:
-    col = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+def _as_text(col: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
         col = F.when(col == 0, F.lit(0.0)).otherwise(col)  # -0.0 and 0.0 are one value
-    return col.cast("string").alias(name)
+    return col.cast("string")
 
 
 def profiled_columns(df: DataFrame) -> list[str]:
@@ -43,14 +42,15 @@ def distinct_values(df: DataFrame, table: str, name: str) -> DataFrame:
         width = F.octet_length(col)
         key = F.when(width > MAX_KEY_BYTES, F.sha2(col, 256)).otherwise(col)
         grouped = df.groupBy(key.alias("value"), width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+        width = F.col("width")
     else:
         grouped = df.groupBy(col.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        grouped = grouped.withColumn("width", F.octet_length(_as_text(grouped, "value")))
+        width = F.octet_length(_as_text(F.col("value"), kind)).alias("width")
     return grouped.select(
         F.lit(table).alias("table_name"),
         F.lit(name).alias("column_name"),
         F.lit(kind.simpleString()).alias("data_type"),
-        "width",
+        width,
         "n",
     )
 
@@ -73,7 +73,7 @@ def _exact_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def _approximate_counts(df: DataFrame, table: str) -> DataFrame:
     """One pass without shuffling values: sketched cardinality, mean width for the dictionary."""
     names = profiled_columns(df)
-    text = df.select(*[_as_text(df, n) for n in names])
+    text = df.select(*[_as_text(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names])
     measures = []
     for n in names:
         col = F.col(f"`{n}`")
