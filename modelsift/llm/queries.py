@@ -1,13 +1,15 @@
 """Registered queries of the operators, and SQL for those that SQL can express."""
 
-from modelsift.llm import embeddings, minhash, mixing, quality_rules, sharding
+from modelsift.llm import embeddings, minhash, mixing, quality_model, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_quality_model": quality_model.op2_quality_model,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_hilbert_shards": sharding.op5_hilbert_shards,
     "op6_minhash_odd_sketch": minhash.op6_minhash_odd_sketch,
     "op8_itq_near_vectors": embeddings.op8_itq_near_vectors,
+    "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
 }
 
 ORACLES = {
