@@ -64,22 +64,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def hash_sample(df: DataFrame, column: str, size: int) -> DataFrame:
+    """At most size rows, by the hash of a column: a filter leaves about twice as many, a top-k takes the first.
+
+    The filter follows the row count, so the top-k never has to sort more than a small multiple of size.
+    """
+    key = F.xxhash64(F.col(column).cast("string"))
+    share = min(1.0, 2 * (size + 100) / max(df.count(), 1))
+    return df.filter(F.pmod(key, F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(key, column).limit(size)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, label) of at most per_class learnable documents of each label, chosen by a hash of the id.
 
     The choice is made on the labels alone, so its at most 2 * per_class ids can be broadcast.
     """
     learnable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    chosen = None
-    for value in (0, 1):
-        one = (
-            learnable.filter(F.col(label) == value)
-            .select("doc_id", F.col(label).cast("int").alias(OWN + "label"))
-            .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-            .limit(per_class)
-        )
-        chosen = one if chosen is None else chosen.unionByName(one)
-    chosen = F.broadcast(chosen.dropDuplicates(["doc_id"]))
+    learnable = learnable.select("doc_id", F.col(label).cast("int").alias(OWN + "label"))
+    zeros, ones = (hash_sample(learnable.filter(F.col(OWN + "label") == v), "doc_id", per_class) for v in (0, 1))
+    chosen = F.broadcast(zeros.unionByName(ones).groupBy("doc_id").agg(F.max(OWN + "label").alias(OWN + "label")))
     return documents.join(chosen, "doc_id").select(
         "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col(OWN + "label").alias("label")
     )
