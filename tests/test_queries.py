@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare import connect, difference
 from conftest import SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.library_queries(), entry.library_oracles()
 
 
 @pytest.fixture(scope="module")
