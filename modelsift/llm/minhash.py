@@ -146,10 +146,8 @@ def _with(df: DataFrame, classes: DataFrame, column: str, prefix: str) -> DataFr
 def confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     check = F.arrow_udf(linked, "boolean")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(texts.join(ids, "id", "left_semi"), f"{name}-texts")
-    both = pairs.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(
-        own.withColumnsRenamed({"id": "b", "text": "tb"}), "b"
+    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(
+        texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b"
     )
     return written(both.filter(check("ta", "tb")).select("a", "b"), f"{name}-links")
 
@@ -191,6 +189,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(
         rows.join(buckets.select("bucket", F.col("c.id").alias("centre")), "bucket"), "dedup-members"
     )
+    # The whole table's texts are shuffled once; all three steps read those of the members.
+    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"), "dedup-texts")
 
     stars = members.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     stars = _with(_with(stars, classes, "a", "a"), classes, "b", "b").filter(likely("a", "b"))
