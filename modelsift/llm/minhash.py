@@ -1,8 +1,8 @@
 """MinHash near-dedup: banded candidates, odd sketches to pick them, full sets to confirm them.
 
 A document's set holds its distinct 3-word shingles (A-Z lower-cased; a text of one or two words is one
-shingle). Equal sets are one class at once, so copies never meet pair by pair. Each class gets 256 MinHash
-samples, cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of 1,024 bits, so the
+shingle). Equal sets are one class at once, so copies never meet pair by pair. Each class gets 512 MinHash
+samples, of which 256 are cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of 2,048 bits, so the
 population count of two sketches' XOR grows with the samples that differ and estimates high similarities.
 A pair goes on if its count is within four standard deviations of what a similarity of 0.85 gives.
 
@@ -34,8 +34,8 @@ from modelsift.session import written
 SHINGLE = 3
 PERCENT = 85  # 100 * intersection >= PERCENT * union
 BANDS, ROWS = 32, 8
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
+SAMPLES = 512  # the first BANDS * ROWS make the bands, all make the sketch
+SKETCH_BITS = 2048
 LONGS = SKETCH_BITS // 64
 DEVIATIONS = 4.0
 
@@ -98,7 +98,7 @@ def signatures(texts: pa.Array) -> pa.Array:
             keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
             if len(shingles):
                 least = samples(shingles, multipliers)
-                joined = hashing.mixed((least.reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64))
+                joined = hashing.mixed((least[: BANDS * ROWS].reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64))
                 bands.append(joined.view(np.int64))
                 sketches.append(odd_sketch(least))
             else:
