@@ -2,8 +2,8 @@
 
 A document's set holds its distinct 3-word shingles (A-Z lower-cased; a text of one or two words is one
 shingle). Equal sets are one class at once, so copies never meet pair by pair. Each class gets 512 MinHash
-samples, of which 256 are cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of 2,048 bits, so the
-population count of two sketches' XOR grows with the samples that differ and estimates high similarities.
+samples, of which 256 are cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of 2,048 bits, so
+the population count of two sketches' XOR grows with the samples that differ and estimates high similarities.
 A pair goes on if its count is within four standard deviations of what a similarity of 0.85 gives.
 
 Links are found in three steps, each joining only classes that are not yet connected:
@@ -136,9 +136,17 @@ def likely(a: str, b: str) -> Column:
     return fits & (odd_bits(a, b) <= most_odd_bits())
 
 
+def first_shared(a: str, b: str) -> Column:
+    """Place (from 1) of the first band that two classes share; a pair counts in that bucket alone."""
+    return F.array_position(F.zip_with(f"{a}bands", f"{b}bands", lambda x, y: x == y), True)
+
+
 def _with(df: DataFrame, classes: DataFrame, column: str, prefix: str) -> DataFrame:
     side = classes.select(
-        F.col("id").alias(column), F.col("n").alias(prefix + "n"), F.col("sketch").alias(prefix + "sketch")
+        F.col("id").alias(column),
+        F.col("n").alias(prefix + "n"),
+        F.col("sketch").alias(prefix + "sketch"),
+        F.col("bands").alias(prefix + "bands"),
     )
     return df.join(side, column)
 
@@ -183,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
-    rows = classes.select("id", F.posexplode("bands")).select("id", F.xxhash64("pos", "col").alias("bucket"))
+    rows = classes.select("id", F.posexplode("bands")).select("id", "pos", F.xxhash64("pos", "col").alias("bucket"))
     centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), centre.alias("c")).filter("m > 1")
     members = written(
@@ -204,23 +212,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(_apart(stars.select("a", "b"), comp), texts, "dedup-other")
     comp = _merged(comp, links, "dedup-2")
 
-    placed = members.select("bucket", "id").join(comp, "id")
+    placed = members.select("bucket", "pos", "id").join(comp, "id")
     parts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     split = parts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("m", "comp")).alias("main")
     )
     open_rows = written(placed.join(split.filter("parts > 1").select("bucket", "main"), "bucket"), "dedup-open")
     side = lambda df, p: df.select(
-        "bucket", "main", F.col("id").alias(p), F.col("comp").alias(p + "c"), p + "n", p + "sketch"
+        "bucket", "main", "pos", F.col("id").alias(p), F.col("comp").alias(p + "c"), p + "n", p + "sketch", p + "bands"
     )
     left = side(_with(open_rows.filter("comp <> main"), classes, "id", "a"), "a")
-    right = side(_with(open_rows, classes, "id", "b"), "b").drop("main")
+    right = side(_with(open_rows, classes, "id", "b"), "b").drop("main", "pos")
     apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("ac") < F.col("bc")))
     rest = (
         left.join(right, "bucket")
-        .filter(apart & likely("a", "b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .filter(apart & likely("a", "b") & (first_shared("a", "b") == F.col("pos") + 1))
+        .select("a", "b")
     )
     links = confirmed(written(rest, "dedup-rest"), texts, "dedup-rest")
     comp = _merged(comp, links, "dedup-3")
