@@ -17,7 +17,7 @@ from modelsift.functions.text import upn_list  # noqa: E402
 from modelsift.operators import checks, profile, targets, triage  # noqa: E402
 from modelsift.operators.evidence import storage_modes, with_raw_json  # noqa: E402
 from modelsift.operators.findings import ORDER_COLUMNS  # noqa: E402
-from modelsift.operators.merge import one_per_key, replaced, synced_grants, upserted  # noqa: E402
+from modelsift.operators.merge import replaced, synced_grants, upserted  # noqa: E402
 from modelsift.operators.ranking import first_per_key, union_all  # noqa: E402
 from modelsift.plans import reports  # noqa: E402
 from modelsift.plans.measures import ScanState, measures  # noqa: E402
@@ -126,9 +126,9 @@ def _upsert_finding_history(spark: SparkSession, folder: str) -> DataFrame:
     new = sample_scan(configure(spark), folder).rule_findings.select(names)
     attempt = new.filter(F.col("rule_name").isin("Rule 1", "Rule 2")).withColumn("scanner_version", F.lit("1.9.0"))
     keys = schemas.TECHNICAL_KEYS["finding"]
-    held = prior_scan(spark, folder).rule_findings.select(names).unionByName(one_per_key(attempt, keys))
+    held = prior_scan(spark, folder).rule_findings.select(names).unionByName(attempt)
     # Read twice by the upsert, so written once, as the table writer does.
-    return upserted(held, written(one_per_key(new, keys), "new-findings"), keys).select(
+    return upserted(held, written(new, "new-findings"), keys).select(
         "finding_id", "scan_id", "model_id", "rule_name", "severity", "object_type", "scanner_version", "detected_at"
     )
 
@@ -237,7 +237,7 @@ def library_queries() -> dict[str, Query]:
         "bpa_findings": _finding(lambda s: s.rule_findings),
         "vpa_column_rows": _stored("vpa_column", lambda s: with_raw_json(s.column_rows)),
         "vpa_table_rows": _stored("vpa_table", lambda s: s.table_rows),
-        "storage_findings_topk": _finding(lambda s: s.storage_findings),
+        "storage_findings_topk": _finding(lambda s: s.largest_storage_findings(30)),
         "storage_mode": _storage_mode,
         "unused_objects": _unused_objects,
         "usage_rows": _stored("object_usage", lambda s: s.usage_rows),

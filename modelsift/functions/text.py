@@ -33,10 +33,6 @@ def stable_id(*parts) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
-def clean(col: Column, max_len: int = 8000) -> Column:
-    return F.substring(col.cast("string"), 1, max_len)
-
-
 def canonical_name(text: str) -> str:
     """Column heading -> lower-case name with single underscores."""
     return "_".join(re.findall(r"[a-z0-9]+", text.lower()))
@@ -85,7 +81,7 @@ def normalized_requester(col: Column) -> Column:
 
 
 def error_text(kind: Column, message: Column) -> Column:
-    return clean(F.concat(kind, F.lit(": "), message), 4000)
+    return F.concat(kind, F.lit(": "), message)
 
 
 def iso_text(col: Column, zoned: bool) -> Column:

@@ -104,23 +104,16 @@ def storage_candidates(columns: DataFrame, config: ScanConfig) -> DataFrame:
     """Columns that are large and either a big share of the model or of high cardinality."""
     share = F.coalesce("model_size_pct", F.lit(0.0)) >= config.min_column_model_pct
     distinct = F.coalesce("cardinality", F.lit(0)) >= config.high_cardinality
-    return columns.filter((F.col("total_size_bytes") >= config.min_column_bytes) & (share | distinct))
-
-
-def storage_findings(columns: DataFrame, config: ScanConfig) -> DataFrame:
-    """The largest candidates of each model."""
-    ranked = top_per_group(
-        storage_candidates(columns, config),
-        ["model_id"],
-        [
-            F.desc("total_size_bytes"),
-            F.col("evidence_ordinal").asc_nulls_first(),
-            F.col("table_name").asc_nulls_first(),
-            F.col("column_name").asc_nulls_first(),
-            F.col(RAW).asc_nulls_first(),
-        ],
-        config.max_storage_findings_per_model,
-    )
+    large = F.coalesce("total_size_bytes", F.lit(0)) >= config.min_column_bytes
+    return columns.filter(large & (share | distinct))
+
+
+def storage_findings(columns: DataFrame, config: ScanConfig, k: int | None = None) -> DataFrame:
+    """A finding for every candidate; k keeps the k largest of each model. The largest are seen first."""
+    ranked = storage_candidates(columns, config)
+    if k is not None:
+        order = [F.col(c).asc_nulls_first() for c in ("evidence_ordinal", "table_name", "column_name", RAW)]
+        ranked = top_per_group(ranked, ["model_id"], [F.desc("total_size_bytes"), *order], k)
     share = F.coalesce("model_size_pct", F.lit(0.0))
     return finding_rows(
         ranked,
@@ -132,7 +125,7 @@ def storage_findings(columns: DataFrame, config: ScanConfig) -> DataFrame:
         F.lit("Column"),
         F.col("table_name"),
         F.col("column_name"),
-        F.col("rank"),
+        -F.coalesce("total_size_bytes", F.lit(0)),
         category=F.lit("Storage"),
         severity=F.when(share < config.high_column_model_pct, "WARNING").otherwise("ERROR"),
         impact_area=F.lit("MODEL_SIZE"),

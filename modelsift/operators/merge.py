@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 
 from modelsift.config import OPEN_PRECHECK_STATUSES, ScanConfig
 from modelsift.functions.text import stable_id
-from modelsift.operators.ranking import first_per_key, full_row_order, small
 
 EXPLICIT_SOURCE = "SCAN_REQUEST_EXPLICIT"
 
 
-def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several source rows with a key, the first by the order of all columns."""
-    return first_per_key(rows, keys, full_row_order(rows))
-
-
 def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows without a source row of their key, and all source rows. source has one row per key."""
+    """Target rows without a source row of their key, and all source rows, also several of one key."""
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
 
 
@@ -62,7 +56,7 @@ def without_withdrawn(access: DataFrame, requests: DataFrame, grants: DataFrame,
     wanted = grants.select("model_id", "principal_upn", F.lit(True).alias("_wanted"))
     models = requests.groupBy("model_id").agg(F.max(F.size("viewers") > 0).alias("_any"))
     joined = access.join(wanted, ["model_id", "principal_upn"], "left").join(
-        small(models, config.max_models_per_run), "model_id", "left"
+        models, "model_id", "left"
     )
     # A grant without a principal is only ended when nobody is asked for.
     absent = ~F.col("_any") | (F.col("principal_upn").isNotNull() & F.col("_wanted").isNull())

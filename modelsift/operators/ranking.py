@@ -1,16 +1,10 @@
-"""Top-k, latest-row and position operators that stay balanced when one group is huge; unions; the broadcast rule."""
+"""Top-k, latest-row and position operators that stay balanced when one group is huge; unions."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 POSITION_RANGE = 1_000_000
-BROADCAST_MAX_ROWS = 100_000
-
-
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side whose row count a safeguard has already bounded; join normally otherwise."""
-    return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -20,7 +20,7 @@ ERROR_KEYS = ("capacity", "model_size", *STAGES)
 
 def error_columns(stage_errors: DataFrame) -> DataFrame:
     """One row per model, one column per collector with its error message."""
-    return stage_errors.groupBy("model_id").agg(
+    return stage_errors.groupBy(F.lower("model_id").alias("model_id")).agg(
         *[F.min(F.when(F.col("stage") == k, F.col("message"))).alias(f"{k}_error") for k in ERROR_KEYS]
     )
 
@@ -40,6 +40,12 @@ def is_gated(config: ScanConfig) -> Column:
     return F.coalesce(F.col("permission_precheck_status") != "PASSED", F.lit(True))
 
 
+def one_value(rows: DataFrame, key: str, *values: str) -> DataFrame:
+    """One attribute row per id, ids without regard to case: the greatest of several."""
+    greatest = F.max(F.struct(*values)).alias("_value")
+    return rows.groupBy(F.lower(key).alias(key)).agg(greatest).select(key, *[f"_value.{v}" for v in values])
+
+
 def model_states(
     targets: DataFrame,
     stage_errors: DataFrame,
@@ -52,8 +58,8 @@ def model_states(
     joined = (
         targets.join(error_columns(stage_errors), "model_id", "left")
         .join(modes.withColumnRenamed("storage_mode", "_mode"), "model_id", "left")
-        .join(sizes.select("model_id", F.col("model_size_bytes").alias("_size")), "model_id", "left")
-        .join(capacity.select("workspace_id", "capacity_id", "capacity_name"), "workspace_id", "left")
+        .join(one_value(sizes, "model_id", "model_size_bytes").withColumnRenamed("model_size_bytes", "_size"), "model_id", "left")
+        .join(one_value(capacity, "workspace_id", "capacity_id", "capacity_name"), "workspace_id", "left")
         .withColumn("gated", is_gated(config))
     )
     gated = F.col("gated")

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsift.config import OPEN_PRECHECK_STATUSES, ScanConfig
+from modelsift.config import OPEN_PRECHECK_STATUSES, ScanConfig, guids_of
 from modelsift.functions.text import blank_to_null, guids_in, strip
-from modelsift.operators.ranking import small, top_per_group
+from modelsift.operators.ranking import top_per_group
 from modelsift.sources import landing
 
 # Principal types that can be the scanner.
@@ -48,7 +48,7 @@ def workspace_precheck(
     scope: DataFrame, access: DataFrame | None, config: ScanConfig, errors: DataFrame | None = None
 ) -> DataFrame:
     """One row per workspace: may the scanner read it, as which role, and why not."""
-    if not config.gate_enforced or access is None:
+    if not config.gate_enforced:
         status = "NOT_CHECKED_USER_MODE" if config.user_mode else "NOT_ENFORCED"
         message = USER_MODE_MESSAGE if config.user_mode else DISABLED_MESSAGE
         return scope.select(
@@ -58,7 +58,7 @@ def workspace_precheck(
             F.lit(None).cast("string").alias("scanner_workspace_role"),
             F.lit(message).alias("permission_precheck_message"),
         )
-    scanner_ids = [i.lower() for i in (config.scanner_object_id, config.scanner_client_id) if i]
+    scanner_ids = guids_of(config.scanner_object_id, config.scanner_client_id)
     if not scanner_ids:
         return scope.select(
             "workspace_id",
@@ -68,6 +68,17 @@ def workspace_precheck(
             F.lit(NO_SCANNER_ID_MESSAGE).alias("permission_precheck_message"),
         )
 
+    if access is None:  # nothing was landed to check against: closed, as after any other failed look
+        return scope.select(
+            "workspace_id",
+            F.lit("ERROR").alias("permission_precheck_status"),
+            F.lit(None).cast("string").alias("access_workspace_name"),
+            F.lit(None).cast("string").alias("scanner_workspace_role"),
+            F.lit("No workspace access was landed, so the scanner's role is unknown.").alias(
+                "permission_precheck_message"
+            ),
+        )
+
     rows = landing.evidence(access, "workspace_access", raw=False)
     ordinal = F.col("source_ordinal") if "source_ordinal" in access.columns else F.lit(0)
     # The row order decides which of several matching principals counts.
@@ -145,7 +156,7 @@ def scoped_models(
         "workspace_name",
         F.coalesce(blank_to_null(F.col("access_workspace_name")), F.col("listed_name"), F.col("workspace_id")),
     )
-    return models.join(small(detail, len(config.scope_workspaces)), "workspace_id").withColumn(
+    return models.join(detail, "workspace_id").withColumn(
         "scope_source", F.lit("MODEL" if config.scope_models else "WORKSPACE")
     )
 
@@ -153,7 +164,7 @@ def scoped_models(
 def requested_models(spark: SparkSession, scoped: DataFrame, config: ScanConfig) -> DataFrame:
     """Only the requested models; missing, ambiguous and excluded requests are errors."""
     wanted = guid_table(spark, config.scope_models, "request_order", "model_id")
-    found = scoped.join(small(wanted, len(config.scope_models)), "model_id")
+    found = scoped.join(wanted, "model_id")
     # One row per requested id, so the answer is as small as the request.
     problems = (
         wanted.join(found.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.max("model_name").alias("name")), "model_id", "left")
@@ -171,20 +182,20 @@ def requested_models(spark: SparkSession, scoped: DataFrame, config: ScanConfig)
     )
     by_kind = {kind: [p.model_id for p in problems if p.problem == kind] for kind in ("excluded", "missing", "ambiguous")}
     if by_kind["excluded"]:
-        raise ScopeError(f"Model {by_kind['excluded'][0]} is excluded by platform configuration.")
+        raise ScopeError("Requested, but on the exclusion list: " + ", ".join(by_kind["excluded"]))
     if by_kind["missing"]:
         raise ScopeError(
-            "The following Model IDs were not found in the supplied workspaces: " + ", ".join(by_kind["missing"])
+            "Requested, but in none of the workspaces in scope: " + ", ".join(by_kind["missing"])
         )
     if by_kind["ambiguous"]:
-        raise ScopeError("A Model ID matched more than one supplied workspace: " + ", ".join(by_kind["ambiguous"]))
+        raise ScopeError("Requested, but in several workspaces in scope: " + ", ".join(by_kind["ambiguous"]))
     return found.drop("request_order")
 
 
 def eligible_models(scoped: DataFrame, config: ScanConfig) -> DataFrame:
     """Without requested ids: each model once, from the first scoped workspace, unless excluded by name."""
     first = top_per_group(scoped, ["model_id"], [F.col("scope_order")], 1, "_nth").drop("_nth")
-    return first.filter(~F.lower(strip("model_name")).isin(config.excluded_names))
+    return first.filter(~F.coalesce(F.lower(strip("model_name")), F.lit("")).isin(config.excluded_names))
 
 
 def without_defaults(targets: DataFrame, config: ScanConfig) -> DataFrame:
@@ -195,16 +206,13 @@ def without_defaults(targets: DataFrame, config: ScanConfig) -> DataFrame:
     return targets.filter(~can_open | ~F.col("is_default_model"))
 
 
-def check_size(targets: DataFrame, limit: int) -> DataFrame:
-    """Refuse an empty scope and one above the safeguard; looks at no more than limit + 1 rows."""
-    n = targets.limit(limit + 1).count()
-    if n > limit:
-        raise ScopeError(
-            f"The scope contains more than the configured limit of {limit} models. "
-            "Enter selected Model IDs or ask the platform owner to raise the safeguard."
-        )
+def check_size(targets: DataFrame, limit: int | None) -> DataFrame:
+    """Refuse an empty scope and one above the limit that the caller set; looks at no more than limit + 1 rows."""
+    n = targets.limit((limit or 0) + 1).count()
+    if limit is not None and n > limit:
+        raise ScopeError(f"{n} or more models are in scope, but this run may take {limit}; name fewer or allow more.")
     if n == 0:
-        raise ScopeError("No eligible semantic models were found in the supplied scope.")
+        raise ScopeError("The scope holds no model that can be scanned.")
     return targets
 
 

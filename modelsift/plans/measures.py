@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsift import schemas
-from modelsift.functions.values import HIGH_SEVERITIES, megabytes
+from modelsift.functions.values import HIGH_SEVERITIES, is_high_severity, megabytes
 from modelsift.plans.scan import Scan
 
 # Slicers: table -> column -> accepted values.
@@ -94,7 +94,7 @@ def finding_measures(state: SlicedState, *more: Column) -> list[DataFrame]:
 
     The high count replaces a severity slicer instead of narrowing it, which takes a second pass.
     """
-    high = F.col("severity").isin(HIGH_SEVERITIES)
+    high = is_high_severity(F.col("severity"))
     if "severity" not in state.slicers.get("findings", {}):
         return [state["findings"].agg(_count("total_findings"), _count("high_findings", high), *more)]
     replaced = state.replacing("findings", "severity", HIGH_SEVERITIES)

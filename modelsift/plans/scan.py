@@ -16,7 +16,7 @@ from modelsift.operators import evidence as E
 from modelsift.operators import findings as N
 from modelsift.operators import rollup as R
 from modelsift.operators import runstate as S
-from modelsift.operators.ranking import small, union_all
+from modelsift.operators.ranking import union_all
 from modelsift.operators.targets import check_size, find_targets
 from modelsift.session import written
 from modelsift.sources import landing
@@ -73,10 +73,6 @@ class Scan:
         )
         return written(states, "model-states")
 
-    def per_model(self, df: DataFrame) -> DataFrame:
-        """A side with one row per target is as small as the safeguard on targets allows."""
-        return small(df, self.config.max_models_per_run)
-
     def _of_stage(self, kind: str, stage: str, raw: bool = True) -> DataFrame:
         """Evidence of the models whose stage succeeded, with workspace and model names."""
         rows = landing.evidence(getattr(self.landed, kind), kind, raw=raw)
@@ -85,7 +81,7 @@ class Scan:
         attributes = ["model_id", "workspace_id", "workspace_name", "model_name"]
         if stage == "vpa":
             attributes.append("model_size_bytes")
-        return rows.join(self.per_model(models.select(*attributes)), "model_id")
+        return rows.join(models.select(*attributes), "model_id")
 
     # ---- typed evidence ----
 
@@ -123,6 +119,10 @@ class Scan:
     def storage_findings(self) -> DataFrame:
         return N.storage_findings(self.column_rows, self.config)
 
+    def largest_storage_findings(self, k: int) -> DataFrame:
+        """Those of the k largest candidates of each model."""
+        return N.storage_findings(self.column_rows, self.config, k)
+
     @cached_property
     def unused_findings(self) -> DataFrame:
         return N.unused_findings(self.usage_rows, self.column_rows, self.config)
@@ -166,7 +166,7 @@ class Scan:
 
     def _usable(self, rows: DataFrame) -> DataFrame:
         ids = self.curated_models.select("model_id")
-        return rows.join(self.per_model(ids), "model_id", "left_semi")
+        return rows.join(ids, "model_id", "left_semi")
 
     @cached_property
     def usable_findings(self) -> DataFrame:
@@ -179,11 +179,11 @@ class Scan:
 
     @cached_property
     def opportunities(self) -> DataFrame:
-        return R.opportunities(self.finding_groups, self.per_model(self.curated_models))
+        return R.opportunities(self.finding_groups, self.curated_models)
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        return R.recommendations(self.finding_groups, self.per_model(self.curated_models))
+        return R.recommendations(self.finding_groups, self.curated_models)
 
     @cached_property
     def opportunity_recommendation_links(self) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelsift import schemas
-from modelsift.operators.merge import one_per_key, replaced, upserted
+from modelsift.operators.merge import replaced, upserted
 from modelsift.session import written
 
 BUCKETS = 64
@@ -133,7 +133,7 @@ class Tables:
 
         scan_id tells that all rows are of that scan, so its first write needs no look at the table.
         """
-        new = spec.placed(one_per_key(rows.select(spec.schema.names), keys))
+        new = spec.placed(rows.select(spec.schema.names))
         existing = self._partitions(spec)
         first_write = not spec.bucketed_by and scan_id is not None and scan_id not in existing
         if existing and not first_write:

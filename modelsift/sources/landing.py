@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelsift.functions import values as V
-from modelsift.functions.text import blank_to_null, canonical_name, clean, strip
+from modelsift.functions.text import blank_to_null, canonical_name, strip
 
 BOOKKEEPING = ("workspace_id", "model_id", "source_ordinal", "detected_at")
 
@@ -91,29 +91,8 @@ HEADINGS = {
     },
 }
 
-# How long each kept text may be (8000 elsewhere).
-MAX_LENGTH = {
-    "workspace_name": 1000,
-    "workspace_role": 200,
-    "rule_name": 1000,
-    "object_type": 200,
-    "table_name": 1000,
-    "column_name": 1000,
-    "object_name": 1000,
-    "category": 500,
-    "documentation_url": 2000,
-    "data_type": 200,
-    "encoding": 200,
-    "request_id": 500,
-    "refresh_type": 200,
-    "status": 200,
-    "principal_id": 500,
-    "principal_upn": 1000,
-    "principal_name": 1000,
-    "principal_type": 200,
-    "permissions": 2000,
-    "additional_permissions": 2000,
-}
+# Ids that landing tables share, compared in lower case.
+ID_COLUMNS = {"model_id", "workspace_id"}
 INTEGERS = {
     "total_size_bytes",
     "data_size_bytes",
@@ -163,7 +142,7 @@ def _value(df: DataFrame, logical: str, actual: str) -> Column:
         return V.as_timestamp(col, kind)
     if logical in BOOLEANS:
         return F.when(col.isNotNull(), V.as_bool(col, kind))
-    return clean(col, MAX_LENGTH.get(logical, 8000))
+    return F.lower(col.cast("string")) if logical in ID_COLUMNS else col.cast("string")
 
 
 def _pick(df: DataFrame, logical: str, accepted: list[str]) -> Column:
@@ -192,7 +171,10 @@ def evidence(df: DataFrame, kind: str, raw: bool = True) -> DataFrame:
     """Project landed rows to bookkeeping + logical columns (+ the whole row as a struct)."""
     keep = [c for c in BOOKKEEPING if c in df.columns and c not in HEADINGS[kind]]
     columns = [
-        F.col(c).cast("timestamp").alias(c) if c == "detected_at" else F.col(c) for c in keep
+        F.col(c).cast("timestamp").alias(c)
+        if c == "detected_at"
+        else (F.lower(c).alias(c) if c in ID_COLUMNS else F.col(c))
+        for c in keep
     ]
     columns += [_pick(df, name, accepted).alias(name) for name, accepted in HEADINGS[kind].items()]
     if raw:

@@ -328,11 +328,8 @@ _advice = (
 CTE["f_vpa"] = finding(
     "VPA_HEURISTIC", 1,
     "case when cardinality >= 1000000 then 'Large high-cardinality column' else 'Large storage contributor' end",
-    "'Column'", "table_name", "column_name", "n",
-    """(select *, row_number() over (partition by model_id
-  order by total_size_bytes desc, table_name, column_name) as n
- from column_rows where total_size_bytes >= 52428800 and (model_size_pct >= 10 or cardinality >= 1000000))
-where n <= 30""",
+    "'Column'", "table_name", "column_name", "-total_size_bytes",
+    "(select * from column_rows where total_size_bytes >= 52428800 and (model_size_pct >= 10 or cardinality >= 1000000))",
     category="'Storage'",
     severity="case when coalesce(model_size_pct, 0) < 25 then 'WARNING' else 'ERROR' end",
     impact_area="'MODEL_SIZE'",
@@ -569,7 +566,11 @@ oracle(
 plain("bpa_findings", "f_bpa", FINDING_COLUMNS)
 plain("vpa_column_rows", "column_rows", "* exclude (workspace_name, model_name, overall_status)")
 plain("vpa_table_rows", "table_rows")
-plain("storage_findings_topk", "f_vpa", FINDING_COLUMNS)
+oracle(
+    "storage_findings_topk",
+    f"select {', '.join(FINDING_COLUMNS)} from (select *, row_number() over (partition by model_id "
+    "order by reclaimable_upper_bound_bytes desc, table_name, object_name) as nth from f_vpa) where nth <= 30",
+)
 plain("usage_rows", "usage_rows", "* exclude (workspace_name, model_name)")
 plain("unused_objects", "fx_usage")
 plain("unused_findings", "f_usage", FINDING_COLUMNS)
@@ -751,9 +752,8 @@ join opportunities o on o.opportunity_id = l.opportunity_id""",
 # ---- table updates -------------------------------------------------------------------------------
 
 _HISTORY = ["finding_id", "scan_id", "model_id", "rule_name", "severity", "object_type", "scanner_version", "detected_at"]
-_ORDER = ", ".join(f"{c} nulls first" for c in FINDING_COLUMNS)
 CTE["new_history"] = f"""
-select * from (select *, row_number() over (partition by finding_id order by {_ORDER}) as nth from f_bpa) where nth = 1"""
+select * from f_bpa"""
 CTE["prior_bpa"] = f"""
 select {sha(lit(PRIOR), 'b.model_id', "'BPA'", 'b.rule_name', 'b.table_name', 'b.object_name')} as finding_id,
  '{PRIOR}' as scan_id, b.model_id, b.rule_name,

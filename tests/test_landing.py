@@ -31,10 +31,15 @@ def test_equal_headings_the_last_wins(spark):
     assert landing.with_canonical_names(df).columns == ["model_id", "rule_name"]
 
 
-def test_texts_are_cut(spark):
+def test_texts_are_kept_whole(spark):
     df = spark.createDataFrame([("m", "x" * 9000, "y" * 9000)], "model_id string, `Rule` string, `Description` string")
     got = landing.evidence(df, "rule_violations").first()
-    assert (len(got.rule_name), len(got.description)) == (1000, 8000)
+    assert (len(got.rule_name), len(got.description)) == (9000, 9000)
+
+
+def test_ids_are_compared_in_lower_case(spark):
+    df = spark.createDataFrame([("ABC", "r")], "model_id string, `Rule` string")
+    assert landing.evidence(df, "rule_violations").first().model_id == "abc"
 
 
 def test_missing_usage_flag_means_used(spark):

@@ -48,18 +48,18 @@ def test_scope_exclusions_defaults_and_first_workspace(spark, inventory):
 def test_requested_models(spark, inventory):
     got = resolve(spark, inventory, model_ids=f"{M[3].upper()}; {M[3]}")
     assert set(got) == {M[3]} and got[M[3]].scope_source == "MODEL"
-    with pytest.raises(T.ScopeError, match=f"not found.*{M[4]}, {M[8]}"):
+    with pytest.raises(T.ScopeError, match=f"none of the workspaces.*{M[4]}, {M[8]}"):
         resolve(spark, inventory, model_ids=[M[4], M[8], M[3]])
-    with pytest.raises(T.ScopeError, match=f"more than one.*{M[0]}"):
+    with pytest.raises(T.ScopeError, match=f"several workspaces.*{M[0]}"):
         resolve(spark, inventory, model_ids=[M[0]])
-    with pytest.raises(T.ScopeError, match=f"{M[1]} is excluded"):
+    with pytest.raises(T.ScopeError, match=f"exclusion list: {M[1]}"):
         resolve(spark, inventory, model_ids=[M[1]])
 
 
 def test_safeguards(spark, inventory):
-    with pytest.raises(T.ScopeError, match="limit of 1"):
+    with pytest.raises(T.ScopeError, match="may take 1"):
         resolve(spark, inventory, max_models_per_run=1)
-    with pytest.raises(T.ScopeError, match="No eligible"):
+    with pytest.raises(T.ScopeError, match="no model"):
         resolve(spark, inventory, workspace_ids=[W[3]])
 
 
@@ -107,7 +107,7 @@ def test_precheck_other_outcomes(spark, inventory):
 
 def test_parameters():
     assert parameter_guids(f"{M[1].upper()},{M[0]};\n{M[1]} ", "x") == (M[1], M[0])
-    with pytest.raises(ValueError, match="must be a GUID"):
+    with pytest.raises(ValueError, match="is no GUID"):
         parameter_guids("nope", "x")
     with pytest.raises(ValueError, match="required"):
         parameter_guids(" ; ", "x", required=True)
@@ -133,3 +133,15 @@ def test_bad_configuration_is_refused(changes):
 def test_profiles():
     assert not config().enabled("usage")
     assert config(profile=" Deep ").enabled("usage")
+
+
+def test_nameless_models_stay_and_a_gate_without_evidence_is_closed(spark):
+    rows = [(W[0], M[0], None, False), (W[0], M[1], "b", False)]
+    inventory = spark.createDataFrame(rows, "workspace_id string, Id string, Name string, is_default_model boolean")
+    assert set(resolve(spark, inventory, workspace_ids=[W[0]])) == {M[0], M[1]}
+    config = ScanConfig(
+        scan_id="s", started_at=CLOCK, completed_at=CLOCK, workspace_ids=(W[0],), auth_mode="spn_secret",
+        scanner_client_id=f"app {ME}",
+    )
+    closed = T.workspace_precheck(T.scope_frame(spark, config), None, config).first()
+    assert closed.permission_precheck_status == "ERROR"
