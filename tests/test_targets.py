@@ -139,9 +139,6 @@ def test_nameless_models_stay_and_a_gate_without_evidence_is_closed(spark):
     rows = [(W[0], M[0], None, False), (W[0], M[1], "b", False)]
     inventory = spark.createDataFrame(rows, "workspace_id string, Id string, Name string, is_default_model boolean")
     assert set(resolve(spark, inventory, workspace_ids=[W[0]])) == {M[0], M[1]}
-    config = ScanConfig(
-        scan_id="s", started_at=CLOCK, completed_at=CLOCK, workspace_ids=(W[0],), auth_mode="spn_secret",
-        scanner_client_id=f"app {ME}",
-    )
-    closed = T.workspace_precheck(T.scope_frame(spark, config), None, config).first()
+    gated = config(workspace_ids=[W[0]], auth_mode="spn_secret", scanner_client_id=f"app {ME}")
+    closed = T.workspace_precheck(T.scope_frame(spark, gated), None, gated).first()
     assert closed.permission_precheck_status == "ERROR"
