@@ -109,7 +109,7 @@ def test_parameters():
     assert parameter_guids(f"{M[1].upper()},{M[0]};\n{M[1]} ", "x") == (M[1], M[0])
     with pytest.raises(ValueError, match="is no GUID"):
         parameter_guids("nope", "x")
-    with pytest.raises(ValueError, match="required"):
+    with pytest.raises(ValueError, match="names no workspace"):
         parameter_guids(" ; ", "x", required=True)
     assert parameter_upns(" B@x; a@x,b@X ") == ("a@x", "b@x")
 
