@@ -7,7 +7,8 @@ the population count of two sketches' XOR grows with the samples that differ and
 A pair goes on if its count is within four standard deviations of what a similarity of 0.85 gives.
 
 Links are found in three steps, each joining only classes that are not yet connected:
-1. in each bucket a seeded centre is paired with the members; each class confirms its likeliest centre;
+1. in each bucket the class that meets most others is the centre and is paired with the members; each class
+   confirms its likeliest centre;
 2. the other likely centres that lie in another component are confirmed;
 3. in buckets that still hold several components, members outside the largest are compared with all others.
 Work inside a bucket is thus a star, plus what the stars left apart, never all pairs; no pair is dropped for
@@ -192,15 +193,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
     rows = classes.select("id", F.posexplode("bands")).select("id", "pos", F.xxhash64("pos", "col").alias("bucket"))
-    centre = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), centre.alias("c")).filter("m > 1")
-    members = written(
-        rows.join(buckets.select("bucket", F.col("c.id").alias("centre")), "bucket"), "dedup-members"
-    )
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = written(rows.join(buckets, "bucket"), "dedup-members")
+    # The class that meets most others is the likeliest to be linked with them: the same centre in many buckets.
+    degree = members.groupBy("id").agg(F.sum("m").alias("d"))
+    centre = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("d", F.xxhash64("id"), "id")).alias("c"))
     # The whole table's texts are shuffled once; all three steps read those of the members.
     texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"), "dedup-texts")
 
-    stars = members.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    stars = members.join(centre.select("bucket", F.col("c.id").alias("centre")), "bucket").filter("id <> centre")
+    stars = stars.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     stars = _with(_with(stars, classes, "a", "a"), classes, "b", "b").filter(likely("a", "b"))
     stars = written(stars.select("a", "b", odd_bits("a", "b").alias("odd")), "dedup-stars")
 
