@@ -9,6 +9,7 @@ nothing but the rows of its own scan; other tables by a hash bucket of the model
 import re
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from modelsift.session import written
 
 BUCKETS = 64
 BUCKET = "model_bucket"
+FOLDER = "_folder"  # hash of a partition value: folder names never depend on the value's characters
 SCHEMA_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -67,10 +69,16 @@ class PendingSwap:
 
     spec: TableSpec
     folder: str
-    filled: list
+    filled: dict  # partition value -> name of its folder
     emptied: list
 
 
+def quoted(text: str) -> str:
+    """SQL literal of any text."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 class Tables:
     def __init__(self, spark: SparkSession, history_schema: str = schemas.HISTORY_SCHEMA):
         self.spark = spark
@@ -115,7 +123,7 @@ class Tables:
 
     def _partitions(self, spec: TableSpec) -> set[str]:
         shown = self.spark.sql(f"SHOW PARTITIONS {spec.name}").collect()
-        return {r[0].split("=", 1)[1] for r in shown}
+        return {unquote(r[0].split("=", 1)[1]) for r in shown}
 
     def held(self, spec: TableSpec, values: list) -> list:
         """Those of the partition values the table has."""
@@ -172,10 +180,14 @@ class Tables:
             # Rows of a bucket come together, else every task writes a file per bucket. Rebalancing
             # splits a bucket that holds much of the data over several tasks.
             rows = rows.hint("rebalance", spec.partition)
-        rows.write.partitionBy(spec.partition).parquet(folder)
+        rows = rows.withColumn(FOLDER, F.sha2(F.col(spec.partition).cast("string"), 256))
+        # The files keep the partition's value, too; the table takes it from the catalog.
+        rows.write.partitionBy(FOLDER).parquet(folder)
         stored = self.spark.read.schema(rows.schema).parquet(folder)
         # One value per partition: buckets are few, history writes concern one scan.
-        filled = [r[0] for r in stored.select(spec.partition).distinct().collect()]
+        filled = dict(tuple(r) for r in stored.select(spec.partition, FOLDER).distinct().collect())
+        if any(v is None or v == "" for v in filled):
+            raise ValueError(f"Rows of {spec.name} without a {spec.partition} cannot be stored.")
         return PendingSwap(spec, folder, filled, [v for v in may_empty if v not in filled])
 
     def commit(self, swaps: list[PendingSwap]) -> None:
@@ -183,16 +195,16 @@ class Tables:
         for swap in swaps:
             spec = swap.spec
             existing = self._partitions(spec)
-            for value in swap.filled:
-                part, folder = self._clause(spec, value), f"{swap.folder}/{spec.partition}={value}"
+            for value, name in swap.filled.items():
+                part, folder = self._clause(spec, value), quoted(f"{swap.folder}/{FOLDER}={name}")
                 if str(value) in existing:
-                    self.spark.sql(f"ALTER TABLE {spec.name} {part} SET LOCATION '{folder}'")
+                    self.spark.sql(f"ALTER TABLE {spec.name} {part} SET LOCATION {folder}")
                 else:
-                    self.spark.sql(f"ALTER TABLE {spec.name} ADD IF NOT EXISTS {part} LOCATION '{folder}'")
+                    self.spark.sql(f"ALTER TABLE {spec.name} ADD IF NOT EXISTS {part} LOCATION {folder}")
             for value in swap.emptied:
                 self.spark.sql(f"ALTER TABLE {spec.name} DROP IF EXISTS {self._clause(spec, value)}")
             self.spark.catalog.refreshTable(spec.name)
 
     def _clause(self, spec: TableSpec, value) -> str:
-        shown = str(value) if spec.bucketed_by else f"'{value}'"
+        shown = str(value) if spec.bucketed_by else quoted(value)
         return f"PARTITION (`{spec.partition}` = {shown})"

@@ -43,6 +43,26 @@ def test_upsert_touches_only_its_scan(spark, tables):
     assert rows(tables.rows(spec)) == want
 
 
+@pytest.mark.parametrize("scan_id", ["2024-02-01T00:00:00Z", "a/b c", "50%", "it's", 'q"=\\x', "%3A", "ä{[]}#?*^"])
+def test_scan_ids_of_any_characters(spark, tables, scan_id):
+    spec = TableSpec(f"{tables.name}.odd_{abs(hash(scan_id))}", HISTORY)
+    tables.ensure(spec, evolve=True)
+    frame = lambda rs: spark.createDataFrame(rs, HISTORY)
+    tables.upsert(spec, ["id"], frame([("a", "s", 0)]), "s")
+    tables.upsert(spec, ["id"], frame([("a", scan_id, 1), ("b", scan_id, 2)]), scan_id)
+    tables.upsert(spec, ["id"], frame([("b", scan_id, 3)]), scan_id)
+    assert rows(tables.rows(spec)) == sorted([("a", "s", 0), ("a", scan_id, 1), ("b", scan_id, 3)])
+    assert rows(tables.rows(spec).filter(F.col("scan_id") == scan_id)) == [("a", scan_id, 1), ("b", scan_id, 3)]
+
+
+def test_rows_without_a_scan_are_refused(spark, tables):
+    spec = TableSpec(f"{tables.name}.history", HISTORY)
+    tables.ensure(spec, evolve=True)
+    with pytest.raises(ValueError, match="without a scan_id"):
+        tables.upsert(spec, ["id"], spark.createDataFrame([("a", None, 1)], HISTORY))
+    assert rows(tables.rows(spec)) == []
+
+
 def test_upsert_across_buckets(spark, tables):
     spec = TableSpec(f"{tables.name}.dim", T.StructType.fromDDL("model_id string, v int"), "model_id")
     tables.ensure(spec, evolve=True)
