@@ -40,6 +40,7 @@ class Landed:
     fallback_reasons: DataFrame
     item_access: DataFrame
     stage_errors: DataFrame
+    workspace_access_errors: DataFrame | None = None  # workspace_id, message; may be missing
 
 
 class Scan:
@@ -55,7 +56,12 @@ class Scan:
         """Written once, so that safeguard, states and grants see the same models."""
         landed = self.landed
         found = find_targets(
-            self.spark, self.config, landed.inventory, landed.workspace_access, landed.workspaces
+            self.spark,
+            self.config,
+            landed.inventory,
+            landed.workspace_access,
+            landed.workspaces,
+            getattr(landed, "workspace_access_errors", None),
         )
         return check_size(written(found, "targets"), self.config.max_models_per_run)
 
