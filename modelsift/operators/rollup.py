@@ -71,6 +71,8 @@ def finding_groups(findings: DataFrame) -> DataFrame:
             F.min(ordinal).alias("first_ordinal"),
             F.sum(F.coalesce("estimated_saving_bytes_low", F.lit(0))).alias("saving_low"),
             F.sum(F.coalesce("estimated_saving_bytes_high", F.lit(0))).alias("saving_high"),
+            F.sum("estimated_saving_bytes_low").alias("known_saving_low"),
+            F.sum("estimated_saving_bytes_high").alias("known_saving_high"),
             F.max("detected_at").alias("detected_at"),
             F.max(F.coalesce("validation_required", F.lit(False))).alias("validation_required"),
         )

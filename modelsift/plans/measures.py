@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsift import schemas
-from modelsift.functions.values import HIGH_SEVERITIES, is_high_severity, megabytes
+from modelsift.functions.values import HIGH_SEVERITIES, megabytes
 from modelsift.plans.scan import Scan
 
 # Slicers: table -> column -> accepted values.
@@ -33,6 +33,11 @@ class ScanState(Mapping):
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self.scan, self.ATTRIBUTES[name])
 
+    @property
+    def finding_groups(self) -> DataFrame | None:
+        """The small aggregate of the findings, where there is one."""
+        return self.scan.finding_groups
+
     def __iter__(self) -> Iterator[str]:
         return iter(self.ATTRIBUTES)
 
@@ -43,6 +48,8 @@ class ScanState(Mapping):
 class StoredState(ScanState):
     """Curated tables as published."""
 
+    finding_groups = None
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
@@ -67,6 +74,11 @@ class SlicedState(ScanState):
                 df = df.join(keys, child_column, "left_semi")
         return df
 
+    @property
+    def finding_groups(self) -> DataFrame | None:
+        """Finding groups that no slicer narrows."""
+        return None if self._restricted("findings") else getattr(self.state, "finding_groups", None)
+
     def _restricted(self, name: str) -> bool:
         if self.slicers.get(name):
             return True
@@ -89,12 +101,21 @@ def _count(name: str, condition: Column | None = None) -> Column:
     return (F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias(name)
 
 
-def finding_measures(state: SlicedState, *more: Column) -> list[DataFrame]:
-    """Total and high findings (and more) in one pass.
+def finding_measures(state: SlicedState, savings: bool = False) -> list[DataFrame]:
+    """Total and high findings, and on request the savings, in one pass; over the finding groups if these will do.
 
     The high count replaces a severity slicer instead of narrowing it, which takes a second pass.
     """
-    high = is_high_severity(F.col("severity"))
+    high = F.col("severity").isin(HIGH_SEVERITIES)
+    groups = state.finding_groups
+    saved = "known_saving" if groups is not None else "estimated_saving_bytes"
+    more = [
+        megabytes(F.sum(f"{saved}_{bound}")).alias(f"estimated_saving_mb_{bound}")
+        for bound in (("low", "high") if savings else ())
+    ]
+    if groups is not None:
+        total = F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings")
+        return [groups.agg(total, F.coalesce(F.sum(F.when(high, F.col("n"))), F.lit(0)).alias("high_findings"), *more)]
     if "severity" not in state.slicers.get("findings", {}):
         return [state["findings"].agg(_count("total_findings"), _count("high_findings", high), *more)]
     replaced = state.replacing("findings", "severity", HIGH_SEVERITIES)
@@ -106,10 +127,6 @@ def finding_measures(state: SlicedState, *more: Column) -> list[DataFrame]:
 
 def measures(state: Mapping, slicers: Slicers | None = None) -> DataFrame:
     sliced = SlicedState(state, slicers)
-    savings = [
-        megabytes(F.sum(f"estimated_saving_bytes_{bound}")).alias(f"estimated_saving_mb_{bound}")
-        for bound in ("low", "high")
-    ]
     return _combined(
         [
             sliced["overview"].agg(
@@ -121,6 +138,6 @@ def measures(state: Mapping, slicers: Slicers | None = None) -> DataFrame:
             sliced["column_storage"].agg(
                 _count("columns_analyzed"), megabytes(F.sum("total_size_bytes")).alias("total_column_storage_mb")
             ),
-            *finding_measures(sliced, *savings),
+            *finding_measures(sliced, savings=True),
         ]
     )

@@ -116,7 +116,10 @@ def count_chart(name: str):
     table, category, measure = COUNT_CHARTS[name]
 
     def query(state: Mapping, slicers: Slicers | None = None) -> DataFrame:
-        return SlicedState(state, slicers)[table].groupBy(category).agg(F.count(F.lit(1)).alias(measure))
+        sliced = SlicedState(state, slicers)
+        if table == "findings" and sliced.finding_groups is not None:
+            return sliced.finding_groups.groupBy(category).agg(F.sum("n").alias(measure))
+        return sliced[table].groupBy(category).agg(F.count(F.lit(1)).alias(measure))
 
     return query
 
