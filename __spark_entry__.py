@@ -242,7 +242,7 @@ def library_queries() -> dict[str, Query]:
         "unused_objects": _unused_objects,
         "usage_rows": _stored("object_usage", lambda s: s.usage_rows),
         "unused_findings": _finding(lambda s: s.unused_findings),
-        "refresh_latest": _stored("refresh", lambda s: s.refresh_rows),
+        "refresh_latest": _stored("refresh", lambda s: s.latest_refreshes(20)),
         "direct_lake_checks": _stored("direct_lake", lambda s: s.fallback_rows),
         "fallback_findings": _finding(lambda s: s.fallback_findings),
         "access_snapshot": _stored("item_access_snapshot", lambda s: s.access_rows),

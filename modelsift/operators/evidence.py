@@ -13,6 +13,9 @@ from modelsift.functions.values import duration_seconds
 from modelsift.operators.ranking import position_in_group, top_per_group
 from modelsift.sources.landing import RAW
 
+HOUR = 3600
+NO_START = 1 << 52  # refreshes without a start come last
+
 
 def _seen(df: DataFrame, config: ScanConfig) -> Column:
     clock = F.lit(config.completed_at)
@@ -115,16 +118,16 @@ def usage_rows(usage: DataFrame, config: ScanConfig) -> DataFrame:
     )
 
 
-def refresh_rows(history: DataFrame, config: ScanConfig) -> DataFrame:
-    """The latest refreshes of each model. The position stands in for a missing request id."""
-    latest = top_per_group(
-        history,
-        ["model_id"],
-        [F.col("start_time").desc_nulls_last(), _ordinal(history), F.col(RAW)],
-        config.refresh_top_n,
-    )
-    request = F.coalesce(blank_to_null(F.col("request_id")), (F.col("rank") - 1).cast("string"))
-    return latest.select(
+def refresh_rows(history: DataFrame, config: ScanConfig, k: int | None = None) -> DataFrame:
+    """The refreshes of each model, or its k latest. The position, latest first, stands in for a missing request id."""
+    order = [F.col("start_time").desc_nulls_last(), _ordinal(history), F.col(RAW)]
+    if k is None:
+        age = F.coalesce(-F.unix_seconds("start_time"), F.lit(NO_START))
+        refreshes = position_in_group(history.withColumn("_age", age), "model_id", "_age", order, span=HOUR)
+    else:
+        refreshes = top_per_group(history, ["model_id"], order, k).withColumn("position", F.col("rank") - 1)
+    request = F.coalesce(blank_to_null(F.col("request_id")), F.col("position").cast("string"))
+    return refreshes.select(
         stable_id(config.scan_id, F.col("model_id"), "REFRESH", request).alias("refresh_id"),
         F.lit(config.scan_id).alias("scan_id"),
         "workspace_id",
@@ -135,7 +138,7 @@ def refresh_rows(history: DataFrame, config: ScanConfig) -> DataFrame:
         "start_time",
         "end_time",
         duration_seconds(F.col("start_time"), F.col("end_time")).alias("duration_seconds"),
-        json_text(latest, RAW).alias("raw_json"),
+        json_text(refreshes, RAW).alias("raw_json"),
         F.lit(config.completed_at).cast("timestamp").alias("captured_at"),
     )
 

@@ -105,7 +105,10 @@ class Scan:
 
     @cached_property
     def refresh_rows(self) -> DataFrame:
-        return E.refresh_rows(self._of_stage("refresh_history", "refresh"), self.config)
+        return self.latest_refreshes(None)
+
+    def latest_refreshes(self, k: int | None) -> DataFrame:
+        return E.refresh_rows(self._of_stage("refresh_history", "refresh"), self.config, k)
 
     @cached_property
     def fallback_rows(self) -> DataFrame:
@@ -216,7 +219,7 @@ class Scan:
         refresh = R.row_counts(self._of_stage("refresh_history", "refresh", raw=False), "refresh_count")
         counts = [
             R.group_counts(self.finding_groups),
-            refresh.withColumn("refresh_count", F.least("refresh_count", F.lit(self.config.refresh_top_n))),
+            refresh,
             R.row_counts(self._of_stage("object_usage", "usage", raw=False), "usage_count"),
             R.row_counts(self._of_stage("fallback_reasons", "direct_lake", raw=False), "direct_lake_count"),
             R.row_counts(self._of_stage("item_access", "access_snapshot", raw=False), "access_count"),

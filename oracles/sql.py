@@ -233,12 +233,11 @@ _refresh_json = js(
 )
 CTE["refresh_rows"] = f"""
 select {sha(lit(SCAN), 'model_id', "'REFRESH'", 'coalesce(request_id, cast(n - 1 as varchar))')} as refresh_id,
- '{SCAN}' as scan_id, workspace_id, model_id, request_id, refresh_type, status, start_time, end_time,
+ '{SCAN}' as scan_id, workspace_id, model_id, request_id, refresh_type, status, start_time, end_time, n,
  case when end_time is not null then greatest(0, epoch(end_time) - epoch(start_time)) end::double as duration_seconds, raw_json, {CLOCK} as captured_at
 from (select r.*, s.workspace_id, {_refresh_json} as raw_json,
  row_number() over (partition by model_id order by start_time desc, request_no) as n
- from fx_refresh r join states s using (model_id) where s.refresh_status = 'SUCCEEDED')
-where n <= 20"""
+ from fx_refresh r join states s using (model_id) where s.refresh_status = 'SUCCEEDED')"""
 
 _fallback_json = js(Fallback_Reason="f.reason", Table="f.table_name")
 CTE["fallback_rows"] = f"""
@@ -574,7 +573,7 @@ oracle(
 plain("usage_rows", "usage_rows", "* exclude (workspace_name, model_name)")
 plain("unused_objects", "fx_usage")
 plain("unused_findings", "f_usage", FINDING_COLUMNS)
-plain("refresh_latest", "refresh_rows")
+plain("refresh_latest", "refresh_rows where n <= 20", "* exclude (n)")
 plain("direct_lake_checks", "fallback_rows", "* exclude (workspace_name, model_name, source_ordinal)")
 plain("fallback_findings", "f_fallback", FINDING_COLUMNS)
 plain("access_snapshot", "access_rows")

@@ -3,7 +3,10 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from modelsift.operators.evidence import refresh_rows
 from modelsift.operators.ranking import first_per_key, full_row_order, position_in_group, top_per_group
+from modelsift.sources.landing import RAW
+from modelsift.sources.testdata import scan_config
 
 
 def skewed(seed, n=4000):
@@ -49,3 +52,19 @@ def test_positions_match_enumeration(spark):
     assert {(r.g, r.i, r.position) for r in got.collect()} == want
     # No window runs over a whole group of rows.
     assert "windowspecdefinition(g#" in plan_of(got) and ", _range#" in plan_of(got)
+
+def test_all_refreshes_keep_the_positions_of_the_latest(spark):
+    """Without k no refresh is cut; positions, in the ids of rows without a request, are those of the ranking."""
+    times = ["2024-01-01 10:00:00.5", "2024-01-01 10:00:00.25", "2024-01-03 00:00:00", None, "1969-01-01 00:00:00", None]
+    rows = [("w", m, None, t, i, f"{m}{i}") for m in "ab" for i, t in enumerate(times * 5)]
+    schema = f"workspace_id string, model_id string, request_id string, start string, source_ordinal bigint, {RAW} string"
+    df = spark.createDataFrame(rows, schema).select(
+        "workspace_id", "model_id", "request_id", F.col("start").cast("timestamp").alias("start_time"),
+        F.lit(None).cast("timestamp").alias("end_time"), F.lit("Full").alias("refresh_type"),
+        F.lit("Completed").alias("status"), "source_ordinal", F.struct(RAW).alias(RAW),
+    )
+    read = lambda k: {(r.refresh_id, r.raw_json) for r in refresh_rows(df, scan_config(), k).collect()}
+    everything = read(None)
+    assert len(everything) == len(rows)
+    assert everything == read(1000)
+    assert read(3) < everything and len(read(3)) == 6
