@@ -26,10 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(score(F.coalesce("text", F.lit(""))) < toxicity.REJECT_AT)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+def drop_near_duplicates(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = minhash.SHINGLE, percent: int = minhash.PERCENT
+) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Near copies share percent of their shingles of width words.
+    """
     prepare(spark)
-    verdicts = minhash.near_duplicates(docs.select("doc_id", "text"))
+    verdicts = minhash.near_duplicates(docs.select("doc_id", "text"), width, percent)
     gone = verdicts.filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,10 +1,11 @@
 """MinHash near-dedup: banded candidates, odd sketches to pick them, full sets to confirm them.
 
-A document's set holds its distinct 3-word shingles (A-Z lower-cased; a text of one or two words is one
-shingle). Equal sets are one class at once, so copies never meet pair by pair. Each class gets 512 MinHash
-samples, of which 256 are cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of 2,048 bits, so
-the population count of two sketches' XOR grows with the samples that differ and estimates high similarities.
-A pair goes on if its count is within four standard deviations of what a similarity of 0.85 gives.
+A document's set holds its distinct shingles of 3 words, or of the width asked for (A-Z lower-cased; a shorter
+text is one shingle). Equal sets are one class at once, so copies never meet pair by pair. Each class gets 512
+MinHash samples, of which 256 are cut into 32 bands of 8, and an odd sketch: every (place, sample) flips one of
+2,048 bits, so the population count of two sketches' XOR grows with the samples that differ and estimates high
+similarities. A pair goes on if its count is within four standard deviations of what a similarity of 0.85 gives.
+For another percent the bound follows it, and so does the number of bands (56 at 0.80).
 
 Links are found in three steps, each joining only classes that are not yet connected:
 1. in each bucket the class that meets most others is the centre and is paired with the members; each class
@@ -13,7 +14,7 @@ Links are found in three steps, each joining only classes that are not yet conne
 3. in buckets that still hold several components, members outside the largest are compared with all others.
 Work inside a bucket is thus a star, plus what the stars left apart, never all pairs; no pair is dropped for
 a bucket's size. Every link is confirmed on both full sets. A pair of similarity 0.85 shares no band with a
-chance of 4e-5 and fails the sketch with a chance of 3e-5.
+chance of 4e-5 (3e-5 at 0.80) and fails the sketch with a chance of 3e-5.
 
 Null or empty texts have no set and are linked with nothing; so are rows without an id. Rows that repeat an id
 count as one document. An empty table gives no rows.
@@ -22,6 +23,7 @@ count as one document. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ from modelsift.session import written
 
 SHINGLE = 3
 PERCENT = 85  # 100 * intersection >= PERCENT * union
-BANDS, ROWS = 32, 8
-SAMPLES = 512  # the first BANDS * ROWS make the bands, all make the sketch
+ROWS = 8  # samples of a band
+SAMPLES = 512  # the first bands * ROWS make the bands, all make the sketch
+MISSED = 1e-4  # chance that a pair of just the similarity shares no band, at most
 SKETCH_BITS = 2048
 LONGS = SKETCH_BITS // 64
 DEVIATIONS = 4.0
@@ -53,6 +56,15 @@ def most_odd_bits(similarity: float = PERCENT / 100, deviations: float = DEVIATI
     return int(np.ceil(mean + deviations * np.hypot(by_samples, by_bits)))
 
 
+def bands_of(percent: int) -> int:
+    """The fewest bands, in eights, that a pair of this similarity misses with a chance of MISSED at most."""
+    miss = 1 - (percent / 100) ** ROWS
+    for bands in range(8, SAMPLES // ROWS + 1, 8):
+        if miss**bands <= MISSED:
+            return bands
+    raise ValueError(f"{SAMPLES} samples are too few for a similarity of {percent} %")
+
+
 def _multipliers() -> np.ndarray:
     return hashing.mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(hashing.BASE)) | np.uint64(1)
 
@@ -89,38 +101,47 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def signatures(texts: pa.Array) -> pa.Array:
-    multipliers = _multipliers()
-    weights = hashing.mixed(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    n, keys, bands, sketches = [], [], [], []
-    for chunk in hashing.chunks(texts):
-        for shingles in shingle_sets(chunk):
-            n.append(len(shingles))
-            keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-            if len(shingles):
-                least = samples(shingles, multipliers)
-                joined = hashing.mixed((least[: BANDS * ROWS].reshape(BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64))
-                bands.append(joined.view(np.int64))
-                sketches.append(odd_sketch(least))
-            else:
-                bands.append([])
-                sketches.append([])
-    long_list = pa.list_(pa.int64())
-    return pa.StructArray.from_arrays(
-        [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, long_list), pa.array(sketches, long_list)],
-        names=["n", "key", "bands", "sketch"],
-    )
+def signatures(width: int, bands: int) -> Callable[[pa.Array], pa.Array]:
+    """Sizes, keys, bands and sketches of texts by shingles of this width."""
+
+    def signed(texts: pa.Array) -> pa.Array:
+        multipliers = _multipliers()
+        weights = hashing.mixed(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        n, keys, cut, sketches = [], [], [], []
+        for chunk in hashing.chunks(texts):
+            for shingles in shingle_sets(chunk, width):
+                n.append(len(shingles))
+                keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                if len(shingles):
+                    least = samples(shingles, multipliers)
+                    rows = least[: bands * ROWS].reshape(bands, ROWS)
+                    cut.append(hashing.mixed((rows * weights).sum(axis=1, dtype=np.uint64)).view(np.int64))
+                    sketches.append(odd_sketch(least))
+                else:
+                    cut.append([])
+                    sketches.append([])
+        long_list = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays(
+            [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cut, long_list), pa.array(sketches, long_list)],
+            names=["n", "key", "bands", "sketch"],
+        )
+
+    return signed
+
+
+def linked(width: int, percent: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Whether the full sets of two texts overlap enough."""
 
+    def checked(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        left = (s for c in hashing.chunks(a) for s in shingle_sets(c, width))
+        right = (s for c in hashing.chunks(b) for s in shingle_sets(c, width))
+        for x, y in zip(left, right, strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+        return pa.array(out, pa.bool_())
 
-def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether the full sets of two texts overlap enough."""
-    out = []
-    left = (s for c in hashing.chunks(a) for s in shingle_sets(c))
-    right = (s for c in hashing.chunks(b) for s in shingle_sets(c))
-    for x, y in zip(left, right, strict=True):
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pa.array(out, pa.bool_())
+    return checked
 
 
 def odd_bits(a: str, b: str) -> Column:
@@ -131,10 +152,10 @@ def odd_bits(a: str, b: str) -> Column:
     return sum(bits[1:], bits[0])
 
 
-def likely(a: str, b: str) -> Column:
+def likely(a: str, b: str, percent: int) -> Column:
     """Sizes allow the similarity (exact) and the sketches make it likely. a, b: prefixes of columns n and sketch."""
-    fits = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * PERCENT
-    return fits & (odd_bits(a, b) <= most_odd_bits())
+    fits = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * percent
+    return fits & (odd_bits(a, b) <= most_odd_bits(percent / 100))
 
 
 def first_shared(a: str, b: str) -> Column:
@@ -152,9 +173,9 @@ def _with(df: DataFrame, classes: DataFrame, column: str, prefix: str) -> DataFr
     return df.join(side, column)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
-    check = F.arrow_udf(linked, "boolean")
+    check = F.arrow_udf(linked(width, percent), "boolean")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b"
     )
@@ -177,9 +198,14 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(to("a"), "a").join(to("b"), "b").filter("ac <> bc").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
-    sign = F.arrow_udf(signatures, SIGNATURE)
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int | None = None
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
+
+    Linked are texts that share percent of their shingles of width words; the bands follow percent unless given.
+    """
+    sign = F.arrow_udf(signatures(width, bands or bands_of(percent)), SIGNATURE)
     signed = docs.select(F.col("doc_id").alias("id"), sign(F.coalesce("text", F.lit(""))).alias("s"))
     signed = written(signed.select("id", "s.*"), "dedup-signatures")
     with_set = signed.filter("n > 0 and id is not null")
@@ -203,15 +229,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.join(centre.select("bucket", F.col("c.id").alias("centre")), "bucket").filter("id <> centre")
     stars = stars.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = _with(_with(stars, classes, "a", "a"), classes, "b", "b").filter(likely("a", "b"))
+    stars = _with(_with(stars, classes, "a", "a"), classes, "b", "b").filter(likely("a", "b", percent))
     stars = written(stars.select("a", "b", odd_bits("a", "b").alias("odd")), "dedup-stars")
 
     best = stars.groupBy("a").agg(F.min_by("b", F.struct("odd", "b")).alias("b"))
-    links = confirmed(best, texts, "dedup-best")
+    links = confirmed(best, texts, "dedup-best", width, percent)
     comp = members.select("id", F.col("id").alias("comp")).distinct()
     comp = _merged(comp, links, "dedup-1")
 
-    links = confirmed(_apart(stars.select("a", "b"), comp), texts, "dedup-other")
+    links = confirmed(_apart(stars.select("a", "b"), comp), texts, "dedup-other", width, percent)
     comp = _merged(comp, links, "dedup-2")
 
     placed = members.select("bucket", "pos", "id").join(comp, "id")
@@ -228,10 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("ac") < F.col("bc")))
     rest = (
         left.join(right, "bucket")
-        .filter(apart & likely("a", "b") & (first_shared("a", "b") == F.col("pos") + 1))
+        .filter(apart & likely("a", "b", percent) & (first_shared("a", "b") == F.col("pos") + 1))
         .select("a", "b")
     )
-    links = confirmed(written(rest, "dedup-rest"), texts, "dedup-rest")
+    links = confirmed(written(rest, "dedup-rest"), texts, "dedup-rest", width, percent)
     comp = _merged(comp, links, "dedup-3")
 
     merged = classes.select("key", "id").join(comp, "id", "left").select(
