@@ -9,7 +9,8 @@ whose middle lies below the wanted words in a seeded order of the source. A sour
 half its longest document at most, a document is never taken oftener than the maximum, and reruns agree.
 
 Null sources are a source of their own, the last. Null texts have size 0 and are taken 0 words; a source
-without words has the target 0. Rows that repeat an id are rows of their own. An empty table gives none.
+without words has the target 0. Rows that repeat an id or have none are rows of their own, also when they are
+copied. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -73,8 +74,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int =
     return both.select(source, F.col(OWN + "s"), F.col(OWN + "first"), target.alias(OWN + "target"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, taken) of every row of docs(doc_id, text, source)."""
+def mixed_documents(
+    docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int = EPOCHS, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, taken) of every row of docs(doc_id, text, source).
+
+    carried: further columns of docs to return; they also order rows that are alike in source, id and size.
+    """
     source, size, seed = OWN + "source", OWN + "size", OWN + "seed"
     narrow = written(
         docs.select(
@@ -82,11 +88,12 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int =
             F.col("source").alias(source),
             word_count(F.col("text")).alias(size),
             seeded("doc_id").alias(seed),
+            *carried,
         ),
         "mix-sizes",
     )
     targets = written(source_targets(narrow.select(source, size), weights, share, epochs), "mix-targets")
-    order = [*by_source(), F.asc(seed), F.asc_nulls_last("doc_id"), F.asc(size)]
+    order = [*by_source(), F.asc(seed), F.asc_nulls_last("doc_id"), F.asc(size), *carried]
     rows = ranked(narrow, order, "mix-order", size).withColumnRenamed(source, source + "2")
     rows = rows.join(targets, F.col(source + "2").eqNullSafe(F.col(source)))
     repeats = F.col(OWN + "target") / F.greatest(F.col(OWN + "s"), F.lit(1)).cast("double")
@@ -106,6 +113,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, epochs: int =
         F.col(OWN + "target").alias("target"),
         "times",
         (F.col("times") * F.col(size)).alias("taken"),
+        *carried,
     )
 
 
@@ -116,14 +124,19 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mixed_copies(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it; a document with an id that repeats, as its first row."""
-    plan = mixed_documents(docs).filter("times > 0 and doc_id is not null").select(
-        F.col("doc_id").alias(OWN + "id"), F.col("times").alias(OWN + "times")
-    )
-    plan = plan.groupBy(OWN + "id").agg(F.max(OWN + "times").alias(OWN + "times"))
-    kept = docs.join(plan, F.col("doc_id") == F.col(OWN + "id"))
-    return kept.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), F.col(OWN + "times").cast("int")))).select(
-        *docs.columns
+    """The documents, each row as often as the mix takes it, also rows without an id or with one that repeats.
+
+    The rows are numbered and written once, so that the plan finds each by its number and not by its id.
+    """
+    text, row, times = OWN + "text", OWN + "row", OWN + "times"
+    rows = docs.withColumn(text, F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id())
+    rows = written(rows, "mix-rows")
+    plan = mixed_documents(rows, carried=(text, row)).filter("times > 0")
+    plan = plan.select(row, F.col("times").alias(times))
+    return (
+        rows.join(plan, row)
+        .withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+        .select(*docs.columns)
     )
 
 
