@@ -158,7 +158,7 @@ def _access_grants_sync(spark: SparkSession, folder: str) -> DataFrame:
 
 def _column_profile(spark: SparkSession, folder: str) -> DataFrame:
     tables = SampleTables(configure(spark), folder)
-    return profile.column_profile({t: tables.table(t) for t in testdata.SAMPLE_SCHEMAS}, "sample-model")
+    return profile.column_profile({t: tables.whole(t) for t in testdata.SAMPLE_SCHEMAS}, "sample-model")
 
 
 def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
