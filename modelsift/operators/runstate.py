@@ -263,7 +263,8 @@ def finish_run(
 def run_summary(states: DataFrame, config: ScanConfig, error: tuple[str, str] | None = None) -> DataFrame:
     """One JSON document: the run's counts and one entry per model.
 
-    The entries are bounded by the safeguard on models per run; a model's entry is a few short texts.
+    All entries are in one row, which one task builds; without max_models_per_run nothing bounds it. A run
+    returns run_header instead, and its models are rows of model_scan.
     """
     entry = F.struct(
         "workspace_id",
@@ -275,6 +276,15 @@ def run_summary(states: DataFrame, config: ScanConfig, error: tuple[str, str] |
         "finding_count",
     )
     counts = states.agg(*status_counts(), F.array_sort(F.collect_list(entry)).alias("model_results"))
+    return _summary_json(counts, config, error)
+
+
+def run_header(states: DataFrame, config: ScanConfig, error: tuple[str, str] | None = None) -> DataFrame:
+    """The summary's JSON document without the entries per model, by a plain aggregate."""
+    return _summary_json(states.agg(*status_counts()), config, error)
+
+
+def _summary_json(counts: DataFrame, config: ScanConfig, error: tuple[str, str] | None) -> DataFrame:
     seconds = (config.completed_at - config.started_at).total_seconds()
     failure = error_text(F.lit(error[0]), F.lit(error[1])) if error else F.lit(None).cast("string")
     return finish_run(counts, config, error=error).select(
@@ -290,7 +300,7 @@ def run_summary(states: DataFrame, config: ScanConfig, error: tuple[str, str] |
                 "failed_count",
                 "skipped_count",
                 F.round(F.lit(float(seconds)), 2).alias("duration_seconds"),
-                "model_results",
+                *[c for c in counts.columns if not c.endswith("_count")],
                 failure.alias("error"),
             ),
             {"ignoreNullFields": "false"},

@@ -167,6 +167,10 @@ class Scan:
     def summary(self) -> DataFrame:
         return S.run_summary(self.model_rows, self.config)
 
+    @cached_property
+    def header(self) -> DataFrame:
+        return S.run_header(self.states, self.config)
+
     # ---- current state ----
 
     @cached_property
