@@ -1,6 +1,18 @@
 """Registered queries of the operators, and SQL for those that SQL can express."""
 
-from modelsift.llm import embeddings, minhash, mixing, packing, personal_data, quality_model, quality_rules, sharding, tool_calls, toxicity
+from modelsift.llm import (
+    bpe,
+    embeddings,
+    minhash,
+    mixing,
+    packing,
+    personal_data,
+    quality_model,
+    quality_rules,
+    sharding,
+    tool_calls,
+    toxicity,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +25,7 @@ QUERIES = {
     "op8_itq_near_vectors": embeddings.op8_itq_near_vectors,
     "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
     "op10_personal_data": personal_data.op10_personal_data,
+    "op12_rank_array_bpe": bpe.op12_rank_array_bpe,
 }
 
 ORACLES = {
