@@ -2,6 +2,7 @@
 
 from modelsift.llm import (
     bpe,
+    conversations,
     embeddings,
     minhash,
     mixing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
     "op10_personal_data": personal_data.op10_personal_data,
     "op12_rank_array_bpe": bpe.op12_rank_array_bpe,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 ORACLES = {
