@@ -2,6 +2,7 @@
 
 from modelsift.llm import (
     bpe,
+    collocations,
     conversations,
     embeddings,
     minhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_itq_near_vectors": embeddings.op8_itq_near_vectors,
     "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
     "op10_personal_data": personal_data.op10_personal_data,
+    "op11_tiled_collocations": collocations.op11_tiled_collocations,
     "op12_rank_array_bpe": bpe.op12_rank_array_bpe,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
@@ -34,4 +36,5 @@ ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
     "op4_mix_sources": mixing.SQL,
     "op5_hilbert_shards": sharding.SQL,
+    "op11_tiled_collocations": collocations.SQL,
 }
