@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from modelsift import schemas
 from modelsift.functions.values import HIGH_SEVERITIES, megabytes
 from modelsift.plans.scan import Scan
+from modelsift.sinks.current import CurrentState
 
 # Slicers: table -> column -> accepted values.
 Slicers = dict[str, dict[str, list]]
@@ -46,15 +47,15 @@ class ScanState(Mapping):
 
 
 class StoredState(ScanState):
-    """Curated tables as published."""
+    """Curated tables as published, all at the state that is current when this is made (or at another snapshot)."""
 
     finding_groups = None
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, snapshot: Mapping | None = None):
+        self.snapshot = CurrentState(spark).snapshot() if snapshot is None else snapshot
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.table(schemas.CURATED_NAMES[name]).select(schemas.curated_schema(name).names)
+        return self.snapshot[name]
 
 
 class SlicedState(ScanState):

@@ -10,7 +10,7 @@ from modelsift.config import ScanConfig
 from modelsift.operators import runstate as S
 from modelsift.operators.merge import grant_rows, viewer_requests, without_withdrawn
 from modelsift.plans.scan import Scan, conform
-from modelsift.sinks.tables import Tables, curated_spec, history_spec
+from modelsift.sinks.tables import Tables, history_spec
 
 
 CONCURRENT_WRITES = 4
@@ -60,11 +60,10 @@ def publish_history(tables: Tables, scan: Scan) -> None:
 def publish_current_state(tables: Tables, scan: Scan) -> None:
     """Replace the slices of the usable analyses; failed and skipped models keep theirs.
 
-    All tables are written before the first one is switched.
+    All tables are written before the pointer to them is switched.
     """
     processed = scan.curated_models.select(F.col("model_id").alias(schemas.SLICE_COLUMN))
-    swaps = _at_once(lambda item: tables.stage_replacement(*item, processed), list(scan.curated().items()))
-    tables.commit(swaps)
+    tables.current.publish(scan.curated(), processed, scan.config.scan_id)
 
 
 def run(tables: Tables, scan: Scan, initialize_only: bool = False, requests: DataFrame | None = None) -> str | None:
@@ -100,5 +99,5 @@ def run(tables: Tables, scan: Scan, initialize_only: bool = False, requests: Dat
 def stored_table(tables: Tables, logical: str) -> DataFrame:
     """Rows of a stored table by logical name."""
     if logical in schemas.CURATED_NAMES:
-        return tables.rows(curated_spec(logical))
+        return tables.current.snapshot()[logical]
     return tables.rows(history_spec(logical, tables.history_schema))

@@ -144,6 +144,9 @@ CURATED_NAMES = {
     "column_storage": "semantic_model_vertipaq.semantic_model_column_storage",
 }
 
+# Which publication of each model is current.
+POINTER_TABLE = "semantic_model_optimization.current_publications"
+
 # child table, child column, parent table, parent column (many to one).
 RELATIONSHIPS = [
     ("opportunities", "semantic_model_id", "overview", "semantic_model_id"),

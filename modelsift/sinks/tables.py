@@ -1,4 +1,4 @@
-"""Parquet tables with upsert and slice replacement by partition swap.
+"""Parquet history tables with upsert by partition swap; the current state is in sinks.current.
 
 A write never touches files in use: the new content of the partitions concerned goes to a fresh
 folder, and the partitions are then pointed at it in the catalog. A write that fails before that
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelsift import schemas
-from modelsift.operators.merge import replaced, upserted
+from modelsift.operators.merge import upserted
 from modelsift.session import written
+from modelsift.sinks.current import CurrentState
 
 BUCKETS = 64
 BUCKET = "model_bucket"
@@ -59,10 +60,6 @@ def history_spec(logical: str, schema: str = schemas.HISTORY_SCHEMA) -> TableSpe
     )
 
 
-def curated_spec(logical: str) -> TableSpec:
-    return TableSpec(schemas.CURATED_NAMES[logical], schemas.curated_schema(logical), schemas.SLICE_COLUMN)
-
-
 @dataclass(frozen=True)
 class PendingSwap:
     """New partition folders of a table, written but not yet visible."""
@@ -83,6 +80,7 @@ class Tables:
     def __init__(self, spark: SparkSession, history_schema: str = schemas.HISTORY_SCHEMA):
         self.spark = spark
         self.history_schema = history_schema
+        self.current = CurrentState(spark)
 
     # ---- creation and evolution ----
 
@@ -98,8 +96,7 @@ class Tables:
             self.ensure_schema(name)
         for logical in schemas.TECHNICAL_TABLES:
             self.ensure(history_spec(logical, self.history_schema), evolve=True)
-        for logical in schemas.CURATED_TABLES:
-            self.ensure(curated_spec(logical), evolve=False)
+        self.current.ensure()
 
     def ensure(self, spec: TableSpec, evolve: bool) -> None:
         """Create the table, or add declared columns it lacks; nothing is ever dropped or retyped."""
@@ -153,19 +150,6 @@ class Tables:
                 new = upserted(self.rows_of(spec, held).select(new.columns), new, keys)
         self.commit([self._stage(spec, new, [])])
 
-    def stage_replacement(
-        self, logical: str, rows: DataFrame, processed: DataFrame, spec: TableSpec | None = None
-    ) -> PendingSwap:
-        """New content of the buckets of the processed models. A processed model without rows is cleared."""
-        spec = spec or curated_spec(logical)
-        new = spec.placed(rows)
-        processed = processed.select(schemas.SLICE_COLUMN)
-        buckets = [r[0] for r in processed.select(spec.bucket()).distinct().collect()]
-        held = self.held(spec, buckets)
-        if held:
-            new = replaced(self.rows_of(spec, held).select(new.columns), new, processed, schemas.SLICE_COLUMN)
-        return self._stage(spec, new, held)
-
     def rewrite(self, spec: TableSpec, rows: DataFrame, held: list) -> None:
         """rows are the whole new content of the held partitions."""
         self.commit([self._stage(spec, spec.placed(rows), held)])

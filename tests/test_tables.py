@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from modelsift.config import ScanConfig
 from modelsift.operators import merge
+from modelsift.sinks.current import CurrentState
 from modelsift.sinks.tables import TableSpec, Tables
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -72,33 +73,87 @@ def test_upsert_across_buckets(spark, tables):
     assert rows(tables.rows(spec)) == sorted((f"m{i}", int(i >= 150)) for i in range(250))
 
 
-def test_replacement_clears_empty_slices_and_keeps_others(spark, tables):
-    spec = TableSpec(f"{tables.name}.state", STATE, "semantic_model_id")
-    tables.ensure(spec, evolve=False)
-    frame = lambda rs: spark.createDataFrame(rs, STATE)
-    ids = lambda names: spark.createDataFrame([(n,) for n in names], "semantic_model_id string")
+LINKS = T.StructType().add("link", "string").add("semantic_model_id", "string")
+
+
+@pytest.fixture
+def current(spark, tables):
+    names = {"state": f"{tables.name}.state", "links": f"{tables.name}.links"}
+    state = CurrentState(spark, names, f"{tables.name}.pointer", {"state": STATE, "links": LINKS})
+    state.ensure()
+    state.ensure()
+    return state
+
+
+def ids(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "semantic_model_id string")
+
+
+def publish(spark, current, state, links, done, analysis):
+    frames = {"state": spark.createDataFrame(state, STATE), "links": spark.createDataFrame(links, LINKS)}
+    return current.publish(frames, ids(spark, done), analysis)
+
+
+def test_replacement_clears_empty_slices_and_keeps_others(spark, current):
     models = [f"m{i}" for i in range(100)]
-    replace = lambda rs, done: tables.commit([tables.stage_replacement("", frame(rs), ids(done), spec)])
-    replace([(m, i) for m in models for i in range(3)], models)
+    old = publish(spark, current, [(m, i) for m in models for i in range(3)], [("a", "m0"), ("b", "m2")], models, "one")
+    files = set(spark.table(current.names["state"] + "_rows").inputFiles())
     # m0 gets new rows, m1 is processed without rows, the others are not processed.
-    replace([("m0", 7)], ["m0", "m1"])
     want = sorted([("m0", 7)] + [(m, i) for m in models[2:] for i in range(3)])
-    assert rows(tables.rows(spec)) == want
-    replace([("m0", 7)], ["m0", "m1"])
-    assert rows(tables.rows(spec)) == want
-    replace([], models)
-    assert rows(tables.rows(spec)) == [] and not tables._partitions(spec)
-
-
-def test_a_failed_write_leaves_the_table_as_it_was(spark, tables):
-    spec = TableSpec(f"{tables.name}.state", STATE, "semantic_model_id")
-    tables.ensure(spec, evolve=False)
-    ids = spark.createDataFrame([("m",)], "semantic_model_id string")
-    tables.commit([tables.stage_replacement("", spark.createDataFrame([("m", 1)], STATE), ids, spec)])
-    broken = ids.select("semantic_model_id", F.raise_error(F.lit("stop")).cast("int").alias("v"))
+    for _ in range(2):
+        publish(spark, current, [("m0", 7)], [("c", "m0")], ["m0", "m1", "m1"], "two")
+        now = current.snapshot()
+        assert rows(now["state"]) == want and rows(now["links"]) == [("b", "m2"), ("c", "m0")]
+        assert rows(spark.table(current.names["state"])) == want
+    assert files <= set(spark.table(current.names["state"] + "_rows").inputFiles())  # nothing was rewritten
+    analyses = {r.semantic_model_id: r.analysis_id for r in now.pointers.collect()}
+    assert analyses["m0"] == analyses["m1"] == "two" and analyses["m2"] == "one" and len(analyses) == 100
+    # An earlier state stays readable in all tables until it is retired.
+    then = current.snapshot(old)
+    assert then["state"].count() == 300 and rows(then["links"]) == [("a", "m0"), ("b", "m2")]
+    assert len(current.retire(keep=(old,))["state"]) == 1  # the publication that the replay replaced
+    publish(spark, current, [], [], models, "three")
+    assert rows(current.snapshot()["state"]) == [] == rows(current.snapshot()["links"])
+    current.retire()
+    assert spark.table(current.names["state"] + "_rows").isEmpty()
+
+
+def test_a_failed_write_leaves_all_tables_as_they_were(spark, current):
+    publish(spark, current, [("m", 1)], [("a", "m")], ["m"], "one")
+    before = current.location()
+    broken = ids(spark, ["m"]).select("semantic_model_id", F.raise_error(F.lit("stop")).cast("int").alias("v"))
+    frames = {"links": spark.createDataFrame([("b", "m")], LINKS), "state": broken}
     with pytest.raises(Exception, match="stop"):
-        tables.stage_replacement("", broken, ids, spec)
-    assert rows(tables.rows(spec)) == [("m", 1)]
+        current.publish(frames, ids(spark, ["m"]), "two")
+    # One table was written, which nobody sees.
+    assert current.location() == before
+    assert rows(current.snapshot()["state"]) == [("m", 1)] and rows(current.snapshot()["links"]) == [("a", "m")]
+    assert rows(spark.table(current.names["links"])) == [("a", "m")]
+
+
+def test_two_runs_at_once_keep_each_others_models(spark, current, monkeypatch):
+    frame = lambda rs: {"state": spark.createDataFrame(rs, STATE)}
+    one, two = current.stage(frame([("m1", 1)])), current.stage(frame([("m2", 2)]))
+    location, calls = CurrentState.location, []
+
+    def other_switches_first(self):
+        calls.append(1)
+        if len(calls) == 2:  # between the first run's look at the pointer and its switch
+            self.switch(ids(spark, ["m2"]), two, "two")
+        return location(self)
+
+    monkeypatch.setattr(CurrentState, "location", other_switches_first)
+    current.switch(ids(spark, ["m1"]), one, "one")
+    monkeypatch.undo()
+    assert rows(current.snapshot()["state"]) == [("m1", 1), ("m2", 2)]
+
+
+def test_only_named_partitions_are_read(spark, current):
+    for i in range(4):
+        publish(spark, current, [("m", i)], [], ["m"], f"run-{i}")
+    df = current.snapshot()["state"]
+    assert rows(df) == [("m", 3)]
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_columns_are_added_and_never_dropped(spark, tables):
