@@ -25,6 +25,26 @@ def error_columns(stage_errors: DataFrame) -> DataFrame:
     )
 
 
+UNCOLLECTED = "NOT_RUN"
+NO_MESSAGE = "No message."
+NO_OUTCOME = "The stage has no landed outcome."
+
+
+def outcome_columns(outcomes: DataFrame) -> DataFrame:
+    """From landed outcomes: one row per model, per collector whether one was landed and the message of a failure.
+
+    Of several outcomes of a stage a failure counts, of several failures the least message.
+    """
+    def of(k: str) -> Column:
+        return F.col("stage") == k
+
+    failure = F.when(F.col("status") == "FAILED", F.coalesce("message", F.lit(NO_MESSAGE)))
+    return outcomes.groupBy(F.lower("model_id").alias("model_id")).agg(
+        *[F.min(F.when(of(k), failure)).alias(f"{k}_error") for k in ERROR_KEYS],
+        *[F.max(of(k) & F.col("status").isin("SUCCEEDED", "FAILED")).alias(f"{k}_landed") for k in STAGES],
+    )
+
+
 def error_document(errors: dict[str, Column]) -> Column:
     """Collector -> message as JSON with sorted keys; null when nothing failed."""
     entries = F.filter(
@@ -53,10 +73,17 @@ def model_states(
     sizes: DataFrame,
     capacity: DataFrame,
     config: ScanConfig,
+    outcomes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per target: attributes, stage statuses, overall status and error document."""
+    """One row per target: attributes, stage statuses, overall status and error document.
+
+    With landed outcomes, a stage has run if its outcome says so; a model with an enabled stage that has none is
+    NOT_RUN as a whole, so nothing of it is published, and its error document names those stages. Without them, a
+    stage has run unless stage_errors has a row.
+    """
+    reported = error_columns(stage_errors) if outcomes is None else outcome_columns(outcomes)
     joined = (
-        targets.join(error_columns(stage_errors), "model_id", "left")
+        targets.join(reported, "model_id", "left")
         .join(modes.withColumnRenamed("storage_mode", "_mode"), "model_id", "left")
         .join(one_value(sizes, "model_id", "model_size_bytes").withColumnRenamed("model_size_bytes", "_size"), "model_id", "left")
         .join(one_value(capacity, "workspace_id", "capacity_id", "capacity_name"), "workspace_id", "left")
@@ -65,10 +92,13 @@ def model_states(
     gated = F.col("gated")
     failed = {k: F.col(f"{k}_error").isNotNull() for k in ERROR_KEYS}
 
+    def collected(stage: str) -> Column:
+        return F.lit(True) if outcomes is None else F.coalesce(F.col(f"{stage}_landed"), F.lit(False))
+
     def attribute(name: str, collector: str) -> Column:
         return F.when(~gated & ~failed[collector], F.col(name))
 
-    storage_read = ~gated & ~failed["vpa"] if config.enabled("vpa") else F.lit(False)
+    storage_read = ~gated & ~failed["vpa"] & collected("vpa") if config.enabled("vpa") else F.lit(False)
     mode = F.coalesce(F.when(storage_read, F.col("_mode")), F.lit("UNKNOWN"))
     joined = joined.withColumn("storage_mode", mode)
 
@@ -76,7 +106,7 @@ def model_states(
         if not config.enabled(stage):
             ran = F.lit("NOT_RUN")
         else:
-            ran = F.when(failed[stage], "FAILED").otherwise("SUCCEEDED")
+            ran = F.when(failed[stage], "FAILED").when(collected(stage), "SUCCEEDED").otherwise(UNCOLLECTED)
             if stage == "direct_lake":
                 ran = F.when(is_direct_lake(F.col("storage_mode")), ran).otherwise("NOT_APPLICABLE")
         if stage == "access_snapshot":
@@ -92,8 +122,12 @@ def model_states(
     any_failed = F.lit(False)
     for stage in STAGES:
         any_failed = any_failed | (F.col(f"{stage}_status") == "FAILED")
+    missing = F.lit(False)
+    for stage in STAGES:
+        if config.enabled(stage):
+            missing = missing | (F.col(f"{stage}_status") == UNCOLLECTED)
     overall = (
-        F.when(gated, GATED).when(core_failed, "FAILED").when(any_failed, "PARTIAL").otherwise("SUCCEEDED")
+        F.when(gated, GATED).when(missing, UNCOLLECTED).when(core_failed, "FAILED").when(any_failed, "PARTIAL").otherwise("SUCCEEDED")
     )
     message = F.when(gated, F.coalesce("permission_precheck_message", F.lit(GATED_MESSAGE))).otherwise(
         F.col("permission_precheck_message")
@@ -103,6 +137,9 @@ def model_states(
     for key in ERROR_KEYS:
         if key in STAGES:
             errors[key] = F.when(F.col(f"{key}_status") == "FAILED", F.col(f"{key}_error"))
+            if outcomes is not None and config.enabled(key):
+                absent = F.when(F.col(f"{key}_status") == UNCOLLECTED, F.lit(NO_OUTCOME))
+                errors[key] = F.coalesce(errors[key], absent)
         else:
             errors[key] = F.col(f"{key}_error")
     gate_error = F.to_json(F.struct(message.alias("permission_precheck")))
@@ -170,7 +207,7 @@ def status_counts() -> list[Column]:
         F.count_distinct("workspace_id").cast("int").alias("workspace_count"),
         count("SUCCEEDED").alias("success_count"),
         count("PARTIAL").alias("partial_count"),
-        count("FAILED").alias("failed_count"),
+        F.count_if(F.col("overall_status").isin("FAILED", UNCOLLECTED)).cast("int").alias("failed_count"),
         count(GATED).alias("skipped_count"),
     ]
 

@@ -41,12 +41,26 @@ class Landed:
     item_access: DataFrame
     stage_errors: DataFrame
     workspace_access_errors: DataFrame | None = None  # workspace_id, message; may be missing
+    stage_outcomes: DataFrame | None = None  # model_id, stage, status, message; may be missing
+
+
+class OfScan:
+    """Landed evidence narrowed to one scan: frames with a scan_id keep the rows of that scan only."""
+
+    def __init__(self, landed, scan_id: str):
+        self.landed, self.scan_id = landed, scan_id
+
+    def __getattr__(self, name: str):
+        value = getattr(self.landed, name)
+        if isinstance(value, DataFrame) and "scan_id" in value.columns:
+            return value.filter(F.col("scan_id") == self.scan_id).drop("scan_id")
+        return value
 
 
 class Scan:
     def __init__(self, spark: SparkSession, landed: Landed, config: ScanConfig):
         self.spark = spark
-        self.landed = landed
+        self.landed = OfScan(landed, config.scan_id)
         self.config = config
 
     # ---- models ----
@@ -76,6 +90,7 @@ class Scan:
             self.landed.model_size,
             self.landed.capacity,
             self.config,
+            getattr(self.landed, "stage_outcomes", None),
         )
         return written(states, "model-states")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelsift.config import ScanConfig
+from modelsift.config import STAGES, ScanConfig
 from modelsift.functions.text import stable_id
 from modelsift.operators.merge import EXPLICIT_SOURCE
 from modelsift.operators.usage import unused_objects
@@ -444,6 +444,21 @@ class QuietTables(SampleTables):
         return SampleTables(self.spark, self.folder).stage_errors.filter(F.lit(False))
 
 
+def outcomes_of(inventory: DataFrame, errors: DataFrame) -> DataFrame:
+    """(model_id, stage, status, message) of every model and stage, as collectors with these errors land them."""
+    models = inventory.select(F.col("Dataset Id").alias("model_id"), F.explode(F.array(*map(F.lit, STAGES))).alias("stage"))
+    return models.join(errors, ["model_id", "stage"], "left").select(
+        "model_id", "stage", F.when(F.col("message").isNull(), "SUCCEEDED").otherwise("FAILED").alias("status"), "message"
+    )
+
+
+def uncollected(inventory: DataFrame) -> DataFrame:
+    """(model_id, stage): refresh histories that were never collected, of one model in seven."""
+    number = F.substring("Dataset Id", -6, 6).cast("int") - 1000
+    unlucky = (number % 7 == 3) & (number % 9 != 1)
+    return inventory.filter(unlucky).select(F.col("Dataset Id").alias("model_id"), F.lit("refresh").alias("stage"))
+
+
 # What a consumer expects of some sample tables: type and whether a value is required. One expected
 # column does not exist and one has another type, as happens in practice.
 EXPECTED_COLUMNS = {
