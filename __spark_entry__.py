@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -21,9 +23,13 @@ from modelsift.operators.merge import replaced, synced_grants, upserted  # noqa:
 from modelsift.operators.ranking import first_per_key, union_all  # noqa: E402
 from modelsift.plans import reports  # noqa: E402
 from modelsift.plans.measures import ScanState, measures  # noqa: E402
-from modelsift.plans.scan import Scan  # noqa: E402
-from modelsift.session import configure, written  # noqa: E402
+from modelsift.operators.runstate import running_row  # noqa: E402
+from modelsift.plans.scan import Scan, conform  # noqa: E402
+from modelsift.session import configure, shared_folder, written  # noqa: E402
+from modelsift.sinks.current import CurrentState  # noqa: E402
+from modelsift.sinks.tables import Tables, TableSpec, history_spec  # noqa: E402
 from modelsift.sources import landing, testdata  # noqa: E402
+from modelsift.sources.store import KINDS, OUTCOMES, LandingStore, land_all  # noqa: E402
 from modelsift.sources.testdata import SampleTables, prior_scan, sample_scan  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +159,68 @@ def _access_grants_sync(spark: SparkSession, folder: str) -> DataFrame:
     return synced_grants(tables.held_grants, requests, scan.config)
 
 
+# ---- stored tables -------------------------------------------------------------------------------
+
+
+def _landed_scans(spark: SparkSession, folder: str) -> tuple[Scan, Scan]:
+    """The prior scan and this one over landed evidence; of this one some refresh histories were never collected."""
+    configure(spark)
+    store = LandingStore(spark, f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}")
+    evidence = [k for k in KINDS if k not in ("stage_errors", OUTCOMES)]
+    scans = []
+    for scan in (prior_scan(spark, folder), sample_scan(spark, folder)):
+        tables, scan_id = scan.landed.landed, scan.config.scan_id
+        land_all(store, tables, scan_id, evidence)
+        outcomes = testdata.outcomes_of(tables.inventory, tables.stage_errors)
+        if not scans:
+            store.land_outcomes(outcomes, scan_id)
+        else:
+            missing = testdata.uncollected(tables.inventory)
+            store.land_outcomes(outcomes.join(missing, ["model_id", "stage"], "left_anti"), scan_id)
+        scans.append(Scan(spark, store.landed(scan_id), scan.config))
+    return scans[0], scans[1]
+
+
+def _own_schema(spark: SparkSession) -> str:
+    """A schema in the shared folder, so that queries leave other tables alone."""
+    name = f"modelsift_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {name} LOCATION '{shared_folder(spark)}/{name}'")
+    return name
+
+
+def _landed_model_scan_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed_scans(spark, folder)[1].model_rows.select(schemas.technical_schema("model_scan").names)
+
+
+def _published_column_storage(spark: SparkSession, folder: str) -> DataFrame:
+    """Both scans published one after the other; models that the second one does not publish keep the first one's rows."""
+    scans = _landed_scans(spark, folder)
+    schema = _own_schema(spark)
+    current = CurrentState(spark, {n: f"{schema}.{n}" for n in ("overview", "column_storage")}, f"{schema}.pointer")
+    current.ensure()
+    for scan in scans:
+        every = scan.curated()
+        frames = {n: every[n] for n in current.names}
+        models = scan.curated_models.select(F.col("model_id").alias(schemas.SLICE_COLUMN))
+        current.publish(frames, models, scan.config.scan_id)
+    return current.snapshot()["column_storage"]
+
+
+def _stored_run_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The run's row as stored while it runs and when it has ended, in a table that began with fewer columns."""
+    scan = sample_scan(configure(spark), folder)
+    tables = Tables(spark, _own_schema(spark))
+    spec = history_spec("scan_run", tables.history_schema)
+    older = [f for f in spec.schema.fields if f.name not in ("parameters_hash", "error_message")]
+    tables.ensure(TableSpec(spec.name, StructType(older)), evolve=True)
+    tables.ensure(spec, evolve=True)
+    held = []
+    for row in (running_row(scan.targets, scan.config), scan.run_row):
+        tables.upsert(spec, schemas.TECHNICAL_KEYS["scan_run"], conform(row, spec.schema), scan.config.scan_id)
+        held.append(written(tables.rows(spec), "stored-run"))
+    return held[0].unionByName(held[1])
+
+
 # ---- lake tables ---------------------------------------------------------------------------------
 
 
@@ -265,6 +333,9 @@ def library_queries() -> dict[str, Query]:
         "upsert_finding_history": _upsert_finding_history,
         "replace_current_state": _replace_current_state,
         "access_grants_sync": _access_grants_sync,
+        "landed_model_scan_rows": _landed_model_scan_rows,
+        "published_column_storage": _published_column_storage,
+        "stored_run_rows": _stored_run_rows,
         "column_profile": _column_profile,
         "rule_evaluation": lambda spark, folder: profile.rule_violations(_column_profile(spark, folder)),
         "key_uniqueness": _key_uniqueness,

@@ -7,6 +7,7 @@ collected, or whose collection broke off, has none and is NOT_RUN.
 
 import hashlib
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from modelsift.functions.text import error_text
 
 SUCCEEDED, FAILED = "SUCCEEDED", "FAILED"
+CONCURRENT_WRITES = 4
 OUTCOMES = "stage_outcomes"
 OUTCOME_COLUMNS = "model_id string, stage string, status string, message string"
 
@@ -98,8 +100,7 @@ class LandingStore:
 
 
 def land_all(store: LandingStore, landed, scan_id: str, kinds: Iterable[str] = KINDS) -> None:
-    """Copy the frames of another landing into a scan's folders."""
-    for kind in kinds:
-        rows = getattr(landed, kind, None)
-        if rows is not None:
-            store.land(kind, rows, scan_id)
+    """Copy the frames of another landing into a scan's folders, some at a time."""
+    frames = {kind: getattr(landed, kind, None) for kind in kinds}
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        list(pool.map(lambda kind: store.land(kind, frames[kind], scan_id), [k for k, f in frames.items() if f is not None]))

@@ -605,9 +605,7 @@ select p.model_id, p.workspace_id, p.workspace_name, p.model_name, p.workspace_i
 from prior_targets p left join modes m using (model_id) where p.model_id not in (select model_id from states)""",
 )
 _PARAMETERS = json.dumps(scan_config().safe_parameters(), sort_keys=True, ensure_ascii=False)
-oracle(
-    "run_rollup",
-    f"""select '{SCAN}' as scan_id, '{SCAN}' as request_id, 'owner@example.com' as requested_by_upn,
+_RUN_ROW = f"""select '{SCAN}' as scan_id, '{SCAN}' as request_id, 'owner@example.com' as requested_by_upn,
  'spn_secret' as auth_mode, 'deep' as analysis_profile, '2.0.0' as scanner_version,
  'OPPORTUNITY_DISCOVERY' as solution_stage,
  case when k > 0 then 'FAILED' when f + p > 0 then 'PARTIAL' else 'SUCCEEDED' end as status, {CLOCK} as started_at,
@@ -619,8 +617,8 @@ oracle(
   as error_message, cast(w as integer) as workspace_count
 from (select count(*) as n, count(distinct workspace_id) as w, count(*) filter (overall_status = 'SUCCEEDED') as s,
  count(*) filter (overall_status = 'PARTIAL') as p, count(*) filter (overall_status = 'FAILED') as f,
- count(*) filter (overall_status = 'SKIPPED_PERMISSION') as k from states)""",
-)
+ count(*) filter (overall_status = 'SKIPPED_PERMISSION') as k from states)"""
+oracle("run_rollup", _RUN_ROW)
 oracle(
     "run_summary_json",
     f"""select '{SCAN}' as scan_id, cast(to_json(struct_pack(scan_id := '{SCAN}', request_id := '{SCAN}',
@@ -773,6 +771,45 @@ select {sha(lit(PRIOR), 'v.model_id', "'VPA_COLUMN'", 'v.table_name', 'v.column_
 from fx_vpa v where v.model_id in (select model_id from prior_targets)
  and v.model_id not in (select model_id from usable)""",
 )
+# ---- stored tables -------------------------------------------------------------------------------
+
+# Models whose refresh history was never collected have no outcome for it.
+CTE["landed_states"] = f"""
+select * replace (
+ case when not gated and missed then 'NOT_RUN' else overall_status end as overall_status,
+ case when not gated and missed then 'NOT_RUN' else refresh_status end as refresh_status,
+ case when missed then 'The stage has no landed outcome.' else refresh_error end as refresh_error)
+from (select s.*, (n_nationkey % 7 = 3 and n_nationkey % 9 <> 1) as missed
+ from states s join nation on {model('n_nationkey')} = s.model_id)"""
+oracle(
+    "landed_model_scan_rows",
+    f"""select {_MODEL_ROW}, cast(coalesce(n, 0) as integer) as finding_count
+from landed_states left join (select model_id, count(*) as n from all_findings group by model_id) using (model_id)""",
+)
+oracle(
+    "published_column_storage",
+    f"""select c.* from column_storage c join landed_states s on s.model_id = c.semantic_model_id
+where s.overall_status in ('SUCCEEDED', 'PARTIAL')
+union all by name
+select {sha(lit(PRIOR), 'v.model_id', "'VPA_COLUMN'", 'v.table_name', 'v.column_name')} as column_storage_record_id,
+ '{PRIOR}' as analysis_id, p.workspace_name, v.model_id as semantic_model_id, p.model_name as semantic_model_name,
+ v.table_name, v.column_name, v.data_type, v.encoding, v.cardinality, v.data_kb * 1024 as data_size_bytes,
+ v.dictionary_size as dictionary_size_bytes, cast(null as bigint) as hierarchy_size_bytes,
+ v.total_size as total_size_bytes,
+ case when z.model_size_bytes > 0 then 100.0::double * v.total_size / z.model_size_bytes end
+  as percentage_of_semantic_model_size, {PRIOR_CLOCK} as detected_at
+from fx_vpa v join prior_targets p using (model_id) left join fx_size z using (model_id)
+where v.model_id not in (select model_id from landed_states where overall_status in ('SUCCEEDED', 'PARTIAL'))""",
+)
+oracle(
+    "stored_run_rows",
+    """select * exclude (workspace_count) from ended
+union all
+select * replace ('RUNNING' as status, null as completed_at, null as error_category, null as error_message,
+ 0 as success_count, 0 as partial_count, 0 as failed_count, 0 as skipped_count)
+from (select * exclude (workspace_count) from ended)""",
+    {"ended": _RUN_ROW},
+)
 CTE["held_grants"] = f"""
 select a.model_id, lower(a.principal_upn) as principal_upn,
  case when a.source_ordinal % 2 = 0 then 'SCAN_REQUEST_EXPLICIT' else 'MANUAL' end as source,
