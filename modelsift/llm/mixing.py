@@ -123,21 +123,62 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _place(row: str) -> Column:
+    """Where a row stands in its source's order, null ids last."""
+    return F.struct(F.col(OWN + "seed"), F.col("doc_id").isNull(), F.col("doc_id"), F.col(OWN + "size"), F.col(row))
+
+
+def source_cuts(docs: DataFrame, row: str) -> DataFrame:
+    """Per source what its rows' times follow from: whole epochs, and the place up to which rows are taken once more.
+
+    docs(doc_id, text, source, row); row is a hash of all columns, so rows in one place are alike. m of them lie
+    at the cut and c of those are taken once more.
+    """
+    source, seed, whole = OWN + "source", OWN + "seed", OWN + "whole"
+    plan = mixed_documents(docs, carried=(row,)).filter("size > 0")
+    plan = plan.select(
+        F.col("source").alias(source),
+        F.floor(F.col("target") / F.greatest("source_size", F.lit(1)).cast("double")).alias(whole),
+        seeded("doc_id").alias(seed),
+        "doc_id",
+        F.col("size").alias(OWN + "size"),
+        row,
+        "times",
+    )
+    plan = written(plan.select(source, whole, _place(row).alias(OWN + "place"), (F.col("times") - F.col(whole)).alias("more")), "mix-plan")
+    last = F.max(F.when(F.col("more") > 0, F.col(OWN + "place")))
+    cuts = plan.groupBy(source).agg(F.first(whole).alias(whole), last.alias(OWN + "cut"))
+    at = plan.withColumnRenamed(source, source + "2").join(
+        cuts, F.col(source + "2").eqNullSafe(F.col(source)) & (F.col(OWN + "place") == F.col(OWN + "cut"))
+    )
+    at = at.groupBy(source + "2").agg(F.count(F.lit(1)).alias(OWN + "m"), F.sum("more").alias(OWN + "c"))
+    cuts = cuts.join(at, F.col(source).eqNullSafe(F.col(source + "2")), "left").drop(source + "2")
+    return written(cuts, "mix-cuts")
+
+
 def mixed_copies(docs: DataFrame) -> DataFrame:
     """The documents, each row as often as the mix takes it, also rows without an id or with one that repeats.
 
-    The rows are numbered and written once, so that the plan finds each by its number and not by its id.
+    The rows taken once more are the first of their source's order, so two numbers a source tell how often each row
+    is taken: texts are read, but neither written nor shuffled. Of rows alike in all columns some may be taken more
+    often; these are counted, once, if there are any.
     """
-    text, row, times = OWN + "text", OWN + "row", OWN + "times"
-    rows = docs.withColumn(text, F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id())
-    rows = written(rows, "mix-rows")
-    plan = mixed_documents(rows, carried=(text, row)).filter("times > 0")
-    plan = plan.select(row, F.col("times").alias(times))
-    return (
-        rows.join(plan, row)
-        .withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
-        .select(*docs.columns)
-    )
+    source, row, times = OWN + "source", OWN + "row", OWN + "times"
+    rows = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    cuts = source_cuts(rows, row)
+    rows = rows.withColumn(OWN + "seed", seeded("doc_id")).withColumn(OWN + "size", word_count(F.col("text")))
+    rows = rows.filter(F.col(OWN + "size") > 0).withColumn(OWN + "place", _place(row))
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col(source)))
+    at_cut = F.coalesce(F.col(OWN + "place") == F.col(OWN + "cut"), F.lit(False))
+    split = at_cut & (F.col(OWN + "c") < F.col(OWN + "m"))
+    more = F.when(F.col(OWN + "place") <= F.col(OWN + "cut"), 1).otherwise(0)
+    taken = rows.filter(~split).withColumn(times, F.col(OWN + "whole") + more)
+    if not cuts.filter(F.col(OWN + "c") < F.col(OWN + "m")).isEmpty():
+        total = F.max(F.col(OWN + "whole") * F.col(OWN + "m") + F.col(OWN + "c"))
+        alike = rows.filter(split).groupBy(*[F.col(f"`{c}`") for c in docs.columns]).agg(total.alias(times))
+        taken = taken.select(*docs.columns, times).unionByName(alike)
+    repeat = F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))
+    return taken.filter(F.col(times) > 0).withColumn(OWN + "copy", repeat).select(*docs.columns)
 
 
 SQL = f"""

@@ -30,3 +30,29 @@ def test_copies_follow_each_rows_own_times(spark):
         words[r.source] += len(r.text.split())
     for r in plan:
         assert abs(words[r.source] - r.target) <= 30
+
+
+def test_no_text_is_shuffled(spark):
+    """The texts go from the reader to the result; only rows at a split cut are grouped."""
+    docs = spark.createDataFrame([(i, f"word{i} " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)], "doc_id bigint, text string, source string")
+    plan = mixing.mixed_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rows_alike_at_the_cut(spark):
+    """One row repeated: the cut goes through the middle of equal rows, and the number of copies is exact."""
+    rows = [(1, "a b c", "x")] * 7 + [(2, "a b", "y")] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        want[r.doc_id] += r.times
+    assert Counter(r.doc_id for r in mixing.mixed_copies(docs).collect()) == +want
+    assert 40 < want[2] < 80 or 7 < want[1] < 14
+
+
+def test_odd_copies(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string, source string, times int, size string")
+    assert mixing.mixed_copies(empty).count() == 0
+    clash = spark.createDataFrame([(1, "a b", None, 3, "s"), (None, None, "q", None, None), (2, " ", "q", 1, "t")], empty.schema)
+    copies = mixing.mixed_copies(clash)
+    assert copies.columns == clash.columns and {r.doc_id for r in copies.collect()} <= {1}
