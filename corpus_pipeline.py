@@ -7,6 +7,7 @@ read again before the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(score(F.coalesce("text", F.lit(""))) < toxicity.REJECT_AT)
 
 
-def drop_near_duplicates(
-    spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = minhash.SHINGLE, percent: int = minhash.PERCENT
-) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Near copies share percent of their shingles of width words.
+    Near copies share percent of their shingles of width words. Of rows with one id and one text one stays, too;
+    rows of one id with different texts are told apart by no id, so they all stay or go. Texts go from the reader to the
+    result; the ids that go are written first, so that their size decides how they are joined.
     """
     prepare(spark)
-    verdicts = minhash.near_duplicates(docs.select("doc_id", "text"), width, percent)
-    gone = verdicts.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    verdicts = written(minhash.near_duplicates(docs.select("doc_id", "text"), width, percent).select("doc_id", "kept"), "dedup-verdicts")
+    gone = written(verdicts.filter("not kept").select("doc_id").distinct(), "dedup-gone")
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = verdicts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = written(again, "dedup-repeated")
+    if again.isEmpty():
+        return stay
+    single = stay.join(again, "doc_id", "left_anti").select(docs.columns)
+    return single.unionByName(stay.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", partial(drop_near_duplicates, width=5, percent=80)),
     ("personal_data", redact_personal_data),
     ("mixture", mix_sources),
     ("packing", pack),
