@@ -20,7 +20,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable
+import unicodedata
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,20 @@ FILE = "word_bpe_49k.json"
 UNUSUAL = re.compile("[^\x00-˿‐-‧‰-⁞€]")
 
 
+def usual_words() -> re.Pattern:
+    """PATTERN for texts of usual characters, with the classes of letters, numbers and space written out."""
+    usual = sorted({low for c in map(chr, range(0x2100)) if UNUSUAL.search(c) is None for low in c.lower()})
+    of = lambda kind: "".join(re.escape(c) for c in usual if unicodedata.category(c)[0] == kind)
+    space = "".join(re.escape(c) for c in usual if regex.fullmatch(r"\s", c))
+    letters, numbers = of("L"), of("N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
+
+
+# Fixed value: how the supported files split texts into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+USUAL_WORDS = usual_words()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it is printable, else the next free one from U+0100."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -59,10 +75,13 @@ class Vocabulary:
         letters = byte_letters()
         self.inner = [ids[c] for c in letters]
         self.last = [ids[c + end] for c in letters]
-        # A pair of ids as one number -> the merge's rank and its result as one number, which sorts by rank.
-        self.merges: dict[int, int] = {}
+        # ranks[left id][right id] is the rank of a merge, results[rank] the id it makes.
+        ranks: dict[int, dict[int, int]] = {}
+        results = []
         for rank, (a, b) in enumerate(file["model"]["merges"]):
-            self.merges[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
+            ranks.setdefault(ids[a], {})[ids[b]] = rank
+            results.append(ids[a + b])
+        self.merges = Merges([ranks.get(i, {}) for i in range(max(ids.values()) + 1)], results)
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
@@ -74,7 +93,6 @@ class Vocabulary:
         self.normal = library.normalizer.normalize_str
         self.pieces = library.pre_tokenizer.pre_tokenize_str
         self.byte_of = {c: b for b, c in enumerate(letters)}
-        self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -91,6 +109,7 @@ class Vocabulary:
             and [p["type"] for p in before] == ["Split", "ByteLevel"]
             and before[0]["behavior"] == "Removed"
             and before[0]["invert"]
+            and before[0]["pattern"] == {"Regex": PATTERN}
             and not before[1]["add_prefix_space"]
             and not before[1]["use_regex"]
             and file["added_tokens"]
@@ -100,11 +119,11 @@ class Vocabulary:
         if not fits:
             raise ValueError("The tokenizer file is of another kind than this encoder supports.")
 
-    def words(self, text: str) -> Iterable[str]:
+    def words(self, text: str) -> list[str]:
         """Lower-case words of a text without special tokens."""
         if UNUSUAL.search(text) is None:
-            return self.pattern.findall(text.lower())
-        return (bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.pieces(self.normal(text)))
+            return USUAL_WORDS.findall(text.lower())
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in self.pieces(self.normal(text))]
 
     def word_ids(self, word: str) -> list[int]:
         data = word.encode()
@@ -120,18 +139,22 @@ class Vocabulary:
                 out.append(self.special[part])
                 continue
             words = self.words(part)
-            known = self.known
-            for word in words:
-                ids = known.get(word)
-                if ids is None:
-                    ids = np.array(self.word_ids(word), "<u4").tobytes()
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(word) <= SHORT:
-                        known[word] = ids
-                out.append(ids)
+            found = list(map(self.known.get, words))
+            if None in found:
+                found = [self.remembered(word) if ids is None else ids for word, ids in zip(words, found, strict=True)]
+            out += found
         return b"".join(out)
 
+    def remembered(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = np.array(self.word_ids(word), "<u4").tobytes()
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            if len(word) <= SHORT:
+                self.known[word] = ids
+        return ids
+
     def decoded(self, ids: bytes) -> str:
         """The tokens of the ids with spaces between them; ids that name no token are left out."""
         numbers, tokens = np.frombuffer(ids, "<u4"), self.tokens
@@ -140,46 +163,51 @@ class Vocabulary:
         return " ".join([t for i in numbers.tolist() if (t := tokens[i]) is not None])
 
 
-NONE = 1 << 62  # the rank of a pair that no merge joins
+NONE = 1 << 29  # the rank of a pair that no merge joins
+
+
+class Merges(NamedTuple):
+    ranks: list[dict[int, int]]
+    results: list[int]
 
 
-def merged(parts: list[int], merges: dict[int, int]) -> list[int]:
+def merged(parts: list[int], merges: Merges) -> list[int]:
     """The parts after all merges, by smallest rank and then from the left."""
-    get = merges.get
-    ranks = [get(a << 32 | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    table_, results = merges
+    ranks = [table_[a].get(b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
     while ranks:
         best = min(ranks)
         if best == NONE:
             break
         i = ranks.index(best)
-        parts[i] = best & 0xFFFFFFFF
+        parts[i] = joined = results[best]
         del parts[i + 1], ranks[i]
         if i:
-            ranks[i - 1] = get(parts[i - 1] << 32 | parts[i], NONE)
+            ranks[i - 1] = table_[parts[i - 1]].get(joined, NONE)
         if i < len(ranks):
-            ranks[i] = get(parts[i] << 32 | parts[i + 1], NONE)
+            ranks[i] = table_[joined].get(parts[i + 1], NONE)
     return parts
 
 
-def merged_long(parts: list[int], merges: dict[int, int]) -> list[int]:
-    """As merged, for many parts: a heap of (merge, place), where places whose pair has changed are passed over."""
+def merged_long(parts: list[int], merges: Merges) -> list[int]:
+    """As merged, for many parts: a heap of (rank, place), where places whose pair has changed are passed over."""
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    held: list[int | None] = [merges.get(a << 32 | b) for a, b in zip(parts, parts[1:], strict=False)] + [None]
-    heap = [(m, i) for i, m in enumerate(held) if m is not None]
+    held = [merges.ranks[a].get(b, NONE) for a, b in zip(parts, parts[1:], strict=False)] + [NONE]
+    heap = [(rank, i) for i, rank in enumerate(held) if rank != NONE]
     heapq.heapify(heap)
 
     def refresh(i: int) -> None:
-        held[i] = merges.get(parts[i] << 32 | parts[after[i]]) if after[i] < n else None
-        if held[i] is not None:
+        held[i] = merges.ranks[parts[i]].get(parts[after[i]], NONE) if after[i] < n else NONE
+        if held[i] != NONE:
             heapq.heappush(heap, (held[i], i))
 
     while heap:
-        m, i = heapq.heappop(heap)
-        if held[i] != m:
+        rank, i = heapq.heappop(heap)
+        if held[i] != rank:
             continue
         gone = after[i]
-        parts[i], held[gone], after[i] = m & 0xFFFFFFFF, None, after[gone]
+        parts[i], held[gone], after[i] = merges.results[rank], NONE, after[gone]
         if after[i] < n:
             before[after[i]] = i
         refresh(i)
