@@ -45,6 +45,7 @@ TABLE_KEYS = {
     "lineitem": ["l_orderkey", "l_linenumber"],
     "events": ["event_id"],
     "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
     "pages": ["page_id"],
     "benchmark": ["item_id"],
     "labels": ["doc_id"],

@@ -27,7 +27,7 @@ PRIOR_CLOCK = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
 
 # Columns of the sample tables. Declared, so that reading starts no schema job. The profile reads the
-# files' own schemas. embeddings is not among them: the expected SQL of profile and key check is without it.
+# files' own schemas.
 SAMPLE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -47,6 +47,7 @@ SAMPLE_SCHEMAS = {
         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     ),
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
     "pages": "page_id bigint, url string, html string",
     "benchmark": "item_id bigint, text string",
     "labels": "doc_id bigint, quality int, toxic int",

@@ -848,13 +848,15 @@ def _profile_sql() -> str:
     for table, ddl in SAMPLE_SCHEMAS.items():
         for column in ddl.split(", "):
             name, kind = column.split(" ")
-            text = f"cast({name} as varchar)"
+            text, width = f"cast({name} as varchar)", "octet_length(encode(v))"
+            if kind == "array<float>":
+                text, width = name, "4 * len(v)"
             if kind == "double":
                 text = f"case when {name} = 0 then '0.0' else {text} end"
             parts.append(
                 f"select '{table}' as table_name, '{name}' as column_name, '{kind}' as data_type, "
                 f"sum(n) as row_count, coalesce(sum(n) filter (v is null), 0) as null_count, "
-                f"count(v) as cardinality, coalesce(sum(octet_length(encode(v))), 0) as dictionary_size_bytes "
+                f"count(v) as cardinality, coalesce(sum({width}), 0) as dictionary_size_bytes "
                 f"from (select {text} as v, count(*) as n from {table} group by 1)"
             )
     return "\nunion all\n".join(parts)
@@ -893,7 +895,7 @@ where case r.rule when 'Constant column' then cardinality = 1 and null_count = 0
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
     "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey,l_linenumber", "events": "event_id",
-    "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
     "conversations": "conv_id,turn",
 }
 _CURATED_KEYS = {
