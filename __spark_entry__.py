@@ -236,7 +236,7 @@ def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    state = ScanState(sample_scan(configure(spark), folder))
+    state = ScanState(sample_scan(configure(spark), folder).pin())
     return union_all([checks.key_uniqueness(t, state[t], keys) for t, keys in schemas.CURATED_KEYS.items()])
 
 
@@ -246,7 +246,7 @@ def _table_key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _relationship_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    state = ScanState(sample_scan(configure(spark), folder))
+    state = ScanState(sample_scan(configure(spark), folder).pin())
     return union_all([checks.relationship_integrity(state, *r) for r in schemas.RELATIONSHIPS])
 
 

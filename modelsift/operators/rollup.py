@@ -80,6 +80,12 @@ def finding_groups(findings: DataFrame) -> DataFrame:
     )
 
 
+def linked_findings(findings: DataFrame) -> DataFrame:
+    """(opportunity_id, finding_id, rule_name, link_count): the findings of each opportunity, one row per finding id."""
+    rows = keyed(findings).withColumn("opportunity_id", _opportunity_id())
+    return rows.groupBy("opportunity_id", "finding_id", "rule_name").agg(F.count(F.lit(1)).alias("link_count"))
+
+
 def _seen() -> Column:
     """Order of first sight; equal ordinals are settled by the group's own values."""
     return F.struct(

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 
 from modelsift import schemas
 from modelsift.functions.values import HIGH_SEVERITIES, megabytes
+from modelsift.operators.rollup import linked_findings
 from modelsift.plans.scan import Scan
 from modelsift.sinks.current import CurrentState
 
+# Columns of findings that the finding groups have, too: slicers and charts on these need no findings.
+GROUP_COLUMNS = (
+    schemas.SLICE_COLUMN, "finding_source", "optimization_domain", "rule_name", "recommended_action", "severity", "change_risk",
+)
+
 # Slicers: table -> column -> accepted values.
 Slicers = dict[str, dict[str, list]]
 
@@ -39,6 +45,11 @@ class ScanState(Mapping):
         """The small aggregate of the findings, where there is one."""
         return self.scan.finding_groups
 
+    @property
+    def finding_paths(self) -> DataFrame | None:
+        """One row per opportunity and finding, where findings know their opportunity; else through the links."""
+        return linked_findings(self.scan.usable_findings)
+
     def __iter__(self) -> Iterator[str]:
         return iter(self.ATTRIBUTES)
 
@@ -50,6 +61,7 @@ class StoredState(ScanState):
     """Curated tables as published, all at the state that is current when this is made (or at another snapshot)."""
 
     finding_groups = None
+    finding_paths = None
 
     def __init__(self, spark: SparkSession, snapshot: Mapping | None = None):
         self.snapshot = CurrentState(spark).snapshot() if snapshot is None else snapshot
@@ -77,8 +89,17 @@ class SlicedState(ScanState):
 
     @property
     def finding_groups(self) -> DataFrame | None:
-        """Finding groups that no slicer narrows."""
-        return None if self._restricted("findings") else getattr(self.state, "finding_groups", None)
+        """The finding groups under the slicers, where all of those on findings are columns of the groups."""
+        groups, own = getattr(self.state, "finding_groups", None), self.slicers.get("findings", {})
+        if groups is None or not set(own) <= set(GROUP_COLUMNS):
+            return None
+        for column, accepted in own.items():
+            groups = groups.filter(F.col(column).isin(accepted))
+        for child, child_column, parent, parent_column in schemas.RELATIONSHIPS:
+            if child == "findings" and self._restricted(parent):
+                keys = self[parent].select(F.col(parent_column).alias(child_column))
+                groups = groups.join(keys, child_column, "left_semi")
+        return groups
 
     def _restricted(self, name: str) -> bool:
         if self.slicers.get(name):
@@ -107,6 +128,7 @@ def finding_measures(state: SlicedState, savings: bool = False) -> list[DataFram
 
     The high count replaces a severity slicer instead of narrowing it, which takes a second pass.
     """
+    replaces = "severity" in state.slicers.get("findings", {})
     high = F.col("severity").isin(HIGH_SEVERITIES)
     groups = state.finding_groups
     saved = "known_saving" if groups is not None else "estimated_saving_bytes"
@@ -114,12 +136,15 @@ def finding_measures(state: SlicedState, savings: bool = False) -> list[DataFram
         megabytes(F.sum(f"{saved}_{bound}")).alias(f"estimated_saving_mb_{bound}")
         for bound in (("low", "high") if savings else ())
     ]
+    replaced = state.replacing("findings", "severity", HIGH_SEVERITIES) if replaces else None
     if groups is not None:
-        total = F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings")
-        return [groups.agg(total, F.coalesce(F.sum(F.when(high, F.col("n"))), F.lit(0)).alias("high_findings"), *more)]
-    if "severity" not in state.slicers.get("findings", {}):
+        summed = lambda of, name: F.coalesce(F.sum(of), F.lit(0)).alias(name)
+        total = summed("n", "total_findings")
+        if not replaces:
+            return [groups.agg(total, summed(F.when(high, F.col("n")), "high_findings"), *more)]
+        return [groups.agg(total, *more), replaced.finding_groups.agg(summed("n", "high_findings"))]
+    if not replaces:
         return [state["findings"].agg(_count("total_findings"), _count("high_findings", high), *more)]
-    replaced = state.replacing("findings", "severity", HIGH_SEVERITIES)
     return [
         state["findings"].agg(_count("total_findings"), *more),
         replaced["findings"].agg(_count("high_findings")),

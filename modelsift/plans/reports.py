@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelsift.functions.text import blank_to_null
 from modelsift.functions.values import megabytes
-from modelsift.plans.measures import SlicedState, Slicers, _combined, _count, finding_measures
+from modelsift.plans.measures import GROUP_COLUMNS, SlicedState, Slicers, _combined, _count, finding_measures
 
 # Columns shown by each table visual and slicer.
 TABLES = {
@@ -107,7 +107,10 @@ def table_visual(name: str):
     table, columns = TABLES[name]
 
     def query(state: Mapping, slicers: Slicers | None = None) -> DataFrame:
-        return SlicedState(state, slicers)[table].select(*columns).distinct()
+        sliced = SlicedState(state, slicers)
+        if table == "findings" and set(columns) <= set(GROUP_COLUMNS) and sliced.finding_groups is not None:
+            return sliced.finding_groups.select(*columns).distinct()
+        return sliced[table].select(*columns).distinct()
 
     return query
 
@@ -117,7 +120,7 @@ def count_chart(name: str):
 
     def query(state: Mapping, slicers: Slicers | None = None) -> DataFrame:
         sliced = SlicedState(state, slicers)
-        if table == "findings" and sliced.finding_groups is not None:
+        if table == "findings" and category in GROUP_COLUMNS and sliced.finding_groups is not None:
             return sliced.finding_groups.groupBy(category).agg(F.sum("n").alias(measure))
         return sliced[table].groupBy(category).agg(F.count(F.lit(1)).alias(measure))
 
@@ -173,7 +176,17 @@ def opportunity_navigation(state: Mapping) -> DataFrame:
         "recommendation_title",
         "recommendation",
     )
-    via_findings = reached("opportunity_finding_links", "findings", "finding_id", "rule_name", "finding")
+    via_findings = getattr(state, "finding_paths", None)
+    if via_findings is None:
+        via_findings = reached("opportunity_finding_links", "findings", "finding_id", "rule_name", "finding")
+    else:
+        via_findings = via_findings.select(
+            F.col("finding_id").alias("related_entity_id"),
+            "opportunity_id",
+            "link_count",
+            blank_to_null(F.col("rule_name")).alias("related_title"),
+            F.lit("finding").alias("related_kind"),
+        )
     return via_recommendations.unionByName(via_findings).join(opportunities, "opportunity_id").select(
         "opportunity_id",
         "semantic_model_name",

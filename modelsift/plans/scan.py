@@ -62,6 +62,7 @@ class Scan:
         self.spark = spark
         self.landed = OfScan(landed, config.scan_id)
         self.config = config
+        self.pinned: set[str] = set()
 
     # ---- models ----
 
@@ -251,7 +252,9 @@ class Scan:
         All tables of a run then describe the same evidence, and it is read once.
         """
         for name in ("column_rows", "usage_rows", "fallback_rows", "findings"):
-            self.__dict__[name] = written(getattr(self, name), name.replace("_", "-"))
+            if name not in self.pinned:
+                self.__dict__[name] = written(getattr(self, name), name.replace("_", "-"))
+                self.pinned.add(name)
         return self
 
     # ---- by table name ----
