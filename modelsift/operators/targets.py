@@ -146,9 +146,7 @@ def scoped_models(
     )
     detail = scope.join(precheck, "workspace_id")
     if workspaces is not None:
-        names = workspaces.groupBy(F.lower("workspace_id").alias("workspace_id")).agg(
-            F.min("workspace_name").alias("listed_name")
-        )
+        names = landing.workspaces(workspaces).groupBy("workspace_id").agg(F.min("workspace_name").alias("listed_name"))
         detail = detail.join(names, "workspace_id", "left")
     else:
         detail = detail.withColumn("listed_name", F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsift import schemas
-from modelsift.functions.values import HIGH_SEVERITIES, megabytes
+from modelsift.functions.values import is_high_severity, megabytes
 from modelsift.operators.rollup import linked_findings
 from modelsift.plans.scan import Scan
 from modelsift.sinks.current import CurrentState
@@ -106,10 +106,9 @@ class SlicedState(ScanState):
             return True
         return any(child == name and self._restricted(parent) for child, _, parent, _ in schemas.RELATIONSHIPS)
 
-    def replacing(self, table: str, column: str, accepted: list) -> "SlicedState":
-        """The same slicers with one column's filter replaced, not intersected."""
-        slicers = {t: dict(c) for t, c in self.slicers.items()}
-        slicers.setdefault(table, {})[column] = accepted
+    def without(self, table: str, column: str) -> "SlicedState":
+        """The same slicers but for one column's."""
+        slicers = {t: {k: v for k, v in c.items() if (t, k) != (table, column)} for t, c in self.slicers.items()}
         return SlicedState(self.state, slicers)
 
 
@@ -129,25 +128,26 @@ def finding_measures(state: SlicedState, savings: bool = False) -> list[DataFram
     The high count replaces a severity slicer instead of narrowing it, which takes a second pass.
     """
     replaces = "severity" in state.slicers.get("findings", {})
-    high = F.col("severity").isin(HIGH_SEVERITIES)
+    high = is_high_severity(F.col("severity"))
     groups = state.finding_groups
     saved = "known_saving" if groups is not None else "estimated_saving_bytes"
     more = [
         megabytes(F.sum(f"{saved}_{bound}")).alias(f"estimated_saving_mb_{bound}")
         for bound in (("low", "high") if savings else ())
     ]
-    replaced = state.replacing("findings", "severity", HIGH_SEVERITIES) if replaces else None
+    # Without the slicer on severity; the measure's own condition takes its place.
+    replaced = state.without("findings", "severity") if replaces else None
     if groups is not None:
         summed = lambda of, name: F.coalesce(F.sum(of), F.lit(0)).alias(name)
         total = summed("n", "total_findings")
         if not replaces:
             return [groups.agg(total, summed(F.when(high, F.col("n")), "high_findings"), *more)]
-        return [groups.agg(total, *more), replaced.finding_groups.agg(summed("n", "high_findings"))]
+        return [groups.agg(total, *more), replaced.finding_groups.agg(summed(F.when(high, F.col("n")), "high_findings"))]
     if not replaces:
         return [state["findings"].agg(_count("total_findings"), _count("high_findings", high), *more)]
     return [
         state["findings"].agg(_count("total_findings"), *more),
-        replaced["findings"].agg(_count("high_findings")),
+        replaced["findings"].agg(_count("high_findings", high)),
     ]
 
 

@@ -74,3 +74,12 @@ def test_formats(spark, tmp_path, fmt):
 def test_text_formats_need_a_schema(spark, tmp_path):
     with pytest.raises(ValueError, match="schema"):
         landing.read_landing(spark, str(tmp_path), "json")
+
+
+def test_workspace_names_by_heading(spark):
+    first = spark.createDataFrame([("A1", " North "), ("b2", "")], "ID string, `Workspace Name` string")
+    assert [tuple(r) for r in landing.workspaces(first).collect()] == [("a1", "North"), ("b2", None)]
+    second = spark.createDataFrame([("A1", None, "South")], "workspace_id string, name string, workspace_name string")
+    assert [tuple(r) for r in landing.workspaces(second).collect()] == [("a1", "South")]
+    nameless = spark.createDataFrame([("A1",)], "workspace_id string")
+    assert [tuple(r) for r in landing.workspaces(nameless).collect()] == [("a1", None)]
