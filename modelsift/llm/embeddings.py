@@ -1,8 +1,8 @@
 """Embedding near-dedup: codes by iterative quantisation, multi-index Hamming tables, exact rerank.
 
 A rotation of the centred, decorrelated space is learned on at most SAMPLE_ROWS vectors (chosen by a hash of the id) so
-that its signs quantise the vectors with little loss; every vector gets the signs as its code. The code is cut
-into TABLES substrings; two vectors are candidates when a substring is equal in some table, which finds all
+that its signs quantise the vectors with little loss; every vector gets the signs as its code. The code, of as many bits
+as the vector has numbers and 64 at most, is cut into TABLES substrings; two vectors are candidates when a substring is equal in some table, which finds all
 pairs whose codes differ in fewer bits than there are tables, and most beyond. Candidates are compared as
 original vectors in double precision, as blocks of a bucket in a matrix product. A pair that meets in several
 tables counts in the first alone. A bucket of any size is split into blocks of about BLOCK rows, and each pair of blocks is a
@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelsift.llm.common import components, table
 from modelsift.session import written
@@ -40,10 +41,16 @@ def valid(column: str = "vec"):
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are brought near 1 by powers of two first, so no square over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def learned_rotation(x: np.ndarray, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(mean, rotation) of iterative quantisation: alternate signs and the closest rotation to them."""
     dims = x.shape[1]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = unit_rows(x)
     mean = unit.mean(axis=0) if len(unit) > 1 else np.zeros(dims)
     _, axes = np.linalg.eigh((unit - mean).T @ (unit - mean))
     axes = axes[:, ::-1][:, : min(dims, 64)]
@@ -79,8 +86,7 @@ def coder(models: dict[int, tuple[np.ndarray, np.ndarray]]):
         out = np.zeros(len(vectors), np.uint64)
         for dims in np.unique(lengths):
             at = np.flatnonzero(lengths == dims)
-            x = matrix(vectors.take(pa.array(at)))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit_rows(matrix(vectors.take(pa.array(at))))
             mean, rotation = models.get(int(dims)) or (np.zeros(dims), np.eye(dims)[:, : min(dims, 64)])
             bits = (x - mean) @ rotation >= 0
             out[at] = (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -89,21 +95,30 @@ def coder(models: dict[int, tuple[np.ndarray, np.ndarray]]):
     return codes
 
 
-def _spans(tables: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each substring of a 64-bit code."""
-    cut = [round(64 * i / tables) for i in range(tables + 1)]
-    return list(zip(cut[:-1], np.diff(cut).tolist(), strict=True))
+def _spans(tables: int, bits: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each substring of a code; a code of fewer bits than tables leaves some of them empty."""
+    return [(bits * t // tables, bits * (t + 1) // tables - bits * t // tables) for t in range(tables)]
+
+
+def substrings(tables: int) -> Column:
+    """Table and value of each substring of column code, which has as many bits as column vec has numbers, 64 at most."""
+    bits = "least(size(vec), 64)"
+    parts = []
+    for t in range(tables):
+        first, end = f"{bits} * {t} div {tables}", f"{bits} * {t + 1} div {tables}"
+        value = f"shiftrightunsigned(code, int({first})) & (shiftleft(1L, int({end} - {first})) - 1)"
+        parts.append(F.struct(F.lit(t).alias("at"), F.expr(value).alias("value"), F.expr(f"{end} > {first}").alias("used")))
+    return F.filter(F.array(*parts), lambda s: s["used"])
 
 
 def block_links(cosine: float, tables: int):
     """Links inside a block, or between two blocks, of one bucket of one table."""
-    spans = _spans(tables)
 
     def found(group: pa.Table) -> pa.Table:
         at, i, j = (group[c][0].as_py() for c in ("at", "i", "j"))
         ids = group["id"].to_numpy()
-        x = matrix(group["vec"])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(matrix(group["vec"]))
+        spans = _spans(tables, min(x.shape[1], 64))
         codes, blocks = group["code"].to_numpy().view(np.uint64), group["block"].to_numpy()
         rows = np.flatnonzero(blocks == i)
         cols = rows if i == j else np.flatnonzero(blocks == j)
@@ -113,7 +128,7 @@ def block_links(cosine: float, tables: int):
         r, c = np.nonzero(hit)
         r, c = rows[r], cols[c]
         differ = codes[r] ^ codes[c]
-        for first, bits in spans[:at]:  # met in an earlier table
+        for first, bits in (s for s in spans[:at] if s[1]):  # met in an earlier table
             new = (differ >> np.uint64(first)) & np.uint64((1 << bits) - 1) != 0
             r, c, differ = r[new], c[new], differ[new]
         links = np.bincount(r, minlength=len(ids)) + (np.bincount(c, minlength=len(ids)) if i != j else 0)
@@ -133,22 +148,17 @@ def block_links(cosine: float, tables: int):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector of vectors(vec_id, embedding)."""
-    given = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("vec"))
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
+    given = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast(kind).alias("vec"))
     nameless = given.filter("id is null").select("id")
     rows = written(given.filter("id is not null").groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     usable = rows.filter(valid())
     encode = F.arrow_udf(coder(_models(usable)), "bigint")
     coded = written(usable.withColumn("code", encode("vec")), "vector-codes")
-    substrings = [
-        F.struct(
-            F.lit(t).alias("at"),
-            F.shiftrightunsigned("code", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("value"),
-        )
-        for t, (first, bits) in enumerate(_spans(tables))
-    ]
-    entries = coded.select("id", "vec", "code", F.size("vec").alias("dims"), F.explode(F.array(*substrings)).alias("s"))
+    entries = coded.select("id", "vec", "code", F.size("vec").alias("dims"), F.explode(substrings(tables)).alias("s"))
     entries = entries.select("id", "vec", "code", "dims", "s.at", "s.value")
-    slim = coded.select(F.size("vec").alias("dims"), F.explode(F.array(*substrings)).alias("s"))
+    slim = coded.select(F.size("vec").alias("dims"), F.explode(substrings(tables)).alias("s"))
     sizes = slim.select("dims", "s.*").groupBy("dims", "at", "value").agg(
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")
     )
