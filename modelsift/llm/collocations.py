@@ -40,9 +40,9 @@ SCALE = 1_000_000
 
 TILE = 512
 DENSE_TILES = 48  # a task holds at most so many, 2 MB each
-DENSE_AT = 1 << 14  # pairs of one block that make a tile dense
-BLOCK_BYTES = 4 << 20  # text counted at a time
-HELD_PAIRS = 1 << 21  # distinct sparse pairs or words that a task holds before it sends them
+DENSE_AT = 1 << 13  # pairs of one block that make a tile dense
+BLOCK_BYTES = 2 << 20  # text counted at a time
+HELD_PAIRS = 1 << 20  # distinct sparse pairs or words that a task holds before it sends them
 CODE_ROWS = 1 << 20  # bounds of what is broadcast
 CODE_BYTES = 32 << 20
 OUTPUT_ROWS = 1 << 16
