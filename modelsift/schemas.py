@@ -121,8 +121,8 @@ CURATED_KEYS = {
 SLICE_COLUMN = "semantic_model_id"
 
 # Namespaces, and where each current-state table lives.
-HISTORY_SCHEMA = "smopt"
-HISTORY_PREFIX = "smopt_"
+HISTORY_SCHEMA = "model_history"
+HISTORY_PREFIX = "history_"
 BUSINESS_SCHEMAS = [
     "analysis_control",
     "semantic_model_metadata",

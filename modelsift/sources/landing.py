@@ -197,7 +197,7 @@ def inventory(df: DataFrame) -> DataFrame:
     """Models per workspace; an inventory without id or name column cannot be used."""
     for logical in ("model_id", "model_name"):
         if not _present(df, HEADINGS["inventory"][logical]):
-            raise ValueError(f"Unable to locate ID/name columns in the inventory: {df.columns}")
+            raise ValueError(f"No ID/name heading for {logical} among those of the inventory: {df.columns}")
     extra = [c for c in ("workspace_name",) if c in df.columns]
     return df.select(
         F.lower("workspace_id").alias("workspace_id"),

@@ -126,5 +126,5 @@ def test_failures_are_recorded_and_raised(spark, tables):
 
 
 def test_table_names():
-    assert history_name("finding") == "smopt.smopt_finding"
-    assert history_name("finding", "") == "smopt_finding"
+    assert history_name("finding") == "model_history.history_finding"
+    assert history_name("finding", "") == "history_finding"
