@@ -2,17 +2,23 @@
 
 Calls and results are joined by (conversation, identifier). Every event has a place (turn, step): a result must
 come after its call, and a call after the results that it names in `after`. An event that would stand before
-what it needs is moved right behind it, until no event moves; only events that were moved, or that need one that was, are
-looked at again. Events in a cycle of needs keep moving; they stop after as many steps as the conversation has
-events and are marked. Arguments are checked against the schema of the tool and written as canonical
-JSON: no blanks, keys sorted at every depth.
+what it needs is moved right behind it, so its place is the greatest (turn of x, length of the walk) over all walks of
+needs from any x to it. Walks are doubled in length each round, so the rounds grow with the logarithm of the longest run
+of moved events; they end once no place changes. Where places still change after as many steps as a conversation has
+events, there are cycles of needs: events on a cycle get status `cyclic`, the needs inside a cycle are dropped, and
+the rest is ordered as before; an event behind a cycle keeps its status and stands behind what it needs. Arguments are
+checked against the schema of the tool and written as canonical JSON: no blanks, keys sorted at every depth.
+
+The walks of one length are distinct pairs of events: as many as there are needs in chains, trees and layers; where events
+need several of their predecessors and stand in the wrong order, more, at worst the square of that run.
 
 calls(conv_id, turn, call_id, name, arguments, after array of call ids), results(conv_id, turn, call_id, content),
-other messages(conv_id, turn, role, content). Of several calls with one identifier the first (turn, name,
-arguments) is linked, the others stay as events with status `duplicate`; results without a call are `orphan`,
-calls without a result `unanswered`. Null identifiers link with nothing; null or unreadable arguments are invalid.
-Null conversations are one of their own. Positions come from one sort of all events, so a conversation of any size
-is no task of its own. Empty tables give no rows.
+other messages(conv_id, turn, role, content); further columns are not looked at. Of several calls with one identifier the
+first (turn, name, arguments) is linked, the others stay as events with status `duplicate`; equal rows share their place
+and their status. Results without a call are `orphan`, calls without a result `unanswered`; of several results of a
+call the latest is the one that others need. Null identifiers link with nothing; null or unreadable arguments are
+invalid. Null turns come first, null conversations are one of their own. Texts are kept whole. Positions come from one
+sort of all events, so a conversation of any size is no task of its own. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ SCHEMAS: Schemas = {
 }
 
 KINDS = ("message", "call", "result")  # in this order at equal places
+FIRST_TURN = -(1 << 63)  # stands for a null turn where places are compared
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -59,10 +66,17 @@ def canonical(arguments: Column) -> Column:
     return F.to_json(F.try_parse_json(arguments))
 
 
+def _told_apart(*parts: Column) -> Column:
+    """One text of several values; nulls differ from empty texts and keep their place."""
+    return F.to_json(F.struct(*[p.cast("string").alias(f"c{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"})
+
+
 def _events(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """All events, with a node of their own, the node that links to them and the nodes that they need."""
-    c = lambda *parts: F.concat_ws("\x1f", *parts)
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    messages = messages.select("conv_id", "turn", "role", "content")
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "after")
+    results = results.select("conv_id", "turn", "call_id", "content")
+    c, conv = _told_apart, F.col("conv_id")
     first = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments")).alias("first"))
     first = first.filter("call_id is not null").select(
         F.col("conv_id").alias("fc"), F.col("call_id").alias("fi"), "first"
@@ -117,68 +131,109 @@ def _events(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas:
     return message.unionByName(call).unionByName(result)
 
 
-def _places(events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(events as written, raised places of the events that had to move; None if all stand right)."""
-    key = F.sha2(F.concat_ws("\x1f", *[F.col(x).cast("string") for x in ("conv_id", "turn", "kind", "call_id", "json")]), 256)
-    events = written(events.withColumn(OWN + "key", key), "chat-events")
-    place = F.struct(F.col("turn").alias("t"), F.lit(0).cast("long").alias("h"))
-    needs = events.select("conv_id", OWN + "key", "turn", F.explode("needs").alias("need"))
-    of_node = events.filter("node is not null").select(F.col("node").alias("need"), F.col(OWN + "key").alias("nk"), F.col("turn").alias("nt"))
-    of_node = of_node.groupBy("need").agg(F.max(F.struct("nt", "nk")).alias("n")).select("need", "n.nk", "n.nt")
-    links = written(needs.join(of_node, "need").select("conv_id", OWN + "key", "turn", "nk", "nt"), "chat-links")
-    # Links that hold as the log stands can only break when their needed event is moved.
-    sizes = written(events.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size")), "chat-sizes")
-    moved, changed = None, links.select(F.col("nk").alias("k"), F.struct(F.col("nt").alias("t"), F.lit(0).cast("long").alias("h")).alias("p")).distinct()
+def _doubled(walks: DataFrame, name: str) -> DataFrame:
+    """walks(a, b) from a to b, all of one length, as walks of twice that length."""
+    on = walks.select(F.col("a").alias("m"), F.col("b").alias("e"))
+    return written(walks.join(on, F.col("b") == F.col("m")).select("a", F.col("e").alias("b")).distinct(), name)
+
+
+def _raised(places: DataFrame, needs: DataFrame, longest: int) -> tuple[DataFrame, DataFrame | None]:
+    """(places with every event behind what it needs, None); with cycles (any places, walks of at least longest steps)."""
+    walks, step = needs, 1
     while True:
-        late = links.join(changed, F.col("nk") == F.col("k")).drop("k")
-        if moved is None:
-            late = late.withColumn("now", place)
-        else:
-            own = moved.select(F.col("k").alias("mk"), F.col("p").alias("mp"))
-            late = late.join(own, F.col(OWN + "key") == F.col("mk"), "left").withColumn("now", F.coalesce("mp", place))
-        # Equal turns are in order by kind already: a call (1) before its result (2); a call after a result needs a step.
-        late = late.withColumn("to", F.struct(F.col("p.t").alias("t"), (F.col("p.h") + 1).alias("h")))
-        late = late.filter(F.col("now") < F.col("to")).join(
-            sizes.withColumnRenamed("conv_id", "sc"), F.col("conv_id").eqNullSafe(F.col("sc"))
+        to = walks.join(places, F.col("a") == F.col("k")).groupBy("b").agg(
+            F.max(F.struct("t", (F.col("h") + step).alias("h"))).alias("to")
         )
-        late = late.filter(F.col("to.h") <= F.col("size"))
-        changed = written(
-            late.groupBy(OWN + "key").agg(F.max("to").alias("p")).withColumnRenamed(OWN + "key", "k"), "chat-moved"
+        higher = F.coalesce(F.col("to") > F.struct("t", "h"), F.lit(False))
+        places = places.join(to, F.col("k") == F.col("b"), "left").select(
+            "k",
+            F.when(higher, F.col("to.t")).otherwise(F.col("t")).alias("t"),
+            F.when(higher, F.col("to.h")).otherwise(F.col("h")).alias("h"),
+            higher.alias("up"),
         )
-        if changed.isEmpty():
-            return events, moved
-        if moved is not None:
-            moved = written(
-                moved.unionByName(changed).groupBy("k").agg(F.max("p").alias("p")), "chat-places"
+        places = written(places, "chat-places")
+        if places.filter("up").isEmpty():
+            return places, None
+        if step >= longest:
+            return places, walks
+        walks, step = _doubled(walks, "chat-walks"), 2 * step
+
+
+def _inside_cycles(needs: DataFrame, longest: int) -> DataFrame:
+    """The needs whose two events lie on a common cycle.
+
+    Every event learns the least hash that reaches it and the least that it reaches; needs between events that differ in
+    one of these lie on no cycle and are dropped, until none is. Then each group of linked events reaches all of itself.
+    """
+    while True:
+        ends = needs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        label = F.struct(F.xxhash64("k"), F.col("k"))
+        least = written(ends.select("k", label.alias("up"), label.alias("down"), F.lit(True).alias("new")), "chat-least")
+        walks, step = needs, 1
+        while not least.filter("new").isEmpty() and step < 2 * longest:
+            now = least.select("k", "up", "down")
+            up = walks.join(now, F.col("a") == F.col("k")).groupBy(F.col("b").alias("uk")).agg(F.min("up").alias("u"))
+            down = walks.join(now, F.col("b") == F.col("k")).groupBy(F.col("a").alias("dk")).agg(F.min("down").alias("d"))
+            least = now.join(up, F.col("k") == F.col("uk"), "left").join(down, F.col("k") == F.col("dk"), "left").select(
+                "k",
+                F.least("up", "u").alias("up"),
+                F.least("down", "d").alias("down"),
+                (F.coalesce(F.col("u") < F.col("up"), F.lit(False)) | F.coalesce(F.col("d") < F.col("down"), F.lit(False))).alias("new"),
             )
-        else:
-            moved = changed
+            least = written(least, "chat-least")
+            walks, step = _doubled(walks, "chat-walks"), 2 * step
+        of = lambda c: least.select(F.col("k").alias(c + "k"), F.struct("up", "down").alias(c + "l"))  # noqa: B023,E731
+        marked = needs.join(of("a"), F.col("a") == F.col("ak")).join(of("b"), F.col("b") == F.col("bk"))
+        marked = written(marked.select("a", "b", (F.col("al") == F.col("bl")).alias("same")), "chat-cycles")
+        needs = marked.filter("same").select("a", "b")
+        if marked.filter("not same").isEmpty():
+            return needs
+
+
+def _places(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events as written, (k, t, h, cyclic) of the events that have a need or are needed)."""
+    key = F.sha2(_told_apart(*[F.col(x) for x in ("conv_id", "turn", "kind", "call_id", "name", "json", "node")]), 256)
+    events = written(events.withColumn(OWN + "key", key), "chat-events")
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN))
+    needs = events.select(F.col(OWN + "key").alias("b"), F.explode("needs").alias("need")).distinct()
+    of_node = events.filter("node is not null").groupBy("node").agg(F.max(F.struct(turn, F.col(OWN + "key").alias("a"))).alias("n"))
+    needs = written(needs.join(of_node, F.col("need") == F.col("node")).select("n.a", "b").distinct(), "chat-needs")
+    linked = needs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    start = events.select(F.col(OWN + "key").alias("k"), turn.alias("t")).distinct().join(linked, "k", "left_semi")
+    start = written(start.withColumn("h", F.lit(0).cast("long")), "chat-start")
+    longest = events.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    places, walks = _raised(start, needs, longest)
+    never = F.lit(False).alias("cyclic")
+    if walks is None:
+        return events, places.select("k", "t", "h", never)
+    # A walk that long holds a cycle, so what lies on a cycle both begins such a walk and ends one.
+    core = written(walks.select(F.col("a").alias("k")).intersect(walks.select(F.col("b").alias("k"))), "chat-core")
+    inner = needs.join(core, F.col("a") == F.col("k"), "left_semi").join(core, F.col("b") == F.col("k"), "left_semi")
+    inside = written(_inside_cycles(written(inner, "chat-inner"), longest), "chat-inside")
+    places, _ = _raised(start, written(needs.join(inside, ["a", "b"], "left_anti"), "chat-needs"), longest)
+    on_cycle = inside.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
+    places = places.join(on_cycle, F.col("k") == F.col("ck"), "left")
+    return events, places.select("k", "t", "h", F.col("ck").isNotNull().alias("cyclic"))
 
 
 def linked_chat(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
     """(conv_id, position, kind, call_id, name, status, errors, json) of every event, in a valid order."""
-    events, moved = _places(_events(messages, calls, results, schemas))
-    size = F.lit(0).cast("long")
-    if moved is not None:
-        events = events.join(moved.withColumnRenamed("k", OWN + "key"), OWN + "key", "left")
-        t, h = F.coalesce("p.t", "turn"), F.coalesce(F.col("p.h"), size)
-    else:
-        t, h = F.col("turn"), size
-    events = events.withColumn(OWN + "t", t).withColumn(OWN + "h", h)
+    events, places = _places(_events(messages, calls, results, schemas))
+    events = events.join(places, F.col(OWN + "key") == F.col("k"), "left")
+    own_turn = F.coalesce(F.col("turn").cast("long"), F.lit(FIRST_TURN))
+    events = events.withColumn("t", F.coalesce("t", own_turn)).withColumn("h", F.coalesce("h", F.lit(0)))
     order = [
         F.asc_nulls_first("conv_id"),
-        F.asc_nulls_first(OWN + "t"),
-        F.asc(OWN + "h"),
+        F.asc("t"),
+        F.asc("h"),
         F.asc("kind"),
         F.asc_nulls_first("call_id"),
         F.asc(OWN + "key"),
     ]
     rows = ranked(events.drop("needs", "node"), order, "chat-order")
-    first = rows.groupBy(F.col("conv_id").alias("fc")).agg(
-        F.min(OWN + "position").alias("first"), F.count(F.lit(1)).alias("n")
-    )
+    first = rows.groupBy(F.col("conv_id").alias("fc")).agg(F.min(OWN + "position").alias("first"))
     rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("fc")))
-    cyclic = F.col(OWN + "h") >= F.col("n")
+    cyclic = F.coalesce("cyclic", F.lit(False))
     return rows.select(
         "conv_id",
         (F.col(OWN + "position") - F.col("first")).alias("position"),

@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -88,3 +89,107 @@ def test_cycles_end_and_are_marked(spark):
 
 def test_empty_log(spark):
     assert linked(spark, [], []).count() == 0
+
+
+def by_hand(calls, results):
+    """Places and cycle members of one log by plain recursion: {event: (turn, steps)}, {events on a cycle}."""
+    first = {}
+    for conv, turn, cid, name, arguments, after in calls:
+        if cid is not None:
+            first[conv, cid] = min(first.get((conv, cid), (turn, name, arguments, after)), (turn, name, arguments, after))
+    last = {}
+    for conv, turn, cid, _ in results:
+        last[conv, cid] = max(last.get((conv, cid), turn), turn)
+    turns = {("call", *k): v[0] for k, v in first.items()} | {("result", *k): t for k, t in last.items() if k in first}
+    needs = {e: [] for e in turns}
+    for (conv, cid), v in first.items():
+        needs["call", conv, cid] = [("result", conv, i) for i in v[3] or [] if ("result", conv, i) in turns]
+        if ("result", conv, cid) in turns:
+            needs["result", conv, cid] = [("call", conv, cid)]
+    reach = {}
+    for e in turns:
+        seen, todo = set(), list(needs[e])
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += needs[n]
+        reach[e] = seen
+    cyclic = {e for e in turns if e in reach[e]}
+    done = {}
+
+    def place(e):
+        if e not in done:
+            open_needs = [n for n in needs[e] if not (n in reach[e] and e in reach[n])]
+            done[e] = max([(turns[e], 0)] + [(t, h + 1) for t, h in map(place, open_needs)])
+        return done[e]
+
+    return {e: place(e) for e in turns}, cyclic
+
+
+def test_order_and_cycles_against_plain_recursion(spark):
+    rng = random.Random(7)
+    calls, results = [], []
+    for conv in range(60):
+        n = rng.randint(1, 9)
+        for i in range(n):
+            after = [str(rng.randrange(n)) for _ in range(rng.choice((0, 1, 1, 2)))]
+            if conv % 2:  # no cycles: only lower identifiers are needed
+                after = [a for a in after if int(a) < i]
+            calls.append((conv, rng.randint(0, 6), str(i), "lookup", "{}", after))
+            if rng.random() < 0.9:
+                results.append((conv, rng.randint(0, 8), str(i), "x"))
+    places, cyclic = by_hand(calls, results)
+    assert cyclic and any(e not in cyclic for e in places)
+    rows = linked(spark, calls, results).collect()
+    assert len(rows) == len(calls) + len(results)
+    assert {(r.kind, r.conv_id, r.call_id) for r in rows if r.status == "cyclic"} == cyclic
+    for conv in range(60):
+        got = [(r.kind, conv, r.call_id) for r in sorted((r for r in rows if r.conv_id == conv), key=lambda r: r.position)]
+        assert got == sorted(got, key=lambda e: (places[e], e[0] == "result", e[2]))
+
+
+def chain(conv, n, closed):
+    """n calls, each of which needs the next one's result, written in the order that is most wrong."""
+    after = lambda i: [str(i + 1)] if i + 1 < n else ["0"] if closed else []
+    calls = [(conv, i, str(i), "lookup", "{}", after(i)) for i in range(n)]
+    return calls, [(conv, 0, str(i), "r") for i in range(n)]
+
+
+def test_long_chains_and_cycles_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    doubled = tool_calls._doubled
+    monkeypatch.setattr(tool_calls, "_doubled", lambda *a: rounds.append(1) or doubled(*a))
+    calls, results = chain(1, 500, closed=False)
+    rows = linked(spark, calls, results).collect()
+    assert len(rounds) <= 11 and not [r for r in rows if r.status == "cyclic"]
+    at = {(r.kind, int(r.call_id)): r.position for r in rows}
+    assert all(at["call", i] < at["result", i] for i in range(500))
+    assert all(at["result", i + 1] < at["call", i] for i in range(499))
+
+    rounds.clear()
+    calls, results = chain(1, 500, closed=True)
+    calls.append((1, 0, "behind", "lookup", "{}", ["7"]))
+    rows = linked(spark, calls, results + [(1, 0, "behind", "r")]).collect()
+    assert len(rounds) <= 40
+    assert sorted(r.call_id for r in rows if r.status != "cyclic") == ["behind", "behind"] and len(rows) == 1002
+    at = {(r.kind, r.call_id): r.position for r in rows}
+    assert at["result", "7"] < at["call", "behind"] < at["result", "behind"]
+
+
+def test_odd_events(spark):
+    """Null turns come first, equal rows stay, nulls and empty texts are told apart, further columns do no harm."""
+    same = (1, 3, "a", "lookup", '{"query": "x"}', None)
+    calls = [same, same, (1, None, "b", "lookup", None, ["a", None]), (None, None, "", None, "", None), (None, None, None, None, "", None)]
+    results = [(1, None, "a", None), (1, None, "a", ""), (1, 4, None, "x" * 300_000), (None, 0, "", "")]
+    frames = [spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS)]
+    frames = [f.selectExpr("*", "1 as first", "2 as status", "3 as k", "4 as position", "5 as json") for f in frames]
+    rows = tool_calls.linked_chat(spark.createDataFrame([(1, None, None, None)] * 2, MESSAGES), *frames).collect()
+    one = sorted((r for r in rows if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.position for r in one] == list(range(8)) and [r.kind for r in one[:2]] == ["message", "message"]
+    assert [(r.kind, r.status) for r in one[2:4]] == [("call", "linked")] * 2  # equal rows
+    assert {r.json for r in one[4:6]} == {"{}", '{"content":""}'} and {r.call_id for r in one[4:6]} == {"a"}
+    assert (one[6].call_id, one[6].status, one[6].errors) == ("b", "unanswered", "not an object")
+    assert one[7].status == "orphan" and len(one[7].json) > 300_000
+    assert sorted((r.kind, r.call_id, r.status) for r in rows if r.conv_id is None and r.call_id is not None) == [
+        ("call", "", "linked"), ("result", "", "linked")]
