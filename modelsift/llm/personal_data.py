@@ -11,7 +11,8 @@ span is: a card that a rule lost because it stands beside another, a phone numbe
 The weights are learned in numpy on at most SAMPLE_DOCS documents, picked by a hash of the id, labelled by the base
 rules; matches that the rules drop are left out. Without any span in the sample only the base rules apply.
 
-Whole texts are read, in time linear in their length. Null and empty texts have no spans. Rows are handled one by
+Whole texts are read, in time and memory linear in their length: per token its
+features and marginals, per link one message each way; pair tables exist for BATCH_LINKS links at a time. Null and empty texts have no spans. Rows are handled one by
 one, so ties and repeated rows agree; an empty table gives no rows.
 """
 
@@ -32,6 +33,9 @@ SAMPLE_DOCS = 20_000
 MARGINAL = 0.9
 ROUNDS = 10
 DAMPING = 0.3
+BATCH_TEXTS, BATCH_CHARS = 256, 4_000_000  # texts handled at once; a longer one is a batch of its own
+BATCH_TOKENS = 50_000  # tokens of one graph; a document with more is a graph of its own
+BATCH_LINKS = 65_536  # links whose messages are computed at once
 
 # The kinds in the order of reports, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -213,7 +217,7 @@ class Graph:
 
 def graph(documents: list[list[Token]]) -> Graph:
     n = sum(map(len, documents))
-    x, label = np.zeros((n, FEATURES), np.float32), np.zeros(n, np.int64)
+    x, label = np.zeros((n, FEATURES), np.uint8), np.zeros(n, np.int64)
     links: list[tuple[int, int, int]] = []
     at, hidden = 0, 0
     for doc in documents:
@@ -288,7 +292,9 @@ def marginals(g: Graph, weights: Weights) -> np.ndarray:
     """Loopy sum-product; observed tokens keep their label."""
     k = len(KINDS) + 1
     unary = np.zeros((len(g.label) + g.hidden, k))
-    unary[: len(g.label)] = g.x @ weights.unary
+    for at in range(0, len(g.label), BATCH_LINKS):
+        rows = g.x[at : at + BATCH_LINKS]
+        unary[at : at + len(rows)] = rows.astype(np.float64) @ weights.unary
     seen = np.flatnonzero(g.label > 0)
     unary[seen] = -30
     unary[seen, g.label[seen]] = 0
@@ -298,14 +304,17 @@ def marginals(g: Graph, weights: Weights) -> np.ndarray:
         src = np.concatenate([g.links[:, 0], g.links[:, 1]])
         dst = np.concatenate([g.links[:, 1], g.links[:, 0]])
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        pair = np.where((g.links[:, 2] == 0)[:, None, None], weights.chain[None], weights.skip[None])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
+        pairs = np.stack([weights.chain, weights.skip, weights.chain.T, weights.skip.T])
+        which = np.concatenate([g.links[:, 2], g.links[:, 2] + 2])
         message = np.zeros((2 * m, k))
         for _ in range(ROUNDS):
             belief = unary.copy()
             np.add.at(belief, dst, message)
-            new = _logsum((belief[src] - message[back])[:, :, None] + pair, 1)
-            new -= _logsum(new, 1)[:, None]
+            new = np.empty_like(message)
+            for at in range(0, 2 * m, BATCH_LINKS):
+                part = slice(at, at + BATCH_LINKS)
+                out = _logsum((belief[src[part]] - message[back[part]])[:, :, None] + pairs[which[part]], 1)
+                new[part] = out - _logsum(out, 1)[:, None]
             message = DAMPING * message + (1 - DAMPING) * new
         belief = unary.copy()
         np.add.at(belief, dst, message)
@@ -352,22 +361,43 @@ def spans_of(texts: list[str], weights: Weights | None) -> list[tuple[list[Span]
     if weights is None:
         return [(b, b) for b in base]
     docs = [tokens(t, f) if MARKS.search(t) else [] for t, f in zip(texts, found, strict=True)]
-    p = marginals(graph(docs), weights)
-    out, at = [], 0
-    for text, doc, b in zip(texts, docs, base, strict=True):
-        extra = added_spans(text, doc, p[at : at + len(doc)], b) if doc else []
-        out.append((b, sorted(b + extra) if extra else b))
-        at += len(doc)
+    out = []
+    for first, last in _graphs([len(d) for d in docs]):
+        p, at = marginals(graph(docs[first:last]), weights), 0
+        for text, doc, b in zip(texts[first:last], docs[first:last], base[first:last], strict=True):
+            extra = added_spans(text, doc, p[at : at + len(doc)], b) if doc else []
+            out.append((b, sorted(b + extra) if extra else b))
+            at += len(doc)
     return out
 
 
+def _graphs(tokens_of: list[int]):
+    """(first, last + 1) of the documents of one graph. Documents share no links, so the cut changes no result."""
+    first, n = 0, 0
+    for i, more in enumerate(tokens_of):
+        if n and n + more > BATCH_TOKENS:
+            yield first, i
+            first, n = i, 0
+        n += more
+    if first < len(tokens_of):
+        yield first, len(tokens_of)
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def _batches(texts: pa.Array, size: int = 256):
-    for at in range(0, len(texts), size):
-        yield [t or "" for t in texts.slice(at, size).to_pylist()]
+def _batches(texts: pa.Array):
+    batch, chars = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        if batch and (len(batch) == BATCH_TEXTS or chars + len(text) > BATCH_CHARS):
+            yield batch
+            batch, chars = [], 0
+        batch.append(text)
+        chars += len(text)
+    if batch:
+        yield batch
 
 
 FINDINGS = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string>"
@@ -437,7 +467,7 @@ def fitted(docs: DataFrame) -> Weights | None:
     for g in rows["g"].to_pylist():
         x = np.unpackbits(np.frombuffer(g["x"], np.uint8)).reshape(-1, FEATURES) if g["x"] else np.zeros((0, FEATURES))
         links = np.array([g["a"], g["b"], g["kind"]], np.int64).T.reshape(-1, 3)
-        graphs.append(Graph(x.astype(np.float32), np.array(g["label"], np.int64), g["hidden"], links))
+        graphs.append(Graph(x, np.array(g["label"], np.int64), g["hidden"], links))
     return learned(graphs)
 
 

@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from itertools import product
+
+import numpy as np
 
 from modelsift.llm import personal_data as P
 from odd_rows import no_documents, odd_documents  # noqa: F401
@@ -88,6 +91,67 @@ def test_the_field_adds_what_rules_lose_and_keeps_the_base():
     assert b3 == s3 == []
 
 
+def exact(g, weights):
+    """Marginals by summing over all labellings."""
+    k, n = len(P.KINDS) + 1, len(g.label) + g.hidden
+    total = np.zeros((n, k))
+    unary = g.x.astype(float) @ weights.unary
+    for labels in product(range(k), repeat=n):
+        if any(v > 0 and labels[i] != v for i, v in enumerate(g.label)):
+            continue
+        z = sum(unary[i, labels[i]] for i in range(len(g.label)) if g.label[i] <= 0)
+        z += sum((weights.chain, weights.skip)[kind][labels[a], labels[b]] for a, b, kind in g.links)
+        total[list(range(n)), labels] += np.exp(z)
+    return (total / total.sum(1, keepdims=True))[: len(g.label)]
+
+
+def test_messages_are_exact_on_trees(monkeypatch):
+    monkeypatch.setattr(P, "ROUNDS", 80)
+    monkeypatch.setattr(P, "BATCH_LINKS", 3)
+    rng = np.random.default_rng(4)
+    k = len(P.KINDS) + 1
+    trees = ([(0, 1, 0), (1, 2, 0)], [(0, 4, 1), (1, 4, 1), (2, 4, 1)], [(0, 1, 0), (1, 4, 1), (3, 4, 1), (2, 3, 0)])
+    for links in trees:
+        n = 4
+        g = P.Graph(rng.integers(0, 2, (n, P.FEATURES)).astype(np.uint8), np.array([0, -1, 2, 0]), 1, np.array(links))
+        weights = P.Weights(rng.normal(size=(P.FEATURES, k)) / 4, rng.normal(size=(k, k)), np.eye(k) * 1.5)
+        assert np.allclose(P.marginals(g, weights), exact(g, weights), atol=1e-6)
+
+
+def test_a_number_of_doubtful_form_follows_its_copy_far_away():
+    """Without + the rules see no phone, and most numbers of that form are none; a copy elsewhere with + decides."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    number = lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"
+    texts = []
+    for i in range(600):
+        n = number()
+        texts.append(f"call +{digits(1)}-{n} or +{digits(1)}-{n} now" if i % 2 else f"part {number()} of {digits(3)}")
+    weights = P.learned([P.graph([P.tokens(t, P.matches(t))]) for t in texts])
+    apart = P.Weights(weights.unary, weights.chain, weights.skip * 0)
+    alone = "part 743-555-3824 and nothing else"
+    both = "call +1-743-555-3824 " + "and some more words " * 50 + "ask at 743-555-3824 or 743-555-3824"
+    added = lambda text, w: [text[s:e] for x in [P.spans_of([text], w)[0]] for _, s, e in set(x[1]) - set(x[0])]
+    assert added(alone, weights) == []
+    assert added(both, weights) == ["743-555-3824"] * 2
+    assert added(both, apart) == []
+
+
+def test_batches_and_long_numeric_texts(monkeypatch):
+    weights, card = learned_weights()
+    rng = random.Random(8)
+    texts = [f"{card} {card}", "", "call +1 (743) 555-3824 or (743) 555-3824"] + [
+        " ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    whole = P.spans_of(texts, weights)
+    monkeypatch.setattr(P, "BATCH_TOKENS", 25)
+    monkeypatch.setattr(P, "BATCH_LINKS", 7)
+    assert P.spans_of(texts, weights) == whole == [P.spans_of([t], weights)[0] for t in texts]
+    monkeypatch.undo()
+    table = "\n".join(" ".join(str(rng.randrange(10**7)) for _ in range(10)) for _ in range(10_000))
+    base, found = P.spans_of([table + f"\n{card} {card}"], weights)[0]
+    assert set(base) <= set(found) and sum(k == 2 for k, _, _ in found) >= 2
+
+
 def test_query_form_on_odd_rows(spark, odd_documents, no_documents):
     rows = {r.doc_id: r for r in P.personal_data(odd_documents, None).collect()}
     r = rows[10]
