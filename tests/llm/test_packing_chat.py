@@ -1,5 +1,7 @@
 import json
 import random
+from itertools import product
+
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -29,6 +31,57 @@ def test_packing_fills_well():
     assert sum(lengths) / total > 0.95
 
 
+def least_cost(lengths, sizes):
+    """The least total cost of all ways to share out the pieces, by trying them all."""
+    best = float("inf")
+    for where in product(range(len(lengths)), repeat=len(lengths)):
+        used = {}
+        for b, n in zip(where, lengths, strict=True):
+            used[b] = used.get(b, 0) + n
+        if max(used.values()) <= max(sizes):
+            best = min(best, sum(packing.cost(min(c for c in sizes if c >= u)) for u in used.values()))
+    return best
+
+
+def test_small_cases_against_all_packings():
+    rng = random.Random(11)
+    ratios = []
+    for _ in range(150):
+        lengths = [rng.randint(1, 4096) for _ in range(rng.randint(1, 5))]
+        bins, _, capacity = packing.packed(lengths)
+        got = sum(packing.cost(c) for c in {b: c for b, c in zip(bins, capacity, strict=True)}.values())
+        ratios.append(got / least_cost(lengths, packing.CAPACITIES))
+    assert min(ratios) >= 1 - 1e-12 and max(ratios) <= 1.5
+    assert sum(r < 1 + 1e-9 for r in ratios) >= 100 and sum(ratios) / len(ratios) <= 1.05
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 3), st.integers(0, 2)), max_size=40))
+def test_no_bin_holds_two_copies_of_a_document(pieces):
+    copies = [(d, c) if d else None for _, d, c in pieces]
+    bins, _, _ = packing.packed([n for n, _, _ in pieces], (20, 40, 100), copies)
+    held = {}
+    for b, owner in zip(bins, copies, strict=True):
+        if owner:
+            assert held.setdefault((b, owner[0]), owner[1]) == owner[1]
+
+
+def test_copies_are_numbered_and_kept_apart(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 900))) for i in range(300)]
+    rows = rows * 2 + [(5, "another text of that id"), (None, "a b"), (None, "a b"), (None, "c d e")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, copy int, text_key int")
+    placed = packing.best_fit(docs)
+    got = placed.collect()
+    assert sorted((r.doc_id, r.copy) for r in got if r.doc_id is not None) == sorted(
+        [(i, c) for i in range(300) for c in (0, 1)] + [(5, 2)])
+    in_bin = {}
+    for r in got:
+        if r.doc_id is not None:
+            assert in_bin.setdefault((r.bin, r.doc_id), r.copy) == r.copy
+    texts = packing.packed_texts(docs, placed).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in texts) == sorted(((i if i else -1), t) for i, t in rows)
+
+
 def test_packing_odd_rows(spark, odd_documents, no_documents):
     placed = packing.best_fit(odd_documents)
     rows = placed.collect()
