@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from modelsift import schemas  # noqa: E402
 from modelsift.functions.messages import is_direct_lake  # noqa: E402
 from modelsift.functions.text import upn_list  # noqa: E402
-from modelsift.operators import checks, profile, targets, triage  # noqa: E402
+from modelsift.operators import checks, contracts, profile, rules, targets, triage  # noqa: E402
 from modelsift.operators.evidence import storage_modes, with_raw_json  # noqa: E402
 from modelsift.operators.findings import ORDER_COLUMNS  # noqa: E402
 from modelsift.operators.merge import replaced, synced_grants, upserted  # noqa: E402
@@ -270,6 +270,18 @@ def _schema_contract(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _contract_check(spark: SparkSession, folder: str) -> DataFrame:
+    """All tables as they are stored against the latest version of their landed contract."""
+    contract = written(testdata.sample_contract(configure(spark)), "landed-contract")
+    return contracts.contract_check({t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLE_KEYS}, contract)
+
+
+def _landed_rule_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """The starter rules and two more, all read from a landed rule table."""
+    landed = written(rules.rule_table(configure(spark), rules.STARTER_RULES + testdata.LANDED_RULES), "landed-rules")
+    return profile.rule_violations(_column_profile(spark, folder), landed)
+
+
 def _error_triage(spark: SparkSession, folder: str) -> DataFrame:
     return triage.error_triage(SampleTables(configure(spark), folder).error_log)
 
@@ -344,6 +356,8 @@ def library_queries() -> dict[str, Query]:
         "relationship_integrity": _relationship_integrity,
         "table_relationship_integrity": _table_relationship_integrity,
         "schema_contract": _schema_contract,
+        "contract_check": _contract_check,
+        "landed_rule_evaluation": _landed_rule_evaluation,
         "error_triage": _error_triage,
     }
 

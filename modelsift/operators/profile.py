@@ -5,14 +5,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelsift.operators import rules
 from modelsift.operators.ranking import union_all
 
 SCALARS = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 FIXED_WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8}
 
-MOSTLY_NULL_SHARE = 0.9
-WIDE_TEXT_BYTES = 64
-
 
 def _as_text(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -155,59 +153,6 @@ def column_profile(tables: dict[str, DataFrame], model_id: str, approximate: boo
     )
 
 
-def rule_violations(profile: DataFrame) -> DataFrame:
-    """Rules over a column profile, as rule-violation evidence. One pass over the profile."""
-    rows, nulls, distinct = F.col("row_count"), F.col("null_count"), F.col("cardinality")
-
-    def rule(condition: Column, name: str, category: str, severity: str, description: str) -> Column:
-        return F.when(
-            condition,
-            F.struct(
-                F.lit(name).alias("Rule Name"),
-                F.lit(category).alias("Category"),
-                F.lit(severity).alias("Severity"),
-                F.lit(description).alias("Description"),
-            ),
-        )
-
-    rules = F.array(
-        rule(
-            (distinct == 1) & (nulls == 0) & (rows > 1),
-            "Constant column",
-            "Performance",
-            "Warning",
-            "Remove the column or replace it by a constant.",
-        ),
-        rule(
-            nulls >= MOSTLY_NULL_SHARE * rows,
-            "Mostly empty column",
-            "Maintenance",
-            "Info",
-            "Check whether the column is still filled.",
-        ),
-        rule(
-            (F.col("data_type") == "double") & (distinct == rows) & (rows > 1),
-            "Floating-point key",
-            "Performance",
-            "Error",
-            "Use an integer or decimal type for a column of unique values.",
-        ),
-        rule(
-            (F.col("data_type") == "string") & (F.col("dictionary_size_bytes") > WIDE_TEXT_BYTES * distinct),
-            "Wide text column",
-            "Performance",
-            "Warning",
-            "Move long texts out of the model or shorten them.",
-        ),
-    )
-    broken = F.filter(rules, lambda r: r.isNotNull())
-    return profile.select("model_id", "table_name", "column_name", F.inline(broken)).select(
-        "model_id",
-        "Rule Name",
-        F.lit("Column").alias("Object Type"),
-        F.col("table_name").alias("Table Name"),
-        F.col("column_name").alias("Object Name"),
-        "Category",
-        "Severity",
-        "Description",
-    )
+def rule_violations(profile: DataFrame, rule_rows: DataFrame | None = None) -> DataFrame:
+    """Rules over a column profile, as rule-violation evidence; the starter rules unless others are landed."""
+    return rules.violations(profile, rules.rule_table(profile.sparkSession) if rule_rows is None else rule_rows)

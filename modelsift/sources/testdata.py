@@ -16,6 +16,7 @@ from modelsift.config import STAGES, ScanConfig
 from modelsift.functions.text import stable_id
 from modelsift.operators.merge import EXPLICIT_SOURCE
 from modelsift.operators.usage import unused_objects
+from modelsift.operators import contracts, rules
 from modelsift.plans.scan import Scan
 
 GUID_PREFIX = "00000000-0000-4000-8000-"
@@ -486,6 +487,63 @@ def expected_schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(", ".join(ddl))
 
 
+# Contracts of the sample tables: the first version is what they hold, the second what their readers ask for.
+CONTRACTS = {
+    1: SAMPLE_SCHEMAS,
+    2: {
+        "region": "r_regionkey int not null, r_name string not null",
+        "nation": "n_nationkey int not null, n_name string not null, n_regionkey bigint not null",
+        "customer": "c_custkey bigint not null, c_name string not null, c_nationkey bigint not null, c_phone string, c_acctbal double",
+        "supplier": "s_suppkey bigint not null, s_name string not null, s_nationkey int not null, s_acctbal decimal(12,2)",
+        "part": "p_partkey bigint not null, p_name string, p_brand string, p_type string, p_size bigint, p_retailprice double",
+        "orders": "o_orderkey bigint not null, o_custkey bigint not null, o_orderdate date not null, o_totalprice double not null",
+        "lineitem": (
+            "l_orderkey bigint not null, l_linenumber decimal(10,0) not null, l_quantity double not null, l_shipmode string not null"
+        ),
+        "events": (
+            "event_id bigint not null, ts timestamp_ntz not null, user_id int, event_type string not null, "
+            "value double not null, props string not null"
+        ),
+        "documents": (
+            "doc_id bigint not null, text string not null, lang string not null, source string not null, n_chars bigint not null"
+        ),
+        "embeddings": "vec_id bigint not null, embedding array<double> not null, label int",
+        "pages": "page_id bigint not null, url string not null, html string not null",
+        "benchmark": "item_id bigint not null, text string not null",
+        "labels": "doc_id bigint not null, quality bigint not null, toxic int not null",
+        "conversations": "conv_id bigint not null, turn bigint not null, role string not null, text string not null",
+    },
+}
+
+
+def sample_contract(spark: SparkSession) -> DataFrame:
+    """Both versions as rows of one contract table."""
+    by_version = {v: {t: T.StructType.fromDDL(ddl) for t, ddl in tables.items()} for v, tables in CONTRACTS.items()}
+    return contracts.contract_table(spark, [r for v, tables in by_version.items() for r in contracts.contract_rows(v, tables)])
+
+
+# Two rules beside the starter ones, as a user lands them.
+LANDED_RULES = [
+    (
+        "Dictionary outweighs data",
+        "Performance",
+        "Warning",
+        "Values are long for how often they repeat.",
+        [rules.number("dictionary_size_bytes", ">", factor=2, other="data_size_bytes"), rules.number("cardinality", ">=", 10)],
+    ),
+    (
+        "Small category",
+        "Maintenance",
+        "Info",
+        "Consider a lookup table.",
+        [
+            rules.text("data_type", "=", "string"),
+            rules.number("cardinality", "<=", factor=0.01, other="row_count", constant=1),
+            rules.number("null_count", "<", 1),
+        ],
+    ),
+]
+
 _SCANS: dict[tuple, Scan] = {}
 
 

@@ -892,6 +892,26 @@ where case r.rule when 'Constant column' then cardinality = 1 and null_count = 0
  else data_type = 'string' and dictionary_size_bytes > 64 * cardinality end""",
 )
 
+oracle(
+    "landed_rule_evaluation",
+    """select model_id, r.rule as "Rule Name", 'Column' as "Object Type", table_name as "Table Name",
+ column_name as "Object Name", r.category as "Category", r.severity as "Severity", r.description as "Description"
+from profile, (values
+ ('Constant column', 'Performance', 'Warning', 'Remove the column or replace it by a constant.'),
+ ('Mostly empty column', 'Maintenance', 'Info', 'Check whether the column is still filled.'),
+ ('Floating-point key', 'Performance', 'Error', 'Use an integer or decimal type for a column of unique values.'),
+ ('Wide text column', 'Performance', 'Warning', 'Move long texts out of the model or shorten them.'),
+ ('Dictionary outweighs data', 'Performance', 'Warning', 'Values are long for how often they repeat.'),
+ ('Small category', 'Maintenance', 'Info', 'Consider a lookup table.'))
+ r(rule, category, severity, description)
+where case r.rule when 'Constant column' then cardinality = 1 and null_count = 0 and row_count > 1
+ when 'Mostly empty column' then null_count >= 0.9 * row_count
+ when 'Floating-point key' then data_type = 'double' and cardinality = row_count and row_count > 1
+ when 'Wide text column' then data_type = 'string' and dictionary_size_bytes > 64 * cardinality
+ when 'Dictionary outweighs data' then dictionary_size_bytes > 2 * data_size_bytes and cardinality >= 10
+ else data_type = 'string' and 100 * (cardinality - 1) <= row_count and null_count < 1 end""",
+)
+
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
     "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey,l_linenumber", "events": "event_id",
@@ -976,6 +996,57 @@ def _contract_sql() -> str:
 
 oracle("schema_contract", _contract_sql())
 
+# Table, then of each place: name, declared type, stored type, status, reason; a * marks required places.
+CONTRACT_VERDICTS = {
+    "region": "r_regionkey* int int OK -; r_name* string string OK -",
+    "nation": "n_nationkey* int int OK -; n_name* string string OK -; n_regionkey* bigint int WIDENED narrower",
+    "customer": "c_custkey* bigint bigint OK -; c_name* string string OK -; c_nationkey* bigint int WIDENED narrower; "
+    "c_phone string - OK absent; c_acctbal double double OK -; c_mktsegment - string OK undeclared",
+    "supplier": "s_suppkey* bigint bigint OK -; s_name* string string OK -; s_nationkey* int int OK -; "
+    "s_acctbal decimal(12,2) double BROKEN type",
+    "part": "p_partkey* bigint bigint OK -; p_name string string OK -; p_brand string string OK -; "
+    "p_type string string OK -; p_size bigint int WIDENED narrower; p_retailprice double double OK -",
+    "orders": "o_orderkey* bigint bigint OK -; o_custkey* bigint bigint OK -; o_orderstatus - string OK undeclared; "
+    "o_totalprice* double double OK -; o_orderdate* date timestamp_ntz BROKEN type; o_orderpriority - string OK undeclared",
+    "lineitem": "l_orderkey* bigint bigint OK -; l_partkey - bigint OK undeclared; l_suppkey - bigint OK undeclared; "
+    "l_linenumber* decimal(10,0) int WIDENED narrower; l_quantity* double double OK -; "
+    "l_extendedprice - double OK undeclared; l_discount - double OK undeclared; l_tax - double OK undeclared; "
+    "l_returnflag - string OK undeclared; l_linestatus - string OK undeclared; "
+    "l_shipdate - timestamp_ntz OK undeclared; l_shipmode string - BROKEN missing",
+    "events": "event_id* bigint bigint OK -; ts* timestamp_ntz timestamp_ntz OK -; user_id int bigint BROKEN type; "
+    "event_type* string string OK -; value* double double OK -; props* string string OK -",
+    "documents": "doc_id* bigint bigint OK -; text* string string OK -; lang* string string OK -; "
+    "source* string string OK -; n_chars* bigint bigint OK -",
+    "embeddings": "vec_id* bigint bigint OK -; embedding* array array OK -; "
+    "embedding.element double float WIDENED narrower; label int int OK -",
+    "pages": "page_id* bigint bigint OK -; url* string string OK -; html* string string OK -",
+    "benchmark": "item_id* bigint bigint OK -; text* string string OK -",
+    "labels": "doc_id* bigint bigint OK -; quality* bigint int WIDENED narrower; toxic* int int OK -",
+    "conversations": "conv_id* bigint bigint OK -; turn* bigint bigint OK -; role* string string OK -; text* string string OK -",
+}
+
+
+def _contract_check_sql() -> str:
+    shown = lambda x: "cast(null as varchar)" if x == "-" else lit(x)
+    parts = []
+    for table, rows in CONTRACT_VERDICTS.items():
+        for row in rows.split("; "):
+            name, declared, actual, status, reason = row.split(" ")
+            path = name.rstrip("*")
+            nulls = f"count(*) - count({path})" if name.endswith("*") else "0::bigint"
+            null_decides = f"{nulls} > 0 and '{status}' <> 'BROKEN'"
+            parts.append(
+                f"select '{table}' as table_name, 2 as contract_version, count(*) as row_count, '{path}' as column_path, "
+                f"{shown(declared)} as declared_type, {shown(actual)} as actual_type, "
+                f"case when {null_decides} then 'BROKEN' else '{status}' end as status, "
+                f"case when {null_decides} then 'nulls' else '{'' if reason == '-' else reason}' end as reason, "
+                f"{nulls} as null_values from {table}"
+            )
+    return "\nunion all\n".join(parts)
+
+
+oracle("contract_check", _contract_check_sql())
+
 oracle(
     "error_triage",
     """select error_category, is_retryable, count(*) as error_count
