@@ -27,6 +27,7 @@ from modelsift.operators.runstate import running_row  # noqa: E402
 from modelsift.plans.scan import Scan, conform  # noqa: E402
 from modelsift.session import configure, shared_folder, written  # noqa: E402
 from modelsift.sinks.current import CurrentState  # noqa: E402
+from modelsift.sinks.profiles import ProfileStore  # noqa: E402
 from modelsift.sinks.tables import Tables, TableSpec, history_spec  # noqa: E402
 from modelsift.sources import landing, testdata  # noqa: E402
 from modelsift.sources.store import KINDS, OUTCOMES, LandingStore, land_all  # noqa: E402
@@ -230,6 +231,21 @@ def _column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.column_profile({t: tables.whole(t) for t in testdata.SAMPLE_SCHEMAS}, "sample-model")
 
 
+def _stored_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table loaded in two parts, profiled part by part, beside the exact profile of the whole table."""
+    tables = SampleTables(configure(spark), folder)
+    store = ProfileStore(spark, f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}")
+    for name, keys in TABLE_KEYS.items():
+        whole = tables.whole(name)
+        late = F.pmod(F.xxhash64(*keys), F.lit(4)) == 0
+        store.add(name, "first", whole.filter(~late))
+        store.add(name, "second", whole.filter(late))
+    key = ["table_name", "column_name", "data_type"]
+    exact = _column_profile(spark, folder).select(*key, F.col("cardinality").alias("exact"))
+    near = F.abs(F.col("cardinality") - F.col("exact")) <= 0.05 * F.col("exact")
+    return store.profile("sample-model").join(exact, key, "left").select(*key, "row_count", "null_count", near.alias("cardinality_near"))
+
+
 def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
     tables = SampleTables(configure(spark), folder)
     return testdata.unused_objects(tables.model_objects, tables.usage_log, testdata.CLOCK, days=14)
@@ -350,6 +366,7 @@ def library_queries() -> dict[str, Query]:
         "published_column_storage": _published_column_storage,
         "stored_run_rows": _stored_run_rows,
         "column_profile": _column_profile,
+        "stored_profile": _stored_profile,
         "rule_evaluation": lambda spark, folder: profile.rule_violations(_column_profile(spark, folder)),
         "key_uniqueness": _key_uniqueness,
         "table_key_uniqueness": _table_key_uniqueness,

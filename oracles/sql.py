@@ -892,6 +892,11 @@ where case r.rule when 'Constant column' then cardinality = 1 and null_count = 0
  else data_type = 'string' and dictionary_size_bytes > 64 * cardinality end""",
 )
 
+oracle(
+    "stored_profile",
+    "select table_name, column_name, data_type, row_count, null_count, true as cardinality_near from profile",
+)
+
 oracle(
     "landed_rule_evaluation",
     """select model_id, r.rule as "Rule Name", 'Column' as "Object Type", table_name as "Table Name",
