@@ -74,6 +74,12 @@ def hash_sample(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.filter(F.pmod(key, F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(key, column).limit(size)
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all learnable rows, one per id."""
+    learnable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    return learnable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, label) of at most per_class learnable documents of each label, chosen by a hash of the id.
 

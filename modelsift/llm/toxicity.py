@@ -1,22 +1,30 @@
 """Toxicity: a convolutional text classifier over hashed words, with thresholds calibrated by language.
 
-Words are runs of letters in lower case, known by a 64-bit hash. Words of the training sample that occur in
+Words are runs of letters in lower case, known by a 64-bit hash. Words of the training texts that occur in
 enough different contexts have a learned vector, found by the hash's bucket and confirmed by the whole hash; all others have
 the zero vector. Filters of several widths slide over the vectors, each keeps its maximum over the whole text, and
 a logistic layer gives the probability. Vectors, filters and layer are trained in numpy by stochastic gradient
 descent; the first component of a vector starts at the word's log-odds between the classes.
 
+All labelled texts that may be learned from are used. Spark deals them by their id into blocks (see block_count), and a
+task packs a block: numbered words, and of each word its contexts by class. The vocabulary is the sum over all
+blocks. Every block trains from the same start; of each word's vector the mean over the blocks that have the word is
+taken, of all other parameters the mean over all blocks. Up to one block of texts this is plain gradient descent.
+
 The language is guessed from the text alone, by which language's function words are most frequent in it. Each
-language has the threshold that separates its training texts best; scores are stretched so that it is 0.5.
+language has the threshold that separates all its training texts best, counted on a grid of GRID steps; scores are
+stretched so that it is 0.5.
 
-The sample holds at most 2 * PER_CLASS labelled texts, picked by a hash of the id among the learnable rows. Null and
-empty texts score as a text without known words. Rows are scored one by one, so ties and repeated rows agree; an
-empty table gives no rows. Without labels of both classes every score is 0.
+Null and empty texts score as a text without known words. Rows are scored one by one, so ties and repeated rows
+agree; sums over blocks are exact, so reruns agree. An empty table gives no rows. Without labelled texts of both
+classes every score is 0.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +32,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelsift.llm import hashing
-from modelsift.llm.common import held_out, labelled_sample, table
+from modelsift.llm.common import held_out, labelled, table
+from modelsift.session import written
 
 BUCKETS = 1 << 17
 DIMS = 6
 WIDTHS = (1, 2, 3)
 FILTERS = 4  # of each width
-PER_CLASS = 2_000
+BLOCK_TEXTS = 4_000  # labelled texts that are trained on together, about
+BLOCK_BYTES = 32 << 20  # most text that is dealt to one task, about
 MIN_CONTEXTS = 6
 SMOOTHING = 2.0
 EPOCHS = 6
 RATE = 0.1
 CLEAN_COST = 3.0  # of a clean text rejected, against a toxic one kept
 REJECT_AT = 0.5
+GRID = 1 << 14  # steps of a probability when thresholds are sought
+FIXED = float(1 << 40)  # parameters are summed as whole multiples of 1 / FIXED
+
+BLOCK = (
+    "c0 bigint, c1 bigint, words array<bigint>, n0 array<bigint>, n1 array<bigint>, "
+    "labels array<int>, bounds array<bigint>, ids array<int>"
+)
 
 # Function words of each language at hand.
 FUNCTION_WORDS = {
@@ -100,29 +117,86 @@ def _contexts(words: np.ndarray) -> np.ndarray:
     return hashing.sequence_hashes(padded, 3, np.array([0, len(padded)]))[0]
 
 
-def _vocabulary(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each bucket, its row, log-odds by row) of the words in at least MIN_CONTEXTS contexts.
+def _context_counts(texts: list[np.ndarray], labels: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By class, in how many distinct contexts each of the sorted words stands.
 
     Words are counted by distinct contexts, so the copies of one text do not make its words telling.
     """
     counts = []
     for label in (0, 1):
         own = [t for t, y in zip(texts, labels, strict=True) if y == label]
-        words, contexts = np.concatenate(own), np.concatenate([_contexts(t) for t in own])
-        counts.append(words[np.unique(contexts, return_index=True)[1]])
-    words, inverse = np.unique(np.concatenate(counts), return_inverse=True)
-    n0 = np.bincount(inverse[: len(counts[0])], minlength=len(words))
-    n1 = np.bincount(inverse[len(counts[0]) :], minlength=len(words))
-    often = n0 + n1 >= MIN_CONTEXTS
-    words, n0, n1 = words[often], n0[often], n1[often]
-    ratio = len(counts[1]) / max(len(counts[0]), 1)
-    odds = np.log((n1 + SMOOTHING * ratio) / (n0 + SMOOTHING)) - np.log(max(ratio, 1e-9))
-    order = np.lexsort((words, np.abs(odds)))  # of words in one bucket, the more telling stays
+        if not own:
+            counts.append(np.zeros(len(words), np.int64))
+            continue
+        found, contexts = np.concatenate(own), np.concatenate([_contexts(t) for t in own])
+        first = found[np.unique(contexts, return_index=True)[1]]
+        counts.append(np.bincount(np.searchsorted(words, first), minlength=len(words)))
+    return counts[0], counts[1]
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a partition's texts: their labels, words as numbers into the sorted hashes, contexts by class."""
+    texts, ids, ties, labels = [], [], [], []
+    for batch in batches:
+        for chunk in hashing.chunks(batch.column("text")):
+            words, bounds = text_words(chunk)
+            texts += [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids.append(batch.column("doc_id").to_numpy())
+        ties.append(batch.column("tie").to_numpy())
+        labels.append(batch.column("label").to_numpy())
+    if not texts:
+        return
+    order = np.lexsort((np.concatenate(ties), np.concatenate(ids)))
+    y = np.concatenate(labels)[order]
+    texts = [texts[i] for i in order]
+    words, numbers = np.unique(np.concatenate(texts), return_inverse=True)
+    n0, n1 = _context_counts(texts, y, words)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row = {
+        "c0": pa.array([(y == 0).sum()], pa.int64()),
+        "c1": pa.array([(y == 1).sum()], pa.int64()),
+        "words": _list(words.view(np.int64), pa.int64()),
+        "n0": _list(n0, pa.int64()),
+        "n1": _list(n1, pa.int64()),
+        "labels": _list(y, pa.int32()),
+        "bounds": _list(bounds, pa.int64()),
+        "ids": _list(numbers, pa.int32()),
+    }
+    yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
+
+def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hashes, bounds of the texts, labels) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, ids, bounds, labels = (
+                batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "ids", "bounds", "labels")
+            )
+            yield words.view(np.uint64)[ids], bounds, labels
+
+
+def vocabulary(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each bucket, its row, log-odds by row) of the words in at least MIN_CONTEXTS contexts of all blocks."""
+    total = blocks.agg(*[F.sum(F.aggregate(n, F.lit(0).cast("bigint"), lambda a, b: a + b)).alias(n) for n in ("n0", "n1")])
+    t0, t1 = total.first()
+    ratio = t1 / max(t0, 1)
+    of_block = blocks.select(F.inline(F.arrays_zip("words", "n0", "n1")))
+    counts = of_block.groupBy("words").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    odds = F.log((F.col("n1") + SMOOTHING * ratio) / (F.col("n0") + SMOOTHING)) - float(np.log(max(ratio, 1e-9)))
+    often = counts.filter(F.col("n0") + F.col("n1") >= MIN_CONTEXTS).select("words", odds.alias("odds"))
+    bucket = F.pmod("words", F.lit(BUCKETS))
+    # Of words in one bucket, the more telling stays.
+    kept = often.groupBy(bucket.alias("bucket")).agg(F.max(F.struct(F.abs("odds").alias("a"), "words", "odds")).alias("w"))
+    rows = kept.select("bucket", "w.words", "w.odds").toArrow().sort_by("bucket")
     known, place = np.zeros(BUCKETS, np.uint64), np.zeros(BUCKETS, np.int32)
-    bucket = (words[order] % np.uint64(BUCKETS)).astype(np.int64)
-    known[bucket] = words[order]
-    place[bucket] = order + 1
-    return known, place, np.concatenate([[0.0], odds])
+    at = rows["bucket"].to_numpy()
+    known[at] = rows["words"].to_numpy().view(np.uint64)
+    place[at] = np.arange(len(at)) + 1
+    return known, place, np.concatenate([[0.0], rows["odds"].to_numpy()])
 
 
 def _rows_of(words: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -150,11 +224,8 @@ def _unique_windows(texts: list[np.ndarray], known: np.ndarray, place: np.ndarra
     return found
 
 
-def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model | None:
-    """texts: word hashes of each text."""
-    if len(np.unique(labels)) < 2:
-        return None
-    known, place, odds = _vocabulary(texts, labels)
+def started(known: np.ndarray, place: np.ndarray, odds: np.ndarray, seed: int = 5) -> Model:
+    """The model that every block trains on from."""
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (len(odds), DIMS))
     vectors[:, 0] = odds / 4
@@ -164,9 +235,17 @@ def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model
         filters[w][:, 0, :] += 1 / w
     offsets = {w: np.full(FILTERS, -0.1) for w in WIDTHS}
     layer, bias = rng.normal(0.5, 0.1, len(WIDTHS) * FILTERS), -1.0
+    hashes, of = _language_table()
+    return Model(known, place, vectors, filters, offsets, layer, bias, np.full(len(LANGUAGES), 0.5), hashes, of)
+
+
+def trained(model: Model, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """The model after gradient descent over texts (word hashes of each) from there; weight: of a text by its class."""
+    rng = np.random.default_rng(seed)
+    vectors, layer, bias = model.vectors.copy(), model.layer.copy(), model.bias
+    filters, offsets = ({w: v.copy() for w, v in of.items()} for of in (model.filters, model.offsets))
     # Windows without a known word give the filter's offset whatever their place: one of them is enough.
-    windows = _unique_windows(texts, known, place)
-    weight = len(labels) / (2 * np.bincount(labels, minlength=2))
+    windows = _unique_windows(texts, model.known, model.place)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(texts)):
@@ -196,32 +275,95 @@ def trained(texts: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Model
                 offsets[w] -= rate * 0.1 * b
                 np.add.at(vectors, best[k], -rate * dx)
                 vectors[0] = 0
-    hashes, of = _language_table()
-    model = Model(known, place, vectors, filters, offsets, layer, bias, np.full(len(LANGUAGES), 0.5), hashes, of)
-    return _calibrated(model, texts, labels)
+    return replace(model, vectors=vectors, filters=filters, offsets=offsets, layer=layer, bias=float(bias))
 
 
-def _calibrated(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Threshold by language: the middle of the widest best cut between its training texts."""
-    p = np.array([_probabilities(model, t, np.array([0, len(t)]))[0] for t in texts])
-    language = np.array(
-        [languages(t, np.array([0, len(t)]), model.language_hashes, model.language_of)[0] for t in texts]
+def _parameters(model: Model) -> np.ndarray:
+    """All parameters but the vectors, as rows of DIMS numbers."""
+    flat = [*[model.filters[w].ravel() for w in WIDTHS], *[model.offsets[w] for w in WIDTHS], model.layer, [model.bias]]
+    numbers = np.concatenate(flat)
+    return np.concatenate([numbers, np.zeros(-len(numbers) % DIMS)]).reshape(-1, DIMS)
+
+
+def _with_parameters(model: Model, rows: np.ndarray) -> Model:
+    numbers, at = rows.ravel(), 0
+    filters, offsets = {}, {}
+    for w in WIDTHS:
+        n = w * DIMS * FILTERS
+        filters[w], at = numbers[at : at + n].reshape(w, DIMS, FILTERS), at + n
+    for w in WIDTHS:
+        offsets[w], at = numbers[at : at + FILTERS], at + FILTERS
+    n = len(WIDTHS) * FILTERS
+    return replace(model, filters=filters, offsets=offsets, layer=numbers[at : at + n], bias=float(numbers[at + n]))
+
+
+def block_trainer(model: Model, weight: np.ndarray):
+    """Rows (id, v0, v1, ...) of each block: the vectors of its words, and under ids below 0 all other parameters."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, bounds, labels in _unpacked(batches):
+            texts = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            after = trained(model, texts, labels, weight)
+            own = np.unique(_rows_of(words, model.known, model.place))
+            own, others = own[own > 0], _parameters(after)
+            ids = np.concatenate([own, -1 - np.arange(len(others))])
+            values = np.rint(np.concatenate([after.vectors[own], others]) * FIXED).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int32()), *[pa.array(values[:, d]) for d in range(DIMS)]],
+                names=["id", *[f"v{d}" for d in range(DIMS)]],
+            )
+
+    return train
+
+
+def trained_on(blocks: DataFrame, model: Model, weight: np.ndarray) -> Model:
+    """The mean of what the blocks have learned, each from model."""
+    names = [f"v{d}" for d in range(DIMS)]
+    learned = blocks.select("words", "ids", "bounds", "labels").mapInArrow(
+        block_trainer(model, weight), "id int, " + ", ".join(f"{c} bigint" for c in names)
     )
-    everywhere = _cut(p, labels)
+    sums = learned.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names])
+    rows = sums.toArrow().sort_by("id")
+    ids = rows["id"].to_numpy()
+    means = np.stack([rows[c].to_numpy() for c in names], axis=1) / (FIXED * rows["n"].to_numpy()[:, None])
+    vectors = model.vectors.copy()
+    vectors[ids[ids > 0]] = means[ids > 0]
+    return _with_parameters(replace(model, vectors=vectors), means[ids < 0][::-1])
+
+
+def calibrated(blocks: DataFrame, model: Model) -> Model:
+    """Threshold by language: the middle of the widest best cut between its training texts."""
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, bounds, labels in _unpacked(batches):
+            p = np.rint(_probabilities(model, words, bounds) * GRID).astype(np.int64)
+            language = languages(words, bounds, model.language_hashes, model.language_of)
+            found, n = np.unique(np.stack([language, p, labels]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*found, n)], names=["language", "p", "label", "n"])
+
+    every = blocks.select("words", "ids", "bounds", "labels").mapInArrow(points, "language bigint, p bigint, label bigint, n bigint")
+    rows = every.groupBy("language", "p", "label").agg(F.sum("n").alias("n")).toArrow()
+    language, p, label, n = (rows[c].to_numpy() for c in ("language", "p", "label", "n"))
+
+    def counts(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.bincount(p[own & (label == v)], n[own & (label == v)], GRID + 1) for v in (0, 1))
+
+    thresholds = np.empty(len(LANGUAGES))
     for k in range(len(LANGUAGES)):
-        own = language == k
-        enough = own.sum() >= 40 and len(np.unique(labels[own])) == 2
-        model.thresholds[k] = _cut(p[own], labels[own]) if enough else everywhere
-    return model
+        clean, toxic = counts(language == k)
+        enough = clean.sum() + toxic.sum() >= 40 and clean.any() and toxic.any()
+        thresholds[k] = _cut(clean, toxic) if enough else _cut(*counts(language >= 0))
+    return replace(model, thresholds=thresholds)
 
 
-def _cut(p: np.ndarray, labels: np.ndarray) -> float:
-    order = np.argsort(p)
-    p, y = p[order], labels[order]
+def _cut(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """From the number of texts at each step of the grid."""
+    at = np.flatnonzero(clean + toxic)
+    p, clean, toxic = at / GRID, clean[at], toxic[at]
     cuts = np.concatenate([[0.0], (p[1:] + p[:-1]) / 2, [1.0]])
-    clean_above = (y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])
-    toxic_below = np.concatenate([[0], np.cumsum(y == 1)])
-    errors = CLEAN_COST * clean_above / max((y == 0).sum(), 1) + toxic_below / max((y == 1).sum(), 1)
+    clean_above = clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    toxic_below = np.concatenate([[0], np.cumsum(toxic)])
+    errors = CLEAN_COST * clean_above / max(clean.sum(), 1) + toxic_below / max(toxic.sum(), 1)
     gaps = np.diff(np.concatenate([[0.0], p, [1.0]]))
     best = np.lexsort((-gaps, np.round(errors, 9)))[0]
     return float(np.clip(cuts[best], 0.02, 0.98))
@@ -273,29 +415,30 @@ def scorer(model: Model | None):
     return scores
 
 
-def hashed_words(texts: pa.Array) -> pa.Array:
-    out = []
-    for chunk in hashing.chunks(texts):
-        words, bounds = text_words(chunk)
-        out.extend(words[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-    return pa.array(out, pa.list_(pa.int64()))
+def block_count(documents: DataFrame, n_labels: int) -> int:
+    """So many that a block has about BLOCK_TEXTS labelled texts, and a task about BLOCK_BYTES of text at most."""
+    n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, ceil(n_labels / BLOCK_TEXTS), ceil(n_bytes / BLOCK_BYTES))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model | None:
-    sample = labelled_sample(documents, labels, "toxic", PER_CLASS)
-    hashed = F.arrow_udf(hashed_words, "array<bigint>")
-    rows = sample.select("doc_id", "label", hashed("text").alias("words")).toArrow()
-    # Views of the rows as they came, put in order: neither sorted nor joined copies of all words are made.
-    texts = []
-    for chunk in rows["words"].chunks:
-        words, bounds = chunk.values.to_numpy().view(np.uint64), chunk.offsets.to_numpy()
-        texts += [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    labelled = rows["label"].to_numpy().astype(np.int64)[order]
-    model = trained([texts[i] for i in order], labelled) if texts else None
-    del texts, rows
-    pa.default_memory_pool().release_unused()
-    return model
+    """The model learned from every learnable labelled text; what reaches the driver is as large as the model."""
+    learnable = labelled(labels, "toxic")
+    n_labels = learnable.count()
+    if not n_labels:
+        return None
+    n = block_count(documents, n_labels)
+    texts = documents.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie")
+    )
+    dealt = texts.repartition(n, "doc_id").join(learnable.repartition(n, "doc_id"), "doc_id")
+    blocks = written(dealt.mapInArrow(packed, BLOCK), "toxicity-blocks")
+    classes = blocks.agg(F.sum("c0"), F.sum("c1")).first()
+    if not all(classes):
+        return None
+    weight = sum(classes) / (2 * np.array(classes))
+    model = trained_on(blocks, started(*vocabulary(blocks)), weight)
+    return calibrated(blocks, model)
 
 
 def toxicity_scores(documents: DataFrame, model: Model | None) -> DataFrame:
