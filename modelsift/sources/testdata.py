@@ -18,6 +18,7 @@ from modelsift.operators.merge import EXPLICIT_SOURCE
 from modelsift.operators.usage import unused_objects
 from modelsift.operators import contracts, rules
 from modelsift.plans.scan import Scan
+from modelsift.session import written
 
 GUID_PREFIX = "00000000-0000-4000-8000-"
 SCANNER_GUID = GUID_PREFIX + "000000009001"
@@ -94,11 +95,12 @@ class SampleTables:
         """A table whose rows are used one by one, split by key when it has fewer files than cores.
 
         A small file is a single row group, which one task would read and process to the end. A large
-        table comes in many files and is read as it lies.
+        table comes in many files and is read as it lies. AQE chooses the number of parts by their size: a fixed
+        number would let each grow with the table.
         """
         df = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+        return df.repartition(F.col(key)) if len(df.inputFiles()) < cores else df
 
     @cached_property
     def inventory(self) -> DataFrame:
@@ -148,14 +150,27 @@ class SampleTables:
             F.col("workspace_name").alias("capacity_name"),
         )
 
+    @cached_property
+    def rule_lines(self) -> DataFrame:
+        """The lines with the nation of their customer, written once for all that is made of the rule violations.
+
+        Orders meet their customers first, so that lines are shuffled once, by order.
+        """
+        ordered = (
+            self.table("orders")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .select("o_orderkey", "c_nationkey")
+        )
+        lines = self.spread("lineitem", "l_orderkey").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"
+        )
+        return written(lines.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"), "rule-lines")
+
     @cached_property
     def rule_violations(self) -> DataFrame:
         line, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
         return (
-            self.spread("lineitem", "l_orderkey")
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .select(
+            self.rule_lines.select(
                 (F.col("l_orderkey") * 10 + line).alias("source_ordinal"),
                 model_guid("c_nationkey").alias("model_id"),
                 F.concat(F.lit("Rule "), line.cast("string")).alias("Rule Name"),
@@ -178,31 +193,49 @@ class SampleTables:
 
     @cached_property
     def column_groups(self) -> DataFrame:
-        """One row per model column: a supplier is a table, a part number modulo 50 a column."""
-        return (
-            self.spread("lineitem", "l_suppkey")
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("s_nationkey", "l_suppkey", (F.col("l_partkey") % 50).alias("slot"))
-            .agg(
-                F.count_distinct("l_orderkey").alias("orders"),
-                F.sum("l_quantity").cast("bigint").alias("quantity"),
-                F.sum("l_linenumber").alias("lines"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            .select(
-                model_guid("s_nationkey").alias("model_id"),
-                F.concat(F.lit("table_"), F.col("l_suppkey").cast("string")).alias("Table Name"),
-                "slot",
-                "orders",
-                "quantity",
-                "lines",
-                "n",
-                (
-                    F.col("n")
-                    * 9437184
-                    * F.when(F.col("slot") == 7, F.col("l_suppkey") % 3 * 40 + 1).otherwise(F.lit(1))
-                ).alias("Total Size"),
-            )
+        """One row per model column: a supplier is a table, a part number modulo 50 a column.
+
+        Written once for all storage evidence and the model's objects. The lines of a column are brought together by
+        one shuffle, in which its orders are counted, too; suppliers are joined to the columns.
+        """
+        lines = (
+            self.table("lineitem")
+            .filter(F.col("l_suppkey").isNotNull())
+            .select("l_suppkey", (F.col("l_partkey") % 50).alias("slot"), "l_orderkey", "l_quantity", "l_linenumber")
+            .repartition("l_suppkey", "slot")
+        )
+        columns = lines.groupBy("l_suppkey", "slot").agg(
+            F.count_distinct("l_orderkey").alias("orders"),
+            F.sum("l_quantity").alias("quantity"),
+            F.sum("l_linenumber").alias("lines"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        # A supplier that is listed several times has its lines as often.
+        suppliers = self.table("supplier").groupBy("s_suppkey", "s_nationkey").agg(F.count(F.lit(1)).alias("times"))
+        times = F.col("times")
+        found = columns.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
+            "s_nationkey",
+            "l_suppkey",
+            "slot",
+            "orders",
+            (F.col("quantity") * times).cast("bigint").alias("quantity"),
+            (F.col("lines") * times).alias("lines"),
+            (F.col("n") * times).alias("n"),
+        )
+        return written(found, "column-groups").select(
+            "s_nationkey",
+            model_guid("s_nationkey").alias("model_id"),
+            F.concat(F.lit("table_"), F.col("l_suppkey").cast("string")).alias("Table Name"),
+            "slot",
+            "orders",
+            "quantity",
+            "lines",
+            "n",
+            (
+                F.col("n")
+                * 9437184
+                * F.when(F.col("slot") == 7, F.col("l_suppkey") % 3 * 40 + 1).otherwise(F.lit(1))
+            ).alias("Total Size"),
         )
 
     @cached_property
@@ -279,7 +312,13 @@ class SampleTables:
 
     @cached_property
     def object_usage(self) -> DataFrame:
-        used = unused_objects(self.model_objects, self.usage_log, CLOCK, days=14)
+        objects = self.column_groups.select(
+            "model_id",
+            F.col("Table Name").alias("table_name"),
+            F.lit("Column").alias("object_type"),
+            F.concat(F.lit("object_"), F.col("slot").cast("string")).alias("object_name"),
+        )
+        used = unused_objects(objects, self.usage_log, CLOCK, days=14)
         return used.select(
             "model_id",
             F.col("table_name").alias("Table Name"),
@@ -445,6 +484,14 @@ class QuietTables(SampleTables):
     def stage_errors(self) -> DataFrame:
         return SampleTables(self.spark, self.folder).stage_errors.filter(F.lit(False))
 
+    @cached_property
+    def rule_lines(self) -> DataFrame:
+        return sample_scan(self.spark, self.folder).landed.landed.rule_lines
+
+    @cached_property
+    def column_groups(self) -> DataFrame:
+        return sample_scan(self.spark, self.folder).landed.landed.column_groups
+
 
 def outcomes_of(inventory: DataFrame, errors: DataFrame) -> DataFrame:
     """(model_id, stage, status, message) of every model and stage, as collectors with these errors land them."""
