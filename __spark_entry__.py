@@ -19,7 +19,7 @@ from modelsift.functions.text import upn_list  # noqa: E402
 from modelsift.operators import checks, contracts, profile, rules, targets, triage  # noqa: E402
 from modelsift.operators.evidence import storage_modes, with_raw_json  # noqa: E402
 from modelsift.operators.findings import ORDER_COLUMNS  # noqa: E402
-from modelsift.operators.merge import replaced, synced_grants, upserted  # noqa: E402
+from modelsift.operators.merge import replaced, synced_grants, upserted_in_scan  # noqa: E402
 from modelsift.operators.ranking import first_per_key, union_all  # noqa: E402
 from modelsift.plans import reports  # noqa: E402
 from modelsift.plans.measures import ScanState, measures  # noqa: E402
@@ -130,15 +130,15 @@ def _dim_model_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _upsert_finding_history(spark: SparkSession, folder: str) -> DataFrame:
     """History holds the scan before and an earlier attempt of this one; this scan's rows replace the latter."""
-    names = schemas.technical_schema("finding").names
-    new = sample_scan(configure(spark), folder).rule_findings.select(names)
-    attempt = new.filter(F.col("rule_name").isin("Rule 1", "Rule 2")).withColumn("scanner_version", F.lit("1.9.0"))
-    keys = schemas.TECHNICAL_KEYS["finding"]
-    held = prior_scan(spark, folder).rule_findings.select(names).unionByName(attempt)
-    # Read twice by the upsert, so written once, as the table writer does.
-    return upserted(held, written(new, "new-findings"), keys).select(
+    shown = [
         "finding_id", "scan_id", "model_id", "rule_name", "severity", "object_type", "scanner_version", "detected_at"
-    )
+    ]
+    scan = sample_scan(configure(spark), folder)
+    # Read three times, so written once, as the table writer does; of it and of the history only what is shown.
+    new = written(scan.rule_findings.select(shown), "new-findings")
+    attempt = new.filter(F.col("rule_name").isin("Rule 1", "Rule 2")).withColumn("scanner_version", F.lit("1.9.0"))
+    held = prior_scan(spark, folder).rule_findings.select(shown).unionByName(attempt)
+    return upserted_in_scan(held, new, schemas.TECHNICAL_KEYS["finding"], scan.config.scan_id)
 
 
 def _replace_current_state(spark: SparkSession, folder: str) -> DataFrame:

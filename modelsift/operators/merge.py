@@ -17,6 +17,15 @@ def upserted(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
 
 
+def upserted_in_scan(target: DataFrame, source: DataFrame, keys: list[str], scan_id: str) -> DataFrame:
+    """upserted for history whose keys never leave their scan: rows of other scans stay, without a join.
+
+    Keys of findings are made with the scan's id, so no row of another scan has a key of the source.
+    """
+    own = F.col("scan_id").eqNullSafe(F.lit(scan_id))
+    return target.filter(~own).unionByName(upserted(target.filter(own), source, keys))
+
+
 def replaced(target: DataFrame, source: DataFrame, processed: DataFrame, column: str) -> DataFrame:
     """Slices of the processed ids are replaced, also by nothing; all other rows stay."""
     return target.join(processed.select(column), column, "left_anti").unionByName(source)

@@ -1,8 +1,10 @@
-"""Evidence that many tables are made of is shuffled once."""
+"""Evidence that many tables are made of is shuffled once; upserts into history leave other scans alone."""
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from conftest import SMALL
+from modelsift.operators.merge import upserted, upserted_in_scan
 from modelsift.sources.testdata import SampleTables, prior_scan, sample_scan
 
 
@@ -51,3 +53,17 @@ def test_columns_of_repeated_and_missing_suppliers(spark, tmp_path):
     columns = ["Table Name", "slot", "orders", "quantity", "lines", "n"]
     got, want = odd.column_groups.select(columns), expected.select(columns)
     assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_other_scans_are_not_joined(spark):
+    held = spark.createDataFrame([("a", "s0", 1), ("b", "s1", 1), ("c", "s1", 1), ("d", None, 1)], "k string, scan_id string, v int")
+    new = spark.createDataFrame([("b", "s1", 2), ("e", "s1", 2), ("e", "s1", 3)], "k string, scan_id string, v int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(upserted_in_scan(held, new, ["k"], "s1")) == rows(upserted(held, new, ["k"]))
+
+
+def test_upsert_does_not_shuffle_earlier_history(spark):
+    plan = entry.library_queries()["upsert_finding_history"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("LeftAnti") :]
+    assert "rule-lines" not in joined and "lineitem" not in plan
+    assert "evidence_json" not in plan
