@@ -31,7 +31,7 @@ from modelsift.sinks.profiles import ProfileStore  # noqa: E402
 from modelsift.sinks.tables import Tables, TableSpec, history_spec  # noqa: E402
 from modelsift.sources import landing, testdata  # noqa: E402
 from modelsift.sources.store import KINDS, OUTCOMES, LandingStore, land_all  # noqa: E402
-from modelsift.sources.testdata import SampleTables, prior_scan, sample_scan  # noqa: E402
+from modelsift.sources.testdata import SampleTables, holding_scan, prior_scan, sample_scan  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,10 @@ def _dim_model_latest(spark: SparkSession, folder: str) -> DataFrame:
     return first_per_key(history, ["model_id"], [F.desc("last_scanned_at"), F.desc("latest_scan_id")])
 
 
+def _opportunity_navigation(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.opportunity_navigation(ScanState(holding_scan(configure(spark), folder)))
+
+
 # ---- table updates -------------------------------------------------------------------------------
 
 
@@ -133,7 +137,7 @@ def _upsert_finding_history(spark: SparkSession, folder: str) -> DataFrame:
     shown = [
         "finding_id", "scan_id", "model_id", "rule_name", "severity", "object_type", "scanner_version", "detected_at"
     ]
-    scan = sample_scan(configure(spark), folder)
+    scan = holding_scan(configure(spark), folder)
     # Read three times, so written once, as the table writer does; of it and of the history only what is shown.
     new = written(scan.rule_findings.select(shown), "new-findings")
     attempt = new.filter(F.col("rule_name").isin("Rule 1", "Rule 2")).withColumn("scanner_version", F.lit("1.9.0"))
@@ -170,7 +174,8 @@ def _landed_scans(spark: SparkSession, folder: str) -> tuple[Scan, Scan]:
     store = LandingStore(spark, f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}")
     evidence = [k for k in KINDS if k not in ("stage_errors", OUTCOMES)]
     scans = []
-    for scan in (prior_scan(spark, folder), sample_scan(spark, folder)):
+    current = holding_scan(spark, folder)
+    for scan in (prior_scan(spark, folder), current):
         tables, scan_id = scan.landed.landed, scan.config.scan_id
         land_all(store, tables, scan_id, evidence)
         outcomes = testdata.outcomes_of(tables.inventory, tables.stage_errors)
@@ -252,7 +257,7 @@ def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    state = ScanState(sample_scan(configure(spark), folder))
+    state = ScanState(holding_scan(configure(spark), folder))
     return union_all([checks.key_uniqueness(t, state[t], keys) for t, keys in schemas.CURATED_KEYS.items()])
 
 
@@ -262,7 +267,7 @@ def _table_key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _relationship_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    state = ScanState(sample_scan(configure(spark), folder))
+    state = ScanState(holding_scan(configure(spark), folder))
     return union_all([checks.relationship_integrity(state, *r) for r in schemas.RELATIONSHIPS])
 
 
@@ -358,7 +363,7 @@ def library_queries() -> dict[str, Query]:
         "measures_sliced": _of_scan(lambda s: measures(ScanState(s), SLICERS)),
         **{f"report_{name}": _report(name) for name in reports.REPORTS},
         "report_top_columns_displayed": _of_scan(lambda s: reports.displayed(reports.largest_columns(ScanState(s)))),
-        "opportunity_navigation": _of_scan(lambda s: reports.opportunity_navigation(ScanState(s))),
+        "opportunity_navigation": _opportunity_navigation,
         "upsert_finding_history": _upsert_finding_history,
         "replace_current_state": _replace_current_state,
         "access_grants_sync": _access_grants_sync,

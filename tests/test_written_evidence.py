@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SMALL
 from modelsift.operators.merge import upserted, upserted_in_scan
+from modelsift.sources import testdata
 from modelsift.sources.testdata import SampleTables, prior_scan, sample_scan
 
 
@@ -14,10 +15,22 @@ def plan_of(df):
 
 def test_lines_are_read_once_for_all_evidence(spark):
     tables = SampleTables(spark, SMALL)
+    assert plan_of(tables.rule_violations).count("lineitem.parquet") == 1
+    tables.hold_lines()
     for name in ("rule_violations", "storage_columns", "storage_tables", "model_size", "object_usage"):
         assert "lineitem.parquet" not in plan_of(getattr(tables, name)), name
     prior = prior_scan(spark, SMALL).landed.landed
-    assert prior.rule_lines is sample_scan(spark, SMALL).landed.landed.rule_lines
+    assert prior.column_groups is sample_scan(spark, SMALL).landed.landed.column_groups
+
+
+def test_tasks_do_not_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(testdata, "LINES_PER_TASK", 100)
+    parts = []
+    monkeypatch.setattr(testdata, "written", lambda df, name: parts.append(plan_of(df)) or df)
+    tables = SampleTables(spark, SMALL)
+    tables.column_groups.count()
+    wanted = -(-tables.table("lineitem").count() // 100)
+    assert f", {wanted}), REPARTITION_BY_NUM" in parts[0]
 
 
 def test_large_tables_are_not_cut_into_as_many_parts_as_cores(spark):
