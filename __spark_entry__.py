@@ -126,7 +126,7 @@ def _dim_model_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _opportunity_navigation(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.opportunity_navigation(ScanState(holding_scan(configure(spark), folder)))
+    return reports.opportunity_navigation(ScanState(holding_scan(configure(spark), folder, "object_usage")))
 
 
 # ---- table updates -------------------------------------------------------------------------------

@@ -1,10 +1,13 @@
-"""Top-k, latest-row and position operators that stay balanced when one group is huge; unions."""
+"""Top-k, latest-row, position and repeated-key operators that stay balanced when one group is huge; unions."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from modelsift.session import written
+
 POSITION_RANGE = 1_000_000
+BROADCAST_HASHES = 1_000_000
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -52,3 +55,34 @@ def position_in_group(
         .withColumn(name, F.col("_before") + F.col("_at"))
         .drop("_range", "_before", "_at")
     )
+
+
+def key_hashes(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame]:
+    """How many rows have a hash of their key to themselves, and the hashes (key_hash) that several rows share.
+
+    Only hashes are shuffled. A row alone with its hash is alone with its key; whether rows that share a hash share
+    the key is seen from the keys themselves.
+    """
+    rows = df.select(F.xxhash64(*keys).alias("key_hash")).groupBy("key_hash").agg(F.count(F.lit(1)).alias("n"))
+    shared = F.when(F.col("n") > 1, F.col("key_hash"))
+    found = written(rows.groupBy(shared.alias("key_hash")).agg(F.count(F.lit(1)).alias("n")), "key-hashes")
+    alone = found.filter(F.col("key_hash").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return alone, found.filter(F.col("key_hash").isNotNull()).select("key_hash")
+
+
+def by_key_hash(df: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(rows that are alone with their key, the other rows, number of the former); None for a part that is not needed.
+
+    For keys as wide as ids, most of which occur once: only rows of repeated hashes are left to be grouped by key. Where
+    these hashes are too many to broadcast, all rows are.
+    """
+    alone, hashes = key_hashes(df, keys)
+    repeated = hashes.count()
+    if repeated == 0:
+        return df, None, alone
+    if repeated > BROADCAST_HASHES:
+        return None, df, 0
+    hashed, hashes = df.withColumn("key_hash", F.xxhash64(*keys)), F.broadcast(hashes)
+    # Not as semi and anti joins: Spark moves these below the key's own computation and computes the key twice.
+    others = hashed.join(hashes.withColumn("_shared", F.lit(True)), "key_hash", "left").filter(F.col("_shared").isNull())
+    return others.drop("key_hash", "_shared"), hashed.join(hashes, "key_hash").drop("key_hash"), alone

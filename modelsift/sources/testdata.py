@@ -153,7 +153,7 @@ class SampleTables:
 
     @cached_property
     def rule_lines(self) -> DataFrame:
-        """The lines with the nation of their customer. Orders meet customers first: lines are shuffled once, by order."""
+        """The lines with their customer's model. Orders meet customers first: lines are shuffled once, by order."""
         ordered = (
             self.table("orders")
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -162,7 +162,8 @@ class SampleTables:
         lines = self.spread("lineitem", "l_orderkey").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"
         )
-        return lines.join(ordered, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+        joined = lines.join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+        return joined.withColumn("model_id", model_guid("c_nationkey")).drop("o_orderkey", "c_nationkey")
 
     def hold_lines(self) -> None:
         """Write the rule lines, for a query that reads them several times; before it plans anything of them."""
@@ -170,13 +171,18 @@ class SampleTables:
             self.__dict__.update(rule_lines=written(self.rule_lines, "rule-lines"), lines_held=True)
             self.__dict__.pop("rule_violations", None)
 
+    def hold(self, name: str) -> None:
+        """Write a kind of evidence, for a query that reads it several times; before it plans anything of it."""
+        if f"{name}_held" not in self.__dict__:
+            self.__dict__.update({name: written(getattr(self, name), name.replace("_", "-")), f"{name}_held": True})
+
     @cached_property
     def rule_violations(self) -> DataFrame:
         line, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
         return (
             self.rule_lines.select(
                 (F.col("l_orderkey") * 10 + line).alias("source_ordinal"),
-                model_guid("c_nationkey").alias("model_id"),
+                "model_id",
                 F.concat(F.lit("Rule "), line.cast("string")).alias("Rule Name"),
                 F.when(F.col("l_returnflag") == "A", "Performance")
                 .when(F.col("l_returnflag") == "R", "Formatting")
@@ -499,6 +505,10 @@ class QuietTables(SampleTables):
     def column_groups(self) -> DataFrame:
         return sample_scan(self.spark, self.folder).landed.landed.column_groups
 
+    @cached_property
+    def object_usage(self) -> DataFrame:
+        return sample_scan(self.spark, self.folder).landed.landed.object_usage
+
 
 def outcomes_of(inventory: DataFrame, errors: DataFrame) -> DataFrame:
     """(model_id, stage, status, message) of every model and stage, as collectors with these errors land them."""
@@ -609,11 +619,13 @@ def sample_scan(spark: SparkSession, folder: str, **changes) -> Scan:
     return _SCANS[key]
 
 
-def holding_scan(spark: SparkSession, folder: str) -> Scan:
-    """sample_scan for a query that reads the findings or their evidence several times."""
+def holding_scan(spark: SparkSession, folder: str, *kinds: str) -> Scan:
+    """sample_scan for a query that reads the findings or their evidence several times; kinds are written, too."""
     scan = sample_scan(spark, folder)
     if "findings" not in scan.pinned:
         scan.landed.landed.hold_lines()
+        for kind in kinds:
+            scan.landed.landed.hold(kind)
     return scan
 
 
