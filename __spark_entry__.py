@@ -30,7 +30,7 @@ from modelsift.sinks.current import CurrentState  # noqa: E402
 from modelsift.sinks.profiles import ProfileStore  # noqa: E402
 from modelsift.sinks.tables import Tables, TableSpec, history_spec  # noqa: E402
 from modelsift.sources import landing, testdata  # noqa: E402
-from modelsift.sources.store import KINDS, OUTCOMES, LandingStore, land_all  # noqa: E402
+from modelsift.sources.store import KINDS, OUTCOMES, LandingStore, land_scans  # noqa: E402
 from modelsift.sources.testdata import SampleTables, holding_scan, prior_scan, sample_scan  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,10 +174,12 @@ def _landed_scans(spark: SparkSession, folder: str) -> tuple[Scan, Scan]:
     store = LandingStore(spark, f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}")
     evidence = [k for k in KINDS if k not in ("stage_errors", OUTCOMES)]
     scans = []
-    current = holding_scan(spark, folder)
-    for scan in (prior_scan(spark, folder), current):
+    # What both scans' collectors found is computed once; each scan lands all of it.
+    current = holding_scan(spark, folder, "refresh_history", "object_usage")
+    both = (prior_scan(spark, folder), current)
+    land_scans(store, {scan.config.scan_id: scan.landed.landed for scan in both}, evidence)
+    for scan in both:
         tables, scan_id = scan.landed.landed, scan.config.scan_id
-        land_all(store, tables, scan_id, evidence)
         outcomes = testdata.outcomes_of(tables.inventory, tables.stage_errors)
         if not scans:
             store.land_outcomes(outcomes, scan_id)

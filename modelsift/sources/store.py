@@ -101,6 +101,11 @@ class LandingStore:
 
 def land_all(store: LandingStore, landed, scan_id: str, kinds: Iterable[str] = KINDS) -> None:
     """Copy the frames of another landing into a scan's folders, some at a time."""
-    frames = {kind: getattr(landed, kind, None) for kind in kinds}
+    land_scans(store, {scan_id: landed}, kinds)
+
+
+def land_scans(store: LandingStore, scans: dict, kinds: Iterable[str] = KINDS) -> None:
+    """land_all of several scans (scan id -> landing); no scan waits for the last write of another."""
+    frames = [(kind, getattr(landed, kind, None), scan_id) for kind in kinds for scan_id, landed in scans.items()]
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
-        list(pool.map(lambda kind: store.land(kind, frames[kind], scan_id), [k for k, f in frames.items() if f is not None]))
+        list(pool.map(lambda frame: store.land(*frame), [f for f in frames if f[1] is not None]))

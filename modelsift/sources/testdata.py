@@ -169,7 +169,8 @@ class SampleTables:
         """Write the rule lines, for a query that reads them several times; before it plans anything of them."""
         if "lines_held" not in self.__dict__:
             self.__dict__.update(rule_lines=written(self.rule_lines, "rule-lines"), lines_held=True)
-            self.__dict__.pop("rule_violations", None)
+            for name in ("rule_violations", "refresh_history"):
+                self.__dict__.pop(name, None)
 
     def hold(self, name: str) -> None:
         """Write a kind of evidence, for a query that reads it several times; before it plans anything of it."""
@@ -343,7 +344,9 @@ class SampleTables:
 
     @cached_property
     def refresh_history(self) -> DataFrame:
-        last_line = self.table("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended"))
+        # Written rule lines lie by order, so their tasks send one row per order; they have the lines of all orders shown.
+        lines = self.rule_lines if "lines_held" in self.__dict__ else self.table("lineitem")
+        last_line = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended"))
         return (
             self.table("orders")
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -509,6 +512,10 @@ class QuietTables(SampleTables):
     def object_usage(self) -> DataFrame:
         return sample_scan(self.spark, self.folder).landed.landed.object_usage
 
+    @cached_property
+    def refresh_history(self) -> DataFrame:
+        return sample_scan(self.spark, self.folder).landed.landed.refresh_history
+
 
 def outcomes_of(inventory: DataFrame, errors: DataFrame) -> DataFrame:
     """(model_id, stage, status, message) of every model and stage, as collectors with these errors land them."""
