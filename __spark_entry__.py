@@ -259,8 +259,10 @@ def _unused_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
-    state = ScanState(holding_scan(configure(spark), folder))
-    return union_all([checks.key_uniqueness(t, state[t], keys) for t, keys in schemas.CURATED_KEYS.items()])
+    state = ScanState(holding_scan(configure(spark), folder, "object_usage"))
+    # These have a row per piece of evidence, the others one per model or rollup.
+    wide = ("findings", "column_storage")
+    return union_all([checks.key_uniqueness(t, state[t], keys, t in wide) for t, keys in schemas.CURATED_KEYS.items()])
 
 
 def _table_key_uniqueness(spark: SparkSession, folder: str) -> DataFrame:

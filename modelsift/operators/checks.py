@@ -4,14 +4,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelsift.operators.ranking import by_key_hash
 
-def key_uniqueness(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row on how often the declared key repeats. Counts per key are combined before the shuffle."""
+
+def key_uniqueness(name: str, df: DataFrame, keys: list[str], wide: bool = False) -> DataFrame:
+    """One row on how often the declared key repeats. Counts per key are combined before the shuffle.
+
+    wide is for keys such as ids, of which only hashes are shuffled; the keys themselves only where hashes repeat.
+    """
+    alone = 0
+    if wide:
+        unique, df, alone = by_key_hash(df, keys)
+        df = unique.filter(F.lit(False)) if df is None else df
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     repeated = F.col("n") > 1
     return per_key.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-        F.count(F.lit(1)).alias("distinct_keys"),
+        (F.coalesce(F.sum("n"), F.lit(0)) + F.lit(alone)).alias("row_count"),
+        (F.count(F.lit(1)) + F.lit(alone)).alias("distinct_keys"),
         F.count_if(repeated).alias("duplicate_keys"),
         F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("surplus_rows"),
     ).select(F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"), "*")
