@@ -41,6 +41,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 4  # of each width
 BLOCK_TEXTS = 4_000  # labelled texts that are trained on together, about
 BLOCK_BYTES = 32 << 20  # most text that is dealt to one task, about
+PIECE_WORDS = 1 << 16  # of a block's texts that are scored at once
 MIN_CONTEXTS = 6
 SMOOTHING = 2.0
 EPOCHS = 6
@@ -169,14 +170,24 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word hashes, bounds of the texts, labels) of each block."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes of the distinct words, the texts as numbers into them, bounds of the texts, labels) of each block."""
     for batch in batches:
         for i in range(batch.num_rows):
             words, ids, bounds, labels = (
                 batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("words", "ids", "bounds", "labels")
             )
-            yield words.view(np.uint64)[ids], bounds, labels
+            yield words.view(np.uint64), ids, bounds, labels
+
+
+def _pieces(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with at most PIECE_WORDS words together; a longer text is a run of its own."""
+    start, end = 0, len(bounds) - 1
+    while start < end:
+        stop = int(np.searchsorted(bounds, bounds[start] + PIECE_WORDS, "right")) - 1
+        stop = max(start + 1, stop)
+        yield start, stop
+        start = stop
 
 
 def vocabulary(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,14 +221,14 @@ def _windows(ids: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, width)
 
 
-def _unique_windows(texts: list[np.ndarray], known: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _unique_windows(texts: list[np.ndarray], row_of: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each width the distinct windows of all texts in one array, and each text's bounds in it."""
     found = []
     for w in WIDTHS:
         rows = np.empty((sum(max(len(t) - w + 1, 1) for t in texts), w), np.int32)
         bounds = np.zeros(len(texts) + 1, np.int64)
-        for i, words in enumerate(texts):
-            own = np.unique(_windows(_rows_of(words, known, place), w), axis=0)
+        for i, ids in enumerate(texts):
+            own = np.unique(_windows(row_of[ids], w), axis=0)
             bounds[i + 1] = bounds[i] + len(own)
             rows[bounds[i] : bounds[i + 1]] = own
         found.append((rows, bounds))
@@ -239,13 +250,15 @@ def started(known: np.ndarray, place: np.ndarray, odds: np.ndarray, seed: int =
     return Model(known, place, vectors, filters, offsets, layer, bias, np.full(len(LANGUAGES), 0.5), hashes, of)
 
 
-def trained(model: Model, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
-    """The model after gradient descent over texts (word hashes of each) from there; weight: of a text by its class."""
+def trained(
+    model: Model, texts: list[np.ndarray], row_of: np.ndarray, labels: np.ndarray, weight: np.ndarray, seed: int = 7
+) -> Model:
+    """The model after gradient descent from there over texts (numbers into row_of); weight: of a text by its class."""
     rng = np.random.default_rng(seed)
     vectors, layer, bias = model.vectors.copy(), model.layer.copy(), model.bias
     filters, offsets = ({w: v.copy() for w, v in of.items()} for of in (model.filters, model.offsets))
     # Windows without a known word give the filter's offset whatever their place: one of them is enough.
-    windows = _unique_windows(texts, model.known, model.place)
+    windows = _unique_windows(texts, row_of)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(len(texts)):
@@ -301,10 +314,11 @@ def block_trainer(model: Model, weight: np.ndarray):
     """Rows (id, v0, v1, ...) of each block: the vectors of its words, and under ids below 0 all other parameters."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, bounds, labels in _unpacked(batches):
-            texts = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            after = trained(model, texts, labels, weight)
-            own = np.unique(_rows_of(words, model.known, model.place))
+        for words, ids, bounds, labels in _unpacked(batches):
+            texts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            row_of = _rows_of(words, model.known, model.place)
+            after = trained(model, texts, row_of, labels, weight)
+            own = np.unique(row_of)
             own, others = own[own > 0], _parameters(after)
             ids = np.concatenate([own, -1 - np.arange(len(others))])
             values = np.rint(np.concatenate([after.vectors[own], others]) * FIXED).astype(np.int64)
@@ -331,17 +345,30 @@ def trained_on(blocks: DataFrame, model: Model, weight: np.ndarray) -> Model:
     return _with_parameters(replace(model, vectors=vectors), means[ids < 0][::-1])
 
 
-def calibrated(blocks: DataFrame, model: Model) -> Model:
-    """Threshold by language: the middle of the widest best cut between its training texts."""
+def block_points(model: Model):
+    """Rows (language, p, label, n): the texts of each block, counted by guessed language, step of the grid and label.
+
+    A block is scored piece by piece, as the arrays of a score take many times the space of its words.
+    """
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, bounds, labels in _unpacked(batches):
-            p = np.rint(_probabilities(model, words, bounds) * GRID).astype(np.int64)
-            language = languages(words, bounds, model.language_hashes, model.language_of)
+        for words, ids, bounds, labels in _unpacked(batches):
+            p, language = np.empty(len(labels), np.int64), np.empty(len(labels), np.int64)
+            for a, b in _pieces(bounds):
+                own, within = words[ids[bounds[a] : bounds[b]]], bounds[a : b + 1] - bounds[a]
+                p[a:b] = np.rint(_probabilities(model, own, within) * GRID)
+                language[a:b] = languages(own, within, model.language_hashes, model.language_of)
             found, n = np.unique(np.stack([language, p, labels]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*found, n)], names=["language", "p", "label", "n"])
 
-    every = blocks.select("words", "ids", "bounds", "labels").mapInArrow(points, "language bigint, p bigint, label bigint, n bigint")
+    return points
+
+
+def calibrated(blocks: DataFrame, model: Model) -> Model:
+    """Threshold by language: the middle of the widest best cut between its training texts."""
+    every = blocks.select("words", "ids", "bounds", "labels").mapInArrow(
+        block_points(model), "language bigint, p bigint, label bigint, n bigint"
+    )
     rows = every.groupBy("language", "p", "label").agg(F.sum("n").alias("n")).toArrow()
     language, p, label, n = (rows[c].to_numpy() for c in ("language", "p", "label", "n"))
 
