@@ -8,9 +8,11 @@ phrases are counted by the same tiles, level by level: (pair, word), (triple, wo
 
 A phrase that occurs MIN_COUNT times consists of parts that do, so each level looks at frequent parts only. Their
 codes are broadcast up to a bound in rows and bytes, the most frequent first. Parts beyond it (in tables whose
-frequent words or phrases are more) are not dropped: each task gives them codes of its own and sends their counts with
-the text instead of the id. The result is the same; more is shuffled. No group of rows is brought to one task: counts
-are summed in the tasks before they are shuffled by phrase.
+frequent words or phrases are more) are not dropped: a bit for the hash of each is broadcast, and what has such a bit
+gets a code of the block of text at hand. Counts of phrases around it are sent block by block, under the codes of
+all their words, or with the text where a word has none. A bit set by another phrase only means that more is counted. The
+result is the same; more is shuffled, and a task holds no more. No group of rows is brought to one task: counts are
+summed in the tasks before they are shuffled by phrase.
 
 Only ASCII letters are lower-cased. Null texts are empty, null languages 'und' (as one with that name). Rows that repeat
 count again, and ids do not matter. Very long texts are read whole. Ties are ordered by phrase. Columns besides lang and
@@ -20,16 +22,19 @@ below 10 ** 15.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelsift.llm.common import OWN, prepare, ranked, table
+from modelsift.llm.hashing import mixed, sequence_hashes
 from modelsift.session import written
 
 MIN_COUNT = 10
@@ -45,6 +50,9 @@ BLOCK_BYTES = 2 << 20  # text counted at a time
 HELD_PAIRS = 1 << 20  # distinct sparse pairs or words that a task holds before it sends them
 CODE_ROWS = 1 << 20  # bounds of what is broadcast
 CODE_BYTES = 32 << 20
+BITS_EACH = 16  # of the marks of a phrase without a code, while they are no more than MARK_BYTES
+MARK_BYTES = 32 << 20
+MARK_ROW = 1 << 15  # bits that Spark's bitmap_construct_agg puts into a row
 OUTPUT_ROWS = 1 << 16
 
 # A mark between pieces, which no word is as letters are lower-cased; what ends pieces.
@@ -108,42 +116,74 @@ def word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- codes -------------------------------------------------------------------------------------
 
 
+NONE = -1
+FIRST = 1 << 30  # codes from here up are given by a task, for one block of text
+LOW = (1 << 32) - 1
+
+
+@dataclass
+class Words:
+    """Codes of the words of a language: the words in the order of their crc32. Arrays only, so a million of them are some 30 MB."""
+
+    hashes: np.ndarray
+    words: pa.Array
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, codes: np.ndarray) -> Words:
+        hashes = crc(words)
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], words.take(pa.array(order)), codes[order].astype(np.int32))
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The code of each word, or NONE."""
+        codes = np.full(len(words), NONE, np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        left = np.arange(len(words))
+        while True:  # once more for each word of the same crc32
+            near = at[left] < len(self.hashes)
+            left = left[near]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            if not len(left):
+                return codes
+            same = pc.equal(self.words.take(pa.array(at[left])), words.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            codes[left[same]] = self.codes[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+
+
+def crc(words: pa.Array) -> np.ndarray:
+    found = np.empty(len(words), np.uint32)
+    for at in range(0, len(words), OUTPUT_ROWS):
+        part = words.slice(at, OUTPUT_ROWS).to_pylist()
+        found[at : at + len(part)] = np.fromiter(map(zlib.crc32, part), np.uint32, len(part))
+    return found
+
+
+def word_hashes(lang: str | None, crcs: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of a language, from which sequence_hashes makes those of phrases."""
+    return mixed(crcs.astype(np.uint64) | np.uint64(zlib.crc32((lang or "").encode()) << 32))
+
+
 @dataclass
 class Level:
     """Codes of the frequent phrases of one length, as broadcast.
 
-    words: lang -> word -> code (first level). keys and codes: sorted left code << 32 | right code of the broadcast phrases,
-    and their codes (further levels). whole: every frequent phrase has one.
+    words: by language (first level). keys and codes: sorted left code << 32 | right code of the broadcast phrases,
+    and their codes (further levels). marks: bits for the hashes of the frequent phrases without a code; None if all have
+    one.
     """
 
-    whole: bool
-    words: dict[str, dict[bytes, int]] | None = None
+    words: dict[str, Words] | None = None
     keys: np.ndarray | None = None
     codes: np.ndarray | None = None
+    marks: np.ndarray | None = None
 
-
-NONE = -1
-
-
-class Local:
-    """Codes that a task gives to what has none, from FIRST up, until they are sent."""
-
-    FIRST = 1 << 30
-
-    def __init__(self):
-        self.code: dict = {}
-        self.text: list[tuple[str, str]] = []
-
-    def get(self, key, text: Callable[[], tuple[str, str]]) -> int:
-        code = self.code.get(key)
-        if code is None:
-            code = self.code[key] = self.FIRST + len(self.text)
-            self.text.append(text())
-        return code
-
-    def clear(self) -> None:
-        self.code.clear()
-        self.text.clear()
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be those of frequent phrases without a code; those of such phrases always are."""
+        place = hashes & np.uint64(len(self.marks) * 8 - 1)
+        bits = self.marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)
+        return (bits & 1).astype(bool)
 
 
 class Tiles:
@@ -156,7 +196,7 @@ class Tiles:
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
         """Count pairs; codes are at least 0 and below 2 ** 31."""
-        across = 2 * Local.FIRST // TILE
+        across = 2 * FIRST // TILE
         place, at, n = np.unique(left // TILE * across + right // TILE, return_inverse=True, return_counts=True)
         sparse = np.ones(len(left), bool)
         for k in np.flatnonzero(n >= DENSE_AT):
@@ -198,121 +238,135 @@ def runs_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def word_codes(level: Level, lang: str, words: list[bytes], local: Local) -> np.ndarray:
-    """The code of each word; NONE for marks and for words that are not frequent."""
-    known = level.words.get(lang, {})
-    if level.whole:
-        return np.fromiter((known.get(w, NONE) for w in words), np.int64, len(words))
-    codes = np.empty(len(words), np.int64)
-    for i, w in enumerate(words):
-        code = known.get(w, NONE)
-        if code == NONE and w != BETWEEN:
-            code = local.get((lang, w), lambda w=w: (lang, w.decode()))
-        codes[i] = code
-    return codes
+def word_codes(level: Level, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+    """The code of each word, NONE for marks and for words that are not frequent; the hash of each if some have no code."""
+    found = pa.array(words, pa.binary()).dictionary_encode()
+    at, distinct = found.indices.to_numpy(), found.dictionary
+    crcs = crc(distinct)
+    codes = level.words[lang].find(distinct, crcs) if lang in level.words else np.full(len(distinct), NONE, np.int64)
+    hashes = word_hashes(lang, crcs)
+    if level.marks is not None:
+        own = (codes == NONE) & level.marked(phrase_hashes(hashes, 1))
+        own &= pc.not_equal(distinct, pa.scalar(BETWEEN, pa.binary())).to_numpy(zero_copy_only=False)
+        codes[own] = FIRST + np.arange(own.sum())
+    return codes[at], hashes[at]
+
+
+def phrase_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Of the phrases of so many words that begin at each place, from the hashes of the words."""
+    return sequence_hashes(words, length, np.array([0, len(words)]))[0]
 
 
-def phrase_codes(level: Level, lang: str, words: list[bytes], parts: np.ndarray, last: np.ndarray, length: int, local: Local) -> np.ndarray:
+def phrase_codes(level: Level, parts: np.ndarray, last: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The code of the phrase that begins at each place and has length words, from the codes of its parts.
 
-    parts[i]: of the phrase one word shorter that begins at i; last[i]: of the word at i.
+    parts[i]: of the phrase one word shorter that begins at i; last[i]: of the word at i. Also the left << 32 | right codes
+    of the phrases with codes from FIRST up, in order.
     """
-    n = max(len(words) - length + 1, 0)
+    n = max(len(last) - length + 1, 0)
     left, right = parts[:n], last[length - 1 : length - 1 + n]
     codes = np.full(n, NONE, np.int64)
-    there = (left != NONE) & (right != NONE)
-    if not there.any():
-        return codes
+    there = np.flatnonzero((left != NONE) & (right != NONE))
     keys = left[there] << 32 | right[there]
     if len(level.keys):
         at = np.minimum(np.searchsorted(level.keys, keys), len(level.keys) - 1)
         codes[there] = np.where(level.keys[at] == keys, level.codes[at], NONE)
-    if not level.whole:
-        for i in np.flatnonzero(there & (codes == NONE)):
-            text = lambda i=i: (lang, b" ".join(words[i : i + length]).decode())
-            codes[i] = local.get((int(left[i]), int(right[i])), text)
-    return codes
+    if level.marks is None:
+        return codes, keys[:0]
+    rest = codes[there] == NONE
+    rest[rest] = level.marked(phrase_hashes(hashes, length)[there[rest]])
+    own, at = np.unique(keys[rest], return_inverse=True)
+    codes[there[rest]] = FIRST + at
+    return codes, own
 
 
 def phrase_counter(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(left, right, lang, phrase, n) of the phrases one word longer than the levels broadcast.
 
-    left and right are the codes of all words but the last and of the last; lang and phrase are null then. Phrases with
-    a local code in them have lang and phrase instead.
+    left and right are the codes of all words but the last and of the last; lang and phrase are null then. Of three words
+    whose first two have codes but no code as a pair, left is pair_key of those. Phrases with a word that has no code, and
+    longer ones with a part that has none, have lang and phrase instead.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels: list[Level] = shared.value
         tiles = Tiles()
-        # Codes of words and of phrases, by level; a local code of a phrase is only ever a left one.
-        locals_ = [Local() for _ in levels]
 
         def sent() -> Iterator[pa.RecordBatch]:
             keys, counts = tiles.taken()
-            left, right = keys >> 32, keys & 0xFFFFFFFF
-            own = (left >= Local.FIRST) | (right >= Local.FIRST)
             for at in range(0, len(keys), OUTPUT_ROWS):
                 part = slice(at, at + OUTPUT_ROWS)
-                yield counted_rows(left[part], right[part], own[part], counts[part])
-            for local in locals_:
-                local.clear()
-
-        def counted_rows(left, right, own, counts) -> pa.RecordBatch:
-            texts = [None] * len(left)
-            langs = [None] * len(left)
-            for i in np.flatnonzero(own):
-                langs[i], texts[i] = own_text(int(left[i]), int(right[i]))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(left, pa.int64(), mask=own),
-                    pa.array(right, pa.int64(), mask=own),
-                    pa.array(langs, pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array(counts, pa.int64()),
-                ],
-                ["left", "right", "lang", "phrase", "n"],
-            )
-
-        def own_text(left: int, right: int) -> tuple[str, str]:
-            lang, head = known_text(len(levels) - 1, left)
-            return lang, head + " " + known_text(0, right)[1]
-
-        named: list[dict[int, tuple[str, str]]] = [{} for _ in levels]
-
-        def known_text(level: int, code: int) -> tuple[str, str]:
-            """Language and text of a code, local or broadcast."""
-            if code >= Local.FIRST:
-                return locals_[level].text[code - Local.FIRST]
-            if not named[level]:
-                if level == 0:
-                    named[0].update((c, (lang, w.decode())) for lang, of in levels[0].words.items() for w, c in of.items())
-                else:
-                    for key, c in zip(levels[level].keys.tolist(), levels[level].codes.tolist(), strict=True):
-                        lang, head = known_text(level - 1, key >> 32)
-                        named[level][c] = (lang, head + " " + known_text(0, key & 0xFFFFFFFF)[1])
-            return named[level][code]
+                yield counted_rows(keys[part] >> 32, keys[part] & LOW, counts[part])
 
         for lang, words in blocks(batches):
-            last = word_codes(levels[0], lang, words, locals_[0])
-            parts = last
+            last, hashes = word_codes(levels[0], lang, words)
+            parts, pairs = last, last[:0]
             for length, level in enumerate(levels[1:], 2):
-                shorter = parts
-                parts = phrase_codes(level, lang, words, shorter, last, length, locals_[length - 1])
-            n = len(words) - len(levels)
-            if n > 0:
-                left, right = parts[:n], last[len(levels) : len(levels) + n]
-                there = (left != NONE) & (right != NONE)
-                if len(levels) > 1:
-                    # The end of the phrase must be frequent as well.
-                    there &= parts[1 : n + 1] != NONE
-                tiles.add(left[there], right[there])
-            if len(tiles.keys) >= HELD_PAIRS or any(len(x.text) >= HELD_PAIRS for x in locals_):
+                parts, pairs = phrase_codes(level, parts, last, hashes, length)
+            n = max(len(words) - len(levels), 0)
+            left, right = parts[:n], last[len(levels) : len(levels) + n]
+            there = (left != NONE) & (right != NONE)
+            if len(levels) > 1:
+                # The end of the phrase must be frequent as well.
+                there &= parts[1 : n + 1] != NONE
+            own = there & ((left >= FIRST) | (right >= FIRST))
+            there &= ~own
+            tiles.add(left[there], right[there])
+            if own.any():
+                yield from own_rows(lang, words, len(levels) + 1, pairs, left, right, own)
+            if len(tiles.keys) >= HELD_PAIRS:
                 yield from sent()
         yield from sent()
 
     return count
 
 
+def own_rows(
+    lang: str, words: list[bytes], length: int, pairs: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """The counts of a block's phrases (those at the places own) that have codes of the block."""
+    keys, first, counts = np.unique(left[own] << 32 | right[own], return_index=True, return_counts=True)
+    first = np.flatnonzero(own)[first]
+    if length == 3:
+        by_pair = (keys >> 32 >= FIRST) & (keys & LOW < FIRST)
+        pair = pairs[(keys >> 32)[by_pair] - FIRST]
+        plain = (pair >> 32 < FIRST) & (pair & LOW < FIRST)
+        by_pair[by_pair] = plain
+        pair = pair_key(pair[plain] >> 32, pair[plain] & LOW)
+        for at in range(0, len(pair), OUTPUT_ROWS):
+            part = slice(at, at + OUTPUT_ROWS)
+            yield counted_rows(pair[part], (keys & LOW)[by_pair][part], counts[by_pair][part])
+        first, counts = first[~by_pair], counts[~by_pair]
+    for at in range(0, len(first), OUTPUT_ROWS):
+        phrases = [b" ".join(words[i : i + length]) for i in first[at : at + OUTPUT_ROWS].tolist()]
+        yield counted_rows(None, None, counts[at : at + OUTPUT_ROWS], lang, phrases)
+
+
+def pair_key(left, right):
+    """A number below 0 for the codes of two words, to and from which first_of and second_of go."""
+    return -1 - (left << 30 | right)
+
+
+def first_of(key: str) -> Column:
+    return F.shiftright(-1 - F.col(key), 30)
+
+
+def second_of(key: str) -> Column:
+    return (-1 - F.col(key)).bitwiseAND(FIRST - 1)
+
+
+def counted_rows(left, right, counts: np.ndarray, lang: str | None = None, phrases: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(counts)
+    columns = [
+        pa.nulls(n, pa.int64()) if left is None else pa.array(left, pa.int64()),
+        pa.nulls(n, pa.int64()) if right is None else pa.array(right, pa.int64()),
+        pa.nulls(n, pa.string()) if phrases is None else pa.array([lang] * n, pa.string()),
+        pa.nulls(n, pa.string()) if phrases is None else pa.array(phrases, pa.binary()).cast(pa.string()),
+        pa.array(counts, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["left", "right", "lang", "phrase", "n"])
+
+
 # ---- tables ------------------------------------------------------------------------------------
 
 
@@ -323,7 +377,7 @@ def coded(counts: DataFrame, name: str, columns: list[str], rows: int, size: int
     all_ = ranked(rows_, order, name, OWN + "bytes").withColumnRenamed(OWN + "position", "code")
     fits = (F.col("code") < rows) & (F.col(OWN + "before") + F.col(OWN + "bytes") <= size)
     if "left" in columns:
-        fits &= F.col("left").isNotNull()
+        fits &= F.coalesce(F.col("left") >= 0, F.lit(False))
     all_ = written(all_.withColumn(OWN + "fits", fits), name + "-codes")
     return all_.drop(OWN + "bytes", OWN + "before"), all_.filter(OWN + "fits").select(*columns, "code")
 
@@ -345,19 +399,26 @@ def phrase_counts(
     frequent = words.filter(F.col("n") >= min_count)
     full, table_ = coded(frequent, "phrases-1", ["lang", "phrase"], rows, size)
     result, levels = [full.select("lang", "phrase", "n")], []
-    code_words = full.filter(OWN + "fits").select(F.col("code").alias("right"), F.col("phrase").alias(OWN + "last"))
+    # (code, lang, phrase) of the words that have codes.
+    known = full.filter(OWN + "fits").select("code", "lang", "phrase")
+    code_words = known.select(F.col("code").alias("right"), F.col("phrase").alias(OWN + "last"))
     held = full.filter(OWN + "fits").select(F.col("code").alias("left"), "lang", "phrase")
     for length in range(2, max_words + 1):
         levels.append(broadcastable(full, table_, length - 1))
         shared = spark.sparkContext.broadcast(levels.copy())
         found = texts.mapInArrow(phrase_counter(shared), "left long, right long, lang string, phrase string, n long")
         counts = found.groupBy("left", "right", "lang", "phrase").agg(F.sum("n").alias("n"))
-        # Which parts have broadcast codes is alike in all tasks, so a phrase is sent by its codes or by its text, never by both.
+        # Which parts have broadcast codes is alike in all tasks, so a phrase is always sent by the same codes, or always by its text.
         counts = written(counts.filter(F.col("n") >= min_count), f"phrases-{length}-counts")
         shared.unpersist()
-        named = counts.filter("left is not null").drop("lang", "phrase").join(held, "left").join(code_words, "right")
+        named = counts.filter("left >= 0").drop("lang", "phrase").join(held, "left").join(code_words, "right")
         named = named.select("left", "right", "lang", F.concat_ws(" ", "phrase", OWN + "last").alias("phrase"), "n")
         every = named.unionByName(counts.filter("left is null"))
+        if length == 3 and levels[1].marks is not None:
+            pairs = counts.filter("left < 0").select("left", "right", "n", first_of("left").alias("code"), second_of("left").alias(OWN + "second"))
+            pairs = pairs.join(known, "code").join(known.select(F.col("code").alias(OWN + "second"), F.col("phrase").alias(OWN + "middle")), OWN + "second")
+            pairs = pairs.join(code_words, "right").withColumn("phrase", F.concat_ws(" ", "phrase", OWN + "middle", OWN + "last"))
+            every = every.unionByName(pairs.select("left", "right", "lang", "phrase", "n"))
         full, table_ = coded(every, f"phrases-{length}", ["left", "right"], rows, size)
         held = full.filter(OWN + "fits").select(F.col("code").alias("left"), "lang", "phrase")
         result.append(full.select("lang", "phrase", "n"))
@@ -365,19 +426,44 @@ def phrase_counts(
 
 
 def broadcastable(full: DataFrame, table_: DataFrame, length: int) -> Level:
-    """The codes of a level as what tasks look up: at most CODE_ROWS rows and CODE_BYTES bytes of text."""
-    rows = table_.toArrow()
-    whole = full.count() == rows.num_rows
+    """The codes of a level as what tasks look up: at most CODE_ROWS rows, CODE_BYTES bytes of text and MARK_BYTES of marks."""
+    rows = table_.toArrow().combine_chunks()
+    without = full.count() - rows.num_rows
+    marks = marks_of(full.filter(~F.col(OWN + "fits")), length, without) if without else None
     codes = rows["code"].to_numpy()
     if length == 1:
-        words: dict[str, dict[bytes, int]] = {}
-        texts = rows["phrase"].cast(pa.binary()).to_pylist()
-        for lang, word, code in zip(rows["lang"].to_pylist(), texts, codes.tolist(), strict=True):
-            words.setdefault(lang, {})[word] = code
-        return Level(whole, words=words)
+        words = {}
+        for lang in rows["lang"].unique().to_pylist():
+            these = pc.equal(rows["lang"], lang)
+            of = rows["phrase"].filter(these).combine_chunks().cast(pa.binary())
+            words[lang] = Words.of(of, codes[these.to_numpy()])
+        return Level(words=words, marks=marks)
     keys = rows["left"].to_numpy() << 32 | rows["right"].to_numpy()
     order = np.argsort(keys)
-    return Level(whole, keys=keys[order], codes=codes[order])
+    return Level(keys=keys[order], codes=codes[order], marks=marks)
+
+
+def marks_of(phrases: DataFrame, length: int, n: int) -> np.ndarray:
+    """Bits for the hashes of n phrases of so many words, set by Spark; the driver only puts rows of MARK_ROW bits side by side."""
+    bits = min(8 * MARK_BYTES, max(MARK_ROW, 1 << (BITS_EACH * n - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            langs = np.array([zlib.crc32(x.encode()) for x in batch.column("lang").to_pylist()], np.uint64)
+            words = b" ".join(batch.column("phrase").cast(pa.binary()).to_pylist()).split(b" ")
+            hashes = crc(pa.array(words, pa.binary())).astype(np.uint64) | np.repeat(langs, length) << np.uint64(32)
+            place = sequence_hashes(mixed(hashes), length, np.arange(0, len(words) + 1, length))[0] & np.uint64(bits - 1)
+            place = place.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place // MARK_ROW), pa.array(place % MARK_ROW)], ["row", "bit"])
+
+    found = phrases.select("lang", "phrase").mapInArrow(places, "row long, bit long").repartition("row")
+    marks = np.zeros((bits // MARK_ROW, MARK_ROW // 8), np.uint8)
+    for row in found.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_batches():
+        for at, of in zip(row["row"].to_pylist(), row["bits"].to_pylist(), strict=True):
+            marks[at] = np.frombuffer(of, np.uint8)
+    return marks.reshape(-1)
 
 
 # ---- scores ------------------------------------------------------------------------------------
